@@ -250,3 +250,76 @@ def valuations(t: Tables) -> DataFrame:
 
 def clean_values(t: Tables) -> DataFrame:
     return valuations(t).na.drop().where("market_value_eur > 0")
+
+
+def raw_appearances(t: Tables) -> DataFrame:
+    """All appearances as raw text rows: padded ids, bad numbers and dates, copies of every sixth
+    game, and the shipping day as the (often differing) appearance date."""
+    rows = appearance_rows(t, all_games(t))
+    game = F.col("game_id")
+
+    def text(c: str) -> Column:
+        return F.col(c).cast("string")
+
+    copies = F.when(game % 6 == 0, 1).otherwise(0)
+    minutes = (
+        F.when((game % 3 == 0) & (F.col("l_linenumber") == 7), "n/a")
+        .when((game % 4 == 0) & (F.col("l_linenumber") == 6), "-1")
+        .otherwise(text("minutes"))
+    )
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies))).select(
+        F.concat_ws("_", text("game_id"), text("player_id"), text("l_linenumber")).alias(
+            "appearance_id"
+        ),
+        F.concat(F.lit(" "), text("game_id")).alias("game_id"),
+        F.concat(text("player_id"), F.lit(" ")).alias("player_id"),
+        text("club_id").alias("player_club_id"),
+        text("competition_id").alias("competition_id"),
+        F.when(game % 101 == 0, "soon").otherwise(text("ship_date")).alias("date"),
+        text("goals").alias("goals"),
+        text("assists").alias("assists"),
+        minutes.alias("minutes_played"),
+        text("yellow_cards").alias("yellow_cards"),
+        text("red_cards").alias("red_cards"),
+    )
+
+
+def raw_games(t: Tables) -> DataFrame:
+    return all_games(t).select(
+        F.col("game_id").cast("string").alias("game_id"),
+        F.col("competition_id").cast("string").alias("competition_id"),
+        F.col("season_id").cast("string").alias("season"),
+        F.col("match_date").cast("string").alias("date"),
+        "home_club_goals",
+        "away_club_goals",
+    )
+
+
+def study_competition_ids() -> list[int]:
+    return [n for n in range(25) if n % 5 <= 2]
+
+
+def name_requests(t: Tables) -> DataFrame:
+    """One lookup per customer: by id, by exact name, by a re-cased, accented, re-spaced name, or
+    by a name nobody has. Every third customer shares one of a few common names."""
+    k = F.col("c_custkey")
+    kind = k % 4
+    accented = F.concat(
+        F.lit("  "), F.upper(F.regexp_replace(F.regexp_replace("name", "u", "ü"), "#", "  #"))
+    )
+    return player_names(t).select(
+        k.alias("request_id"),
+        F.when(kind == 0, k + F.when(k % 8 == 0, 1_000_000_000).otherwise(0)).alias("want_id"),
+        F.when(kind == 1, F.col("name"))
+        .when(kind == 2, accented)
+        .when(kind == 3, F.concat(F.lit("Nobody "), F.col("name")))
+        .alias("want_name"),
+    )
+
+
+def player_names(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Customer #common "), (k % 5).cast("string"))).otherwise(
+        F.regexp_replace("c_name", "#", " #")
+    )
+    return t.read("customer").select("c_custkey", k.alias("player_id"), name.alias("name"))

@@ -353,22 +353,26 @@ def trailing_median(
     day: str,
     value: str,
     window_days: int,
-    per_e_fold: int = 256,
+    per_e_fold: int = 64,
 ) -> DataFrame:
     """Exact median and count of event values in [D - window_days, D) per distinct cutoff D.
 
     Per-day bucket counts are spread over the cutoffs they serve (their number depends on days
     and buckets, not on events); only values in a cutoff's median bucket are then looked at.
     """
-    ev = events.select(F.col(day).alias("_day"), F.col(value).cast("double").alias("_v")).where(
-        "_day is not null and _v is not null"
-    )
+    ev = events.select(
+        F.unix_date(F.col(day)).alias("_day"), F.col(value).cast("double").alias("_v")
+    ).where("_day is not null and _v is not null")
     ev = ev.withColumn("_b", value_bucket(F.col("_v"), per_e_fold))
-    served = F.explode(
-        F.sequence(F.date_add("_day", 1), F.date_add("_day", window_days))
-    ).alias(on)
-    want = cutoffs.select(on).distinct().where(F.col(on).isNotNull())  # at most one row per day
-    per_day = ev.groupBy("_day", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    served = F.explode(F.sequence(F.col("_day") + 1, F.col("_day") + window_days)).alias(on)
+    want = (  # at most one row per day
+        cutoffs.select(F.unix_date(on).alias(on)).distinct().where(F.col(on).isNotNull())
+    )
+    # Spreading multiplies rows, so keep the small inputs from being merged into few tasks first.
+    tasks = ev.sparkSession.sparkContext.defaultParallelism
+    per_day = (
+        ev.groupBy("_day", "_b").agg(F.count(F.lit(1)).alias("_c")).repartition(tasks, "_day", "_b")
+    )
     counts = (
         per_day.select(served, "_b", "_c")
         .join(F.broadcast(want), on)
@@ -392,10 +396,13 @@ def trailing_median(
     hot = F.broadcast(chosen.select("_b").distinct())  # at most one row per bucket
     cells = (
         ev.join(hot, "_b", "left_semi")
-        .select(served, "_b", "_v")
+        .groupBy("_day", "_b", "_v")
+        .agg(F.count(F.lit(1)).alias("_m"))
+        .repartition(tasks, "_day", "_v")
+        .select(served, "_b", "_v", "_m")
         .join(F.broadcast(chosen), [on, "_b"])  # at most two rows per day
         .groupBy(on, "_b", "_start", "_n", "_lo", "_hi", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_m").alias("_c"))
     )
     walk = Window.partitionBy(on, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("_to", F.col("_start") + F.sum("_c").over(walk)).withColumn(
@@ -403,9 +410,10 @@ def trailing_median(
     )
     lo = F.max(F.when(inside("_lo", "_from", F.col("_to")), F.col("_v")))
     hi = F.max(F.when(inside("_hi", "_from", F.col("_to")), F.col("_v")))
-    return cells.groupBy(on).agg(
+    out = cells.groupBy(on).agg(
         ((lo + hi) / 2).alias("median_value"), F.max("_n").alias("n_events")
     )
+    return out.withColumn(on, F.date_from_unix_date(on))
 
 
 def price_level(

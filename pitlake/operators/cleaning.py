@@ -16,7 +16,7 @@ STATS = ["minutes", "goals", "assists", "yellow_cards", "red_cards"]
 
 def type_transfers(raw: DataFrame) -> DataFrame:
     """Needs a source_row column: "first" must mean first in the source, whatever the split."""
-    typed = raw.select(
+    return raw.select(
         "source_row",
         S.clean_id("player_id").alias("player_id"),
         S.parse_date("transfer_date").alias("transfer_date"),
@@ -27,6 +27,11 @@ def type_transfers(raw: DataFrame) -> DataFrame:
         F.col("to_club_name").cast("string").alias("to_club_name"),
         F.col("transfer_fee").cast("string").alias("raw_fee"),
     )
+
+
+def classify_transfers(typed: DataFrame) -> DataFrame:
+    """Fee value and class and the surrogate key. All depend on the deduplication columns only,
+    so they are computed after copies are gone."""
     return typed.select(
         "*",
         S.fee_value("raw_fee").alias("fee_eur"),
@@ -44,7 +49,7 @@ def transfer_conflicts(typed: DataFrame) -> DataFrame:
 def clean_transfers(raw: DataFrame) -> DataFrame:
     """Typed moves with exact copies removed; ``copies`` keeps the removed count per row."""
     subset = [*TRANSFER_KEY, "raw_fee", "transfer_season"]
-    return C.first_per_key(type_transfers(raw), subset, "source_row")
+    return classify_transfers(C.first_per_key(type_transfers(raw), subset, "source_row"))
 
 
 def dedup_stats(deduped: DataFrame) -> DataFrame:
