@@ -156,10 +156,11 @@ def equal_count_bands(df: DataFrame, value: str, key: str, k: int, out: str = "b
         "i", "cut", "offset", "_tie"
     )
     at = rank_select(tied, "_tie", {"tie": lambda n: F.col("offset")}, ["i", "cut", "offset"])
-    bounds = at.agg(F.collect_list(F.struct("cut", "tie")).alias("b")).scalar()
+    bounds = at.agg(F.array_sort(F.collect_list(F.struct("cut", "tie"))).alias("b")).scalar()
     own = F.struct(F.col(value).cast("double").alias("cut"), F.col("_tie").alias("tie"))
-    band = (1 + F.size(F.filter(bounds, lambda b: b <= own))).cast("int")
-    return rows.withColumn(out, band).drop("_tie")
+    rows = rows.withColumn("_bounds", bounds).withColumn("_own", own)
+    passed = F.filter("_bounds", lambda b: b <= F.col("_own"))
+    return rows.withColumn(out, (1 + F.size(passed)).cast("int")).drop("_tie", "_bounds", "_own")
 
 
 def dense_index(df: DataFrame, key: str, out: str, total: str, hex_digits: int = 3) -> DataFrame:

@@ -258,7 +258,7 @@ def fit_linear(
     intercept = centre[label] + mean[last] - float((w[len(columns):] * means[len(columns):]).sum())
     fit_mean = means.copy()
     fit_mean[len(columns):] = 0.0
-    return LinearFit(candidate, names, w, scale, fit_mean, intercept, issues)
+    return LinearFit(candidate, names, w, scale, fit_mean, float(intercept), issues)
 
 
 def prediction(fit: LinearFit) -> Column:

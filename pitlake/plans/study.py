@@ -37,8 +37,8 @@ class Inputs:
 def bound_inputs(t: B.Tables) -> Inputs:
     """Inputs over the star-schema tables. Season metadata is landed: a few rows, read often."""
     games = B.league_games(t)
-    expected = land(B.expected_games(games), "expected")
-    seasons = land(T.season_table(games, expected).drop("expected_games"), "seasons")
+    seasons = land(T.season_table(games, B.expected_games(games)), "seasons")
+    expected = seasons.select("season_id", "expected_games")
     window = T.study_window(seasons, B.STUDY_SEASONS)
     dates = {r["name"]: r["value"] for r in window.collect()}  # three rows
 
@@ -70,10 +70,7 @@ def enrich(feats: DataFrame, i: Inputs, t: B.Tables) -> DataFrame:
     """Exposure, trend, price level, context inputs on top of the feature table."""
     out = A.exposure_columns(feats, i.games, i.appearances, i.expected)
     out = out.withColumn("cycle_trend", A.cycle_trend())
-    level = A.price_level(
-        feats, "transfer_date", qualifying_moves(i), "transfer_date", "fee_eur",
-        B.PRICE_WINDOW_DAYS, 1,
-    )
+    level = landed_price_level(feats, i, 1)
     out = out.join(F.broadcast(level), "transfer_date", "left")  # one row per cutoff day
     comps = B.competitions(t)
     others = A.other_leagues(comps, comps.where("in_study").select("competition_id"))
@@ -95,6 +92,15 @@ def qualifying_moves(i: Inputs) -> DataFrame:
     return A.active_moves(paid, i.appearances, "cycle", ("from_club_id", "to_club_id"))
 
 
+def landed_price_level(feats: DataFrame, i: Inputs, min_events: int) -> DataFrame:
+    """Price level per cutoff day. The moves are read twice, so they are landed with two columns."""
+    moves = land(qualifying_moves(i).select("transfer_date", "fee_eur"), "qualifying")
+    level = A.price_level(
+        feats, "transfer_date", moves, "transfer_date", "fee_eur", B.PRICE_WINDOW_DAYS, min_events
+    )
+    return land(level, "level")
+
+
 def landed_features(t: B.Tables) -> tuple[DataFrame, Inputs]:
     i = bound_inputs(t)
     return land(assemble(i), "features"), i

@@ -887,8 +887,7 @@ _LEVEL = "SELECT CAST(transfer_date AS VARCHAR) AS transfer_date, {0} AS league_
 @query("A8_trailing_median", _LEVEL.format(R("league_price_level", 6)))
 def a8(t):
     feats, i = ST.landed_features(t)
-    q = land(ST.qualifying_moves(i).select("transfer_date", "fee_eur"), "qualifying")
-    level = A.price_level(feats, "transfer_date", q, "transfer_date", "fee_eur", B.PRICE_WINDOW_DAYS, 1)
+    level = ST.landed_price_level(feats, i, 1)
     return level.select(
         txt("transfer_date"), rnd("league_price_level", 6), "price_level_transfers"
     )
@@ -992,11 +991,7 @@ def a16(t):
 )
 def a17(t):
     feats, i = ST.landed_features(t)
-    q = land(ST.qualifying_moves(i).select("transfer_date", "fee_eur"), "qualifying")
-    level = land(
-        A.price_level(feats, "transfer_date", q, "transfer_date", "fee_eur", B.PRICE_WINDOW_DAYS, 30),
-        "level",
-    )
+    level = ST.landed_price_level(feats, i, 30)
     repeated = C.key_violations(level, "transfer_date").agg(F.count(F.lit(1))).scalar()
     return feats.join(F.broadcast(level), "transfer_date", "left").select(
         "transfer_id", rnd("league_price_level", 6), "price_level_transfers", "below_minimum",
@@ -1739,8 +1734,7 @@ def e9(t):
 )
 def e10(t):
     feats, i = ST.landed_features(t)
-    q = land(ST.qualifying_moves(i).select("transfer_date", "fee_eur"), "qualifying")
-    level = A.price_level(feats, "transfer_date", q, "transfer_date", "fee_eur", B.PRICE_WINDOW_DAYS, 1)
+    level = ST.landed_price_level(feats, i, 1)
     rows = land(
         feats.select("transfer_cycle", "transfer_date").join(F.broadcast(level), "transfer_date"), "levels"
     )
