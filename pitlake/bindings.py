@@ -40,6 +40,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A fact table, redistributed only when its files give fewer splits than there are cores
+        (one small file here; on a cluster the scan already has more and nothing is added)."""
+        df, cores = self.read(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
 def _day(c: str) -> Column:
     return F.col(c).cast("date")
@@ -72,7 +78,7 @@ def all_games(t: Tables) -> DataFrame:
     unplayed = (F.col("o_orderstatus") == "P") & (day >= F.lit("2001-07-01").cast("date"))
     home = F.col("o_custkey") % 60
     return (
-        t.read("orders")
+        t.spread("orders")
         .where(~F.month("o_orderdate").isin(6, 12))
         .select(
             F.col("o_orderkey").alias("game_id"),
@@ -109,7 +115,7 @@ def expected_games(games: DataFrame) -> DataFrame:
 
 def appearance_rows(t: Tables, games: DataFrame) -> DataFrame:
     """One row per order line: the part is the player, the order the game."""
-    line = t.read("lineitem").select(
+    line = t.spread("lineitem").select(
         F.col("l_orderkey").alias("game_id"),
         F.col("l_partkey").alias("player_id"),
         "l_linenumber",
@@ -146,7 +152,7 @@ def lineup_label(game: Column, player: Column) -> Column:
 def lineups(t: Tables) -> DataFrame:
     """Raw lineup rows for four games in five; label 20 is null, 'Bench' is not a known label."""
     return (
-        t.read("lineitem")
+        t.spread("lineitem")
         .where(F.col("l_orderkey") % 5 != 0)
         .select(
             F.col("l_orderkey").alias("game_id"),
@@ -200,7 +206,7 @@ def raw_moves(t: Tables, clubs: tuple[int, int] = (97, 101), redelivered: bool =
     )
     copies = F.when((k % 7 == 0) & F.lit(redelivered), 1).otherwise(0)
     return (
-        t.read("orders")
+        t.spread("orders")
         .withColumn("_copy", F.explode(F.sequence(F.lit(0), copies)))
         .select(
             (k * 2 + F.col("_copy")).alias("source_row"),
@@ -241,7 +247,7 @@ def valuations(t: Tables) -> DataFrame:
         .when(F.col("l_tax") == 0, -F.col("l_extendedprice"))
         .otherwise(F.col("l_extendedprice"))
     )
-    return t.read("lineitem").select(
+    return t.spread("lineitem").select(
         F.col("l_partkey").alias("player_id"),
         _day("l_shipdate").alias("valuation_date"),
         value.alias("market_value_eur"),

@@ -37,7 +37,8 @@ LINEUP_GROUPS = {
 # Player profile label -> position group.
 PROFILE_GROUPS = {"Goalkeeper": "GK", "Defender": "DF", "Midfield": "MF", "Attack": "FW"}
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Characters a plain decimal number may hold; keeps out inf, nan, hex and type suffixes like 1d.
+_NUMBER_CHARACTERS = "0123456789.+-eE"
 
 
 def _c(c: Column | str) -> Column:
@@ -58,7 +59,7 @@ def clean_id(c: Column | str) -> Column:
 def to_number(c: Column | str) -> Column:
     """Text to double, null when it is not a plain decimal number."""
     t = F.trim(_c(c).cast("string"))
-    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
+    return F.when(F.translate(t, _NUMBER_CHARACTERS, "") == "", t.try_cast("double"))
 
 
 def surrogate_key(entity: Column | str, on: Column | str, *parts: Column | str) -> Column:

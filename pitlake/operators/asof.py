@@ -282,6 +282,8 @@ def asof_latest_by_time(
         F.floor(micros(at) / width).alias("_slot"),
         F.struct(F.col(at).alias("at"), F.col(value).alias("value")).alias("_event"),
     )
+    # Several events at one instant collapse to the largest value before the shuffle.
+    right = right.groupBy(entity, "_slot", "_t").agg(F.max("_event").alias("_event"))
     payload = right.schema["_event"].dataType.simpleString()
     marks = left.select(entity, "_slot", "_t").distinct()
     null_event = F.lit(None).cast(payload)
@@ -289,7 +291,7 @@ def asof_latest_by_time(
         Window.unboundedPreceding, -1
     )
     in_slot = (
-        right.withColumn("_mark", F.lit(False))
+        right.select(entity, "_slot", "_t", "_event", F.lit(False).alias("_mark"))
         .unionByName(marks.withColumn("_event", null_event).withColumn("_mark", F.lit(True)))
         .withColumn("_found", F.max("_event").over(own))
         .where("_mark")

@@ -15,7 +15,11 @@ STATS = ["minutes", "goals", "assists", "yellow_cards", "red_cards"]
 
 
 def type_transfers(raw: DataFrame) -> DataFrame:
-    """Needs a source_row column: "first" must mean first in the source, whatever the split."""
+    """Needs a source_row column: "first" must mean first in the source, whatever the split.
+
+    The fee is parsed here, below the deduplication, so it is one stored column afterwards and
+    later filters on its class do not parse the text again.
+    """
     return raw.select(
         "source_row",
         S.clean_id("player_id").alias("player_id"),
@@ -26,16 +30,14 @@ def type_transfers(raw: DataFrame) -> DataFrame:
         F.col("from_club_name").cast("string").alias("from_club_name"),
         F.col("to_club_name").cast("string").alias("to_club_name"),
         F.col("transfer_fee").cast("string").alias("raw_fee"),
+        S.fee_value("transfer_fee").alias("fee_eur"),
+        S.fee_class("transfer_fee").alias("fee_class"),
     )
 
 
-def classify_transfers(typed: DataFrame) -> DataFrame:
-    """Fee value and class and the surrogate key. All depend on the deduplication columns only,
-    so they are computed after copies are gone."""
+def with_transfer_id(typed: DataFrame) -> DataFrame:
     return typed.select(
         "*",
-        S.fee_value("raw_fee").alias("fee_eur"),
-        S.fee_class("raw_fee").alias("fee_class"),
         S.surrogate_key("player_id", "transfer_date", "from_club_id", "to_club_id").alias(
             "transfer_id"
         ),
@@ -49,7 +51,7 @@ def transfer_conflicts(typed: DataFrame) -> DataFrame:
 def clean_transfers(raw: DataFrame) -> DataFrame:
     """Typed moves with exact copies removed; ``copies`` keeps the removed count per row."""
     subset = [*TRANSFER_KEY, "raw_fee", "transfer_season"]
-    return classify_transfers(C.first_per_key(type_transfers(raw), subset, "source_row"))
+    return with_transfer_id(C.first_per_key(type_transfers(raw), subset, "source_row"))
 
 
 def dedup_stats(deduped: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def bound_inputs(t: B.Tables) -> Inputs:
 
 def candidates(i: Inputs) -> DataFrame:
     """Every label row with features or the first reason it has none."""
-    labeled = L.labels(L.with_label_reason(i.moves, i.start, i.end))
+    # Read twice (cutoffs, join back): landing it saves a second deduplication of the moves.
+    labeled = land(L.labels(L.with_label_reason(i.moves, i.start, i.end)), "labels")
     return A.feature_candidates(
         labeled, i.appearances, i.lineups, i.players, i.seasons, B.SOURCE_SEASONS, B.MIN_MINUTES
     )

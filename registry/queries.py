@@ -216,7 +216,7 @@ def p2(t):
 
 @query("P3_surrogate_key", "SELECT source_row, transfer_id FROM moves_typed")
 def p3(t):
-    return K.classify_transfers(K.type_transfers(B.raw_moves(t))).select("source_row", "transfer_id")
+    return K.with_transfer_id(K.type_transfers(B.raw_moves(t))).select("source_row", "transfer_id")
 
 
 @query("P4_fee_classes", "SELECT source_row, fee_class, fee_eur FROM moves_typed")
