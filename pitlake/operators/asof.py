@@ -348,6 +348,37 @@ def active_moves(
     return out.where(keep).drop(*(f"_hit{i}" for i in range(len(clubs))))
 
 
+def _counts_in_windows(per_day: DataFrame, want: DataFrame, on: str, window: int) -> DataFrame:
+    """(cutoff, bucket, count) over [cutoff - window, cutoff) from (day, bucket, count) rows.
+
+    Cutoffs are grouped in blocks of about sqrt(window / 2) days. Days inside every window of a
+    block are counted once per block; only the days at the block's two edges are counted per
+    cutoff. A day is thus copied about 2 sqrt(window) times instead of ``window`` times.
+    """
+    size = max(1, int((window / 2) ** 0.5))
+    day = F.col("_day")
+
+    def block(x: Column) -> Column:
+        return F.floor(x / size)
+
+    def spread(rows: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+        ranged = rows.withColumn("_first", first).withColumn("_last", last)
+        return ranged.where("_first <= _last").select(
+            F.explode(F.sequence("_first", "_last")).alias(name), "_b", "_c"
+        )
+
+    shared = spread(per_day, block(day) + 1, block(day + window + 1 - size), "_block")
+    shared = shared.groupBy("_block", "_b").agg(F.sum("_c").alias("_c"))
+    whole = (
+        want.withColumn("_block", block(F.col(on))).join(shared, "_block").select(on, "_b", "_c")
+    )
+    late = spread(per_day, day + 1, (block(day) + 1) * size - 1, on)
+    leaving = per_day.where(F.pmod(day + window + 1, F.lit(size)) != 0)
+    early = spread(leaving, block(day + window) * size, day + window, on)
+    edges = late.unionByName(early).join(F.broadcast(want), on)
+    return whole.unionByName(edges).groupBy(on, "_b").agg(F.sum("_c").alias("_c"))
+
+
 def trailing_median(
     cutoffs: DataFrame,
     on: str,
@@ -359,28 +390,22 @@ def trailing_median(
 ) -> DataFrame:
     """Exact median and count of event values in [D - window_days, D) per distinct cutoff D.
 
-    Per-day bucket counts are spread over the cutoffs they serve (their number depends on days
-    and buckets, not on events); only values in a cutoff's median bucket are then looked at.
+    Bucket counts per day give each cutoff the bucket its median lies in (work depends on days and
+    buckets, not on events). Each cutoff then reads only that bucket's values, day by day.
     """
     ev = events.select(
-        F.unix_date(F.col(day)).alias("_day"), F.col(value).cast("double").alias("_v")
+        F.unix_date(F.col(day)).cast("bigint").alias("_day"), F.col(value).cast("double").alias("_v")
     ).where("_day is not null and _v is not null")
     ev = ev.withColumn("_b", value_bucket(F.col("_v"), per_e_fold))
-    served = F.explode(F.sequence(F.col("_day") + 1, F.col("_day") + window_days)).alias(on)
     want = (  # at most one row per day
-        cutoffs.select(F.unix_date(on).alias(on)).distinct().where(F.col(on).isNotNull())
+        cutoffs.select(F.unix_date(on).cast("bigint").alias(on)).distinct().where(F.col(on).isNotNull())
     )
-    # Spreading multiplies rows, so keep the small inputs from being merged into few tasks first.
+    # Spreading multiplies rows, so keep small inputs from being merged into few tasks first.
     tasks = ev.sparkSession.sparkContext.defaultParallelism
     per_day = (
         ev.groupBy("_day", "_b").agg(F.count(F.lit(1)).alias("_c")).repartition(tasks, "_day", "_b")
     )
-    counts = (
-        per_day.select(served, "_b", "_c")
-        .join(F.broadcast(want), on)
-        .groupBy(on, "_b")
-        .agg(F.sum("_c").alias("_c"))
-    )
+    counts = _counts_in_windows(per_day, want, on, window_days)
     w = Window.partitionBy(on)
     upto = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     counts = (
@@ -395,14 +420,13 @@ def trailing_median(
 
     end = F.col("_start") + F.col("_c")
     chosen = counts.where(inside("_lo", "_start", end) | inside("_hi", "_start", end)).drop("_c")
-    hot = F.broadcast(chosen.select("_b").distinct())  # at most one row per bucket
+    # At most two buckets per cutoff, so this side has at most 2 x days x window rows.
+    lookups = chosen.withColumn(
+        "_day", F.explode(F.sequence(F.col(on) - window_days, F.col(on) - 1))
+    )
+    values = ev.groupBy("_day", "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
     cells = (
-        ev.join(hot, "_b", "left_semi")
-        .groupBy("_day", "_b", "_v")
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .repartition(tasks, "_day", "_v")
-        .select(served, "_b", "_v", "_m")
-        .join(F.broadcast(chosen), [on, "_b"])  # at most two rows per day
+        values.join(lookups, ["_day", "_b"])
         .groupBy(on, "_b", "_start", "_n", "_lo", "_hi", "_v")
         .agg(F.sum("_m").alias("_c"))
     )
@@ -415,7 +439,7 @@ def trailing_median(
     out = cells.groupBy(on).agg(
         ((lo + hi) / 2).alias("median_value"), F.max("_n").alias("n_events")
     )
-    return out.withColumn(on, F.date_from_unix_date(on))
+    return out.withColumn(on, F.date_from_unix_date(F.col(on).cast("int")))
 
 
 def price_level(

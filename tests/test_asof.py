@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from snapshot import END, SEASONS, START, TEST_START, day
 
@@ -143,7 +144,8 @@ def test_trailing_price_window_is_strict(spark, snap):
     assert r.below_minimum
 
 
-def test_trailing_median_against_brute_force(spark):
+@pytest.mark.parametrize("window", [1, 2, 7, 90, 365])
+def test_trailing_median_against_brute_force(spark, window):
     import datetime as dt
     import random
     import statistics
@@ -151,14 +153,14 @@ def test_trailing_median_against_brute_force(spark):
     rng = random.Random(5)
     base = dt.date(2020, 1, 1)
     ev = [(base + dt.timedelta(days=rng.randrange(900)), rng.choice([7.5, 1e3, 2e3, 5e6 * rng.random()])) for _ in range(600)]
-    ats = [base + dt.timedelta(days=d) for d in range(0, 1000, 37)]
+    ats = [base + dt.timedelta(days=d) for d in range(0, 1300, 23)]
     out = A.trailing_median(
         spark.createDataFrame([(d,) for d in ats], "t date"), "t",
-        spark.createDataFrame(ev, "d date, v double"), "d", "v", 90,
+        spark.createDataFrame(ev, "d date, v double"), "d", "v", window,
     )
     got = {r.t: (r.median_value, r.n_events) for r in out.collect()}
     for t in ats:
-        inside = [v for d, v in ev if t - dt.timedelta(days=90) <= d < t]
+        inside = [v for d, v in ev if t - dt.timedelta(days=window) <= d < t]
         assert (t in got) == bool(inside)
         if inside:
             assert abs(got[t][0] - statistics.median(inside)) < 1e-9 and got[t][1] == len(inside)
