@@ -36,15 +36,23 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._schemas: dict = {}
+        self._splits: dict[str, int] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table; its schema is read from the files once per ``Tables``, not once per use."""
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def spread(self, name: str) -> DataFrame:
         """A fact table, redistributed only when its files give fewer splits than there are cores
         (one small file here; on a cluster the scan already has more and nothing is added)."""
         df, cores = self.read(name), self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        if name not in self._splits:
+            self._splits[name] = df.rdd.getNumPartitions()
+        return df.repartition(cores) if self._splits[name] < cores else df
 
 
 def _day(c: str) -> Column:
@@ -235,9 +243,8 @@ def moves(t: Tables, clubs: tuple[int, int] = (97, 101)) -> DataFrame:
     from pitlake.operators.cleaning import clean_transfers
 
     m = clean_transfers(raw_moves(t, clubs)).drop("copies")
-    for c in ("player_id", "from_club_id", "to_club_id"):
-        m = m.withColumn(c, F.col(c).cast("bigint"))
-    return m
+    ids = ("player_id", "from_club_id", "to_club_id")
+    return m.withColumns({c: F.col(c).cast("bigint") for c in ids})
 
 
 def valuations(t: Tables) -> DataFrame:

@@ -146,15 +146,15 @@ def enrich_history(appearances: DataFrame, lineups: DataFrame) -> DataFrame:
 
 def historical_or_proxy(df: DataFrame, historical: str, proxy: str) -> DataFrame:
     """position, its source, and a flag when the current profile stands in for history."""
-    source = F.when(F.col(historical).isNotNull(), "historical_appearance").when(
-        F.col(proxy).isNotNull(), "current_proxy"
-    )
-    return (
-        df.withColumn("position_source", source)
-        .withColumn("position", F.coalesce(historical, proxy))
-        .withColumn(
-            "position_is_proxy", F.coalesce(F.col("position_source") == "current_proxy", F.lit(False))
-        )
+    old, now = F.col(historical), F.col(proxy)
+    return df.withColumns(
+        {
+            "position_source": F.when(old.isNotNull(), "historical_appearance").when(
+                now.isNotNull(), "current_proxy"
+            ),
+            "position": F.coalesce(old, now),
+            "position_is_proxy": old.isNull() & now.isNotNull(),
+        }
     )
 
 
@@ -191,10 +191,12 @@ def feature_candidates(
     profile = players.select(entity, "name", "date_of_birth", "current_position")
     df = df.join(profile, entity, "left")
     df = historical_or_proxy(df, "_mode", "current_position").drop("_mode")
-    df = (
-        df.withColumn("goals_per90", per_90("goals", "minutes", min_minutes))
-        .withColumn("assists_per90", per_90("assists", "minutes", min_minutes))
-        .withColumn("age", floor_age("date_of_birth", on))
+    df = df.withColumns(
+        {
+            "goals_per90": per_90("goals", "minutes", min_minutes),
+            "assists_per90": per_90("assists", "minutes", min_minutes),
+            "age": floor_age("date_of_birth", on),
+        }
     )
     enough = F.col("minutes") >= min_minutes
     failing = (
@@ -486,10 +488,11 @@ def window_sums(
         entity, F.col("_at").alias(start), *(F.col(s).alias(f"_l_{s}") for s in sums)
     )
     out = rows.join(upper, [entity, on], "left").join(lower, [entity, start], "left")
-    for s in sums:
-        total = F.coalesce(F.col(f"_u_{s}"), F.lit(0.0)) - F.coalesce(F.col(f"_l_{s}"), F.lit(0.0))
-        out = out.withColumn(s, total).drop(f"_u_{s}", f"_l_{s}")
-    return out
+    zero = F.lit(0.0)
+    totals = {
+        s: F.coalesce(F.col(f"_u_{s}"), zero) - F.coalesce(F.col(f"_l_{s}"), zero) for s in sums
+    }
+    return out.withColumns(totals).drop(*(f"{e}_{s}" for s in sums for e in ("_u", "_l")))
 
 
 def with_points(appearances: DataFrame, games: DataFrame) -> DataFrame:

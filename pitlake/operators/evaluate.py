@@ -13,22 +13,14 @@ from pitlake.functions.scalar import hash_number
 BASELINES = ("train_median", "train_mean", "train_median_by_position")
 
 
-def baseline_values(train: DataFrame, label: str, group: str) -> tuple[DataFrame, DataFrame]:
-    """(one row: median, mean), (one row per group: median). Medians are exact."""
-    overall = exact_median(train, label, "train_median").select(
-        "train_median", train.agg(F.avg(label)).scalar().alias("train_mean")
-    )
-    return overall, exact_median(train, label, "group_median", [group])
-
-
 def with_baselines(test: DataFrame, train: DataFrame, label: str, group: str) -> DataFrame:
     """Test rows with the three train-only baselines; a group unseen in training falls back.
 
-    ``group`` must be a closed set (positions): its medians are broadcast.
+    Medians are exact. ``group`` must be a closed set (positions): its medians are broadcast.
     """
-    overall, per_group = baseline_values(train, label, group)
-    med = overall.select("train_median").scalar()
-    mean = overall.select("train_mean").scalar()
+    med = exact_median(train, label, "train_median").scalar()
+    mean = train.agg(F.avg(label)).scalar()
+    per_group = exact_median(train, label, "group_median", [group])
     return (
         test.join(F.broadcast(per_group), group, "left")
         .withColumn("train_median", med)
