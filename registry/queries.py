@@ -381,14 +381,14 @@ def p16(t):
 
 @query(
     "Q1_exact_duplicates",
-    """SELECT player_id, count(*) AS kept, sum(copies) - count(*) AS removed, min(source_row) AS
-    first_row FROM (SELECT player_id, min(source_row) AS source_row, count(*) AS copies
+    """SELECT CAST(player_id AS VARCHAR) AS player_id, count(*) AS kept,
+    CAST(sum(copies) - count(*) AS BIGINT) AS removed, min(source_row) AS first_row FROM (SELECT player_id, min(source_row) AS source_row, count(*) AS copies
     FROM moves_typed GROUP BY player_id, transfer_date, from_club_id, to_club_id, raw_fee,
     transfer_season) GROUP BY player_id""",
 )
 def q1(t):
     one = K.clean_transfers(B.raw_moves(t))
-    return one.groupBy(big("player_id")).agg(
+    return one.groupBy("player_id").agg(
         F.count(F.lit(1)).alias("kept"), F.sum(F.col("copies") - 1).alias("removed"),
         F.min("source_row").alias("first_row"),
     )
