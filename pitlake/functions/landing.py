@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temp folder only where none is configured."""
+    """Folder named by spark.checkpoint.dir.
+
+    Only a local master, whose executors share the driver's disk, gets a folder of its own when none
+    is set; on a cluster an unset folder is an error, since executors would write to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-landing-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
