@@ -22,3 +22,21 @@ FROM documents d LEFT JOIN n USING (doc_id)
 LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x) c USING (doc_id)
 LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x) k USING (doc_id)
 """
+
+ORACLES["op4_decontaminate"] = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(ws), 13) AS size,
+    unnest(list_transform(range(1, greatest(len(ws) - 12, 1) + 1), lambda k: array_to_string(ws[k:k + 12], ' '))) AS g FROM i WHERE len(ws) > 0),
+z AS (SELECT DISTINCT size FROM p),
+s AS (SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS pos, ws FROM w, z WHERE len(ws) >= size),
+g AS (SELECT doc_id, size, pos, array_to_string(ws[pos:pos + size - 1], ' ') AS g FROM s),
+f AS (SELECT g.doc_id, g.size, g.pos, p.item_id FROM g JOIN p ON g.g = p.g AND g.size = p.size),
+h AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM f) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM f) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items,
+  sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

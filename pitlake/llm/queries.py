@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pitlake.llm import jaccard
+from pitlake.llm import decontaminate, jaccard
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -22,3 +23,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op1_jaccard_join(spark, folder):
     return jaccard.jaccard_join(table(spark, folder, "documents"))
+
+
+@query
+def op4_decontaminate(spark, folder):
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
