@@ -30,6 +30,8 @@ from pitlake.llm.words import U64, mix, shingles, texts, words
 SUBSET = 2
 BLOCK = 256
 _MAX_ROWS = 1 << 15  # rows of a chunk fit in 16 bits
+_PACK = np.dtype([("v", "u8"), ("df", "u4"), ("row", "u2")])
+_TABLE = np.dtype([("id", "i8"), ("known", "?"), ("n", "i8"), ("p", "u8"), ("q", "u8"), ("lead", "?")])
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -95,7 +97,7 @@ def _emit(sets, ids, known, chunk, buckets):
         if n[i] and known[i] and first.setdefault((n[i], *prints[i]), i) == i:
             lead[i] = True
     table = np.rec.fromarrays([ids, known, n, prints[:, 0], prints[:, 1], lead],
-                              dtype=[("id", "i8"), ("known", "?"), ("n", "i8"), ("p", "u8"), ("q", "u8"), ("lead", "?")])
+                              dtype=_TABLE)
     out = [(-1 - chunk % buckets, chunk, None, None, table.tobytes())]
     rows = np.flatnonzero(lead)
     if len(rows):
@@ -118,35 +120,30 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     out = [(c, None, None, i) for c, i in zip(passed["chunk"].to_pylist(), passed["ids"].to_pylist(), strict=True)]
     if len(table):
         parts = [_unplanes(b.as_py()) for b in table["values"]]
+        size = [len(p) for p in parts]
         rows = np.concatenate([np.frombuffer(b.as_py(), np.uint16) for b in table["rows"]])
-        source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         values = np.concatenate(parts)
+        del parts
         order = np.argsort(values, kind="stable")
         values = values[order]
-        new = np.ones(len(values), bool)
-        new[1:] = values[1:] != values[:-1]
-        heads = np.flatnonzero(new)
-        df = np.repeat(np.diff(np.append(heads, len(values))), np.diff(np.append(heads, len(values))))
-        keep = df > 1
-        order, values, df = order[keep], values[keep], df[keep]
-        back = np.argsort(source[order], kind="stable")
-        order, values, df = order[back], values[back], df[back]
-        cuts = np.searchsorted(source[order], np.arange(len(parts) + 1))
-        chunks = table["chunk"].to_pylist()
-        for k, c in enumerate(chunks):
-            a, b = cuts[k], cuts[k + 1]
-            if b > a:
-                pack = np.rec.fromarrays([values[a:b], df[a:b].astype(np.uint32), rows[order[a:b]]],
-                                         dtype=[("v", "u8"), ("df", "u4"), ("row", "u2")])
-                out.append((c, pack.tobytes(), None, None))
+        heads = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        times = np.diff(np.append(heads, len(values)))
+        shared = np.repeat(times > 1, times)
+        order, values = order[shared], values[shared]
+        times = times[times > 1]
+        df = np.repeat(times, times).astype(np.uint32)
+        cuts = np.cumsum([0, *size])
+        source = np.searchsorted(cuts, order, "right") - 1
+        back = np.argsort(source, kind="stable")
+        pack = np.rec.fromarrays([values[back], df[back], rows[order[back]]], dtype=_PACK)
+        ends = np.searchsorted(source[back], np.arange(len(size) + 1))
+        out += [(c, pack[a:b].tobytes(), None, None) for c, a, b in zip(table["chunk"].to_pylist(), ends[:-1], ends[1:], strict=True) if b > a]
     cols = list(zip(*out)) if out else [(), (), (), ()]
     return pa.Table.from_arrays(
         [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[3], pa.binary())],
         names=["chunk", "shared", "ids"])
 
 
-_PACK = np.dtype([("v", "u8"), ("df", "u4"), ("row", "u2")])
-_TABLE = np.dtype([("id", "i8"), ("known", "?"), ("n", "i8"), ("p", "u8"), ("q", "u8"), ("lead", "?")])
 _SETS_SQL = "doc long, n long, p long, q long, lead boolean, prefix binary, freq binary, last boolean, shared binary"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, jaccard
+from pitlake.llm import decontaminate, jaccard, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -30,3 +30,8 @@ def op4_decontaminate(spark, folder):
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op10_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
