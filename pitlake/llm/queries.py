@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, jaccard, toxicity
+from pitlake.llm import decontaminate, jaccard, packing, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
+#: Folder of public tokenizer files, the same on every machine.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def query(f):
@@ -35,3 +39,8 @@ def op4_decontaminate(spark, folder):
 @query
 def op10_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")

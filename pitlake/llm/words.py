@@ -93,19 +93,24 @@ def bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: str) -> Words:
-    """Lower-cased words of a run of rows."""
-    low = LOWER[data]
-    start, end = bounds(CLASSES[kind][low], offsets)
+def hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range."""
     up, down = _powers(len(low) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(low) + 1, U64)
         np.cumsum(_BYTE[low] * up[: len(low)], out=sums[1:])
         value = (sums[end] - sums[start]) * down[start]
         value += (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
+    return mix(value)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: str) -> Words:
+    """Lower-cased words of a run of rows."""
+    low = LOWER[data]
+    start, end = bounds(CLASSES[kind][low], offsets)
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(mix(value), row, first, start, end)
+    return Words(hashes(low, start, end), row, first, start, end)
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
