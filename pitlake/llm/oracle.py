@@ -40,3 +40,19 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0)
   sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+ORACLES["op3_line_dedup"] = r"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM a),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS seq,
+    len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words FROM u WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
+p AS (SELECT x.doc_id AS d, y.doc_id AS e, x.seq - y.seq AS shift, x.seq, x.no, x.words FROM l x JOIN l y ON x.line = y.line
+    AND (y.doc_id < x.doc_id OR (y.doc_id = x.doc_id AND y.seq < x.seq))),
+i AS (SELECT *, seq - row_number() OVER (PARTITION BY d, e, shift ORDER BY seq) AS run FROM p),
+g AS (SELECT *, sum(words) OVER (PARTITION BY d, e, shift, run) AS total FROM i),
+r AS (SELECT DISTINCT d AS doc_id, no FROM g WHERE total >= 50),
+t AS (SELECT u.doc_id, count(*) - count(r.no) AS kept, count(r.no) AS gone, string_agg(u.line, chr(10) ORDER BY u.no) FILTER (r.no IS NULL) AS text
+    FROM u LEFT JOIN r USING (doc_id, no) GROUP BY u.doc_id)
+SELECT doc_id, coalesce(kept + gone, 0) AS n_lines, coalesce(gone, 0) AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text FROM documents d LEFT JOIN t USING (doc_id)
+"""

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, jaccard, packing, toxicity
+from pitlake.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -44,3 +44,8 @@ def op10_toxicity(spark, folder):
 @query
 def op9_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query
+def op3_line_dedup(spark, folder):
+    return line_dedup.dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
