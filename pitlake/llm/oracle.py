@@ -56,3 +56,12 @@ t AS (SELECT u.doc_id, count(*) - count(r.no) AS kept, count(r.no) AS gone, stri
 SELECT doc_id, coalesce(kept + gone, 0) AS n_lines, coalesce(gone, 0) AS n_removed,
   CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text FROM documents d LEFT JOIN t USING (doc_id)
 """
+
+ORACLES["op5_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, jaccard, line_dedup, packing, toxicity
+from pitlake.llm import decontaminate, jaccard, line_dedup, packing, quality, topk, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -49,3 +49,13 @@ def op9_packing(spark, folder):
 @query
 def op3_line_dedup(spark, folder):
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query
+def op2_quality(spark, folder):
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op5_topk(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"))
