@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, jaccard, line_dedup, packing, quality, topk, toxicity
+from pitlake.llm import decontaminate, jaccard, line_dedup, packing, quality, token_counts, topk, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -59,3 +59,8 @@ def op2_quality(spark, folder):
 @query
 def op5_topk(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"))
+
+
+@query
+def op8_token_counts(spark, folder):
+    return token_counts.token_counts(table(spark, folder, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
