@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, jaccard, line_dedup, packing, quality, token_counts, topk, toxicity
+from pitlake.llm import decontaminate, jaccard, line_dedup, packing, pii, quality, token_counts, topk, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -64,3 +64,8 @@ def op5_topk(spark, folder):
 @query
 def op8_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query
+def op6_pii(spark, folder):
+    return pii.personal_data(table(spark, folder, "documents")).withColumn("base_sha256", F.sha2("base", 256)).drop("base")
