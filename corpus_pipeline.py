@@ -3,9 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pitlake.functions.landing import land
-from pitlake.llm import jaccard
+from pitlake.llm import decontaminate, jaccard, line_dedup, packing, toxicity
+from pitlake.llm.queries import TOKENIZERS, table
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go; every document stays, with n_chars of what is left."""
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,15 +25,31 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_one(docs)
 
 
-STAGES = [("jaccard_join", near_copies)]
+def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark's phrases contaminate go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("line_dedup", lines_once),
+    ("jaccard_join", near_copies),
+    ("decontamination", contaminated_out),
+    ("packing", packed),
+]
 
-#: Learned scores and byte-pair tokens are beyond SQL; the stages are tested against brute force instead.
+#: Learnt scores and byte-pair ids are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = land(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, jaccard, line_dedup, packing, pii, quality, token_counts, topk, toxicity
+from pitlake.llm import decontaminate, html_text, jaccard, line_dedup, packing, pii, quality, token_counts, topk, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -69,3 +69,8 @@ def op8_token_counts(spark, folder):
 @query
 def op6_pii(spark, folder):
     return pii.personal_data(table(spark, folder, "documents")).withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+@query
+def op7_html_text(spark, folder):
+    return html_text.main_text(table(spark, folder, "pages"))
