@@ -120,10 +120,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     they are called but for n_lines and n_removed, which are replaced. An empty table gives no rows.
     """
     gone = repeated_lines(docs, key, text, min_words)
-    own = docs.drop("n_lines", "n_removed").select("*", F.struct(*_identity(key, text)).alias("_at"))
-    gone = gone.select(F.struct(*_DOC).alias("_at"), F.col("gone").alias("_gone"))
+    own = docs.drop("n_lines", "n_removed")
+    at, drop = (_unused(own, name) for name in ("_at", "_gone"))
+    own = own.select("*", F.struct(*_identity(key, text)).alias(at))
+    gone = gone.select(F.struct(*_DOC).alias(at), F.col("gone").alias(drop))
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return own.join(gone, "_at", "left").withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))).withColumn(
-        text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).withColumn(
-        "n_removed", F.coalesce(F.size("_gone"), F.lit(0))).drop("_at", "_gone")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    return own.join(gone, at, "left").withColumns({
+        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)),
+        "n_removed": F.coalesce(F.size(drop), F.lit(0)),
+        text: F.when(F.col(drop).isNull(), F.col(text)).otherwise(kept),
+    }).drop(at, drop)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
