@@ -169,7 +169,7 @@ class Chain:
         return " ".join(t for (t, _), y in zip(found, self.viterbi([f for _, f in found]), strict=True) if y)
 
 
-def fit(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 60, rate: float = 0.1, decay: float = 2e-4) -> Chain:
+def fit(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 200, rate: float = 0.1, decay: float = 3e-4) -> Chain:
     """Conditional likelihood of the labels, by forward-backward over all pages at once and Adam."""
     names = sorted({f for page, _ in pages for own in page for f in own})
     number = {f: i for i, f in enumerate(names)}
@@ -216,7 +216,7 @@ _SYLLABLES = "ba ce di fo gu la me ni ro su ta ve xo za".split()
 _YES, _NO = "\x01", "\x02"  # marks of labelled block texts, taken off after parsing
 
 
-def labelled_pages(samples: list[str], count: int = 400, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
+def labelled_pages(samples: list[str], count: int = 800, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
     """Pages laid out from known parts, parsed like any other: features and labels of their blocks."""
     rng = random.Random(seed)
     long = [t for t in samples if len(t.split()) > 12]
@@ -244,6 +244,9 @@ def labelled_pages(samples: list[str], count: int = 400, seed: int = 5) -> list[
     def links(n, tag="li"):
         return "".join(f'<{tag}><a href="/{i}">{put(words(1, 4), False)}</a></{tag}>' for i in range(n))
 
+    def heading(most):
+        return "<h{0}>{1}</h{0}>".format(rng.randint(2, 5), put(words(1, most), False))
+
     def clutter():
         kind = rng.choice(["nav", "head", "foot", "side", "ad", "note", "form", "talk", "talk", "share"])
         semantic = {"nav": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form"}.get(kind, "div")
@@ -256,9 +259,9 @@ def labelled_pages(samples: list[str], count: int = 400, seed: int = 5) -> list[
         elif kind == "talk":
             inner = "".join(f'<{x} class="{rng.choice(["comment", "comment-body", "reply", ""])}"><p>{put(words(1, 3), False)}</p><p>{put(passage(), False)}</p></{x}>'
                             for x in [rng.choice(["div", "li", "article"]) for _ in range(rng.randint(1, 4))])
-            inner = (f"<h3>{put(words(1, 3), False)}</h3>" if rng.random() < 0.5 else "") + inner
+            inner = heading(3) * (rng.random() < 0.5) + inner
         elif kind in ("side", "head", "share"):
-            inner = f"<h3>{put(words(1, 5), False)}</h3>" + rng.choice([f"<ul>{links(rng.randint(1, 6))}</ul>", f"<p>{put(passage() if kind == 'side' else words(2, 10), False)}</p>"])
+            inner = heading(5) + rng.choice([f"<ul>{links(rng.randint(1, 6))}</ul>", f"<p>{put(passage() if kind == 'side' else words(2, 10), False)}</p>"])
         else:
             body = put(("© " if kind == "foot" and rng.random() < 0.7 else "") + rng.choice([words(2, 12), passage()]), False)
             inner = rng.choice([f"<p>{body}</p>", body])
@@ -267,7 +270,7 @@ def labelled_pages(samples: list[str], count: int = 400, seed: int = 5) -> list[
     def passage_block():
         return rng.choice([
             lambda: f"<p>{put(passage(), True)}</p>", lambda: f"<p>{put(passage(), True)}</p>", lambda: f"<p><b>{put(passage(), True)}<br>",
-            lambda: f"<h2>{put(words(1, 9), True)}</h2><p>{put(passage(), True)}</p>", lambda: f"<p>{put(words(1, 4), True)}</p>",
+            lambda: "<h{0}>{1}</h{0}><p>{2}</p>".format(rng.randint(2, 5), put(words(1, 9), True), put(passage(), True)), lambda: f"<p>{put(words(1, 4), True)}</p>",
             lambda: f"<blockquote><p>{put(passage(), True)}</p></blockquote>",
             lambda: "<ul>" + "".join(f"<li>{put(words(2, 20), True)}</li>" for _ in range(rng.randint(1, 4))) + "</ul>",
             lambda: f"<p>{put(words(4, 20), True)} <a href='#'>{html.escape(words(1, 3))}</a> {html.escape(words(3, 20))}.</p>",
@@ -277,7 +280,7 @@ def labelled_pages(samples: list[str], count: int = 400, seed: int = 5) -> list[
 
     out = []
     while len(out) < count:
-        body = (f"<h1>{put(words(1, 12), True)}</h1>" if rng.random() < 0.85 else "") + "".join(passage_block() for _ in range(rng.randint(1, 7)))
+        body = (f"<h1>{put(words(1, 12), True)}</h1>" if rng.random() < 0.75 else "") + "".join(passage_block() for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6, 7])))
         if rng.random() < 0.35:
             cut = body.rfind("</p>") + 4 if "</p>" in body else len(body)
             body = body[:cut] + clutter() + body[cut:]
