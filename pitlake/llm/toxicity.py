@@ -74,13 +74,17 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 180, rate:
         clean_weight: float = 1.0) -> tuple[np.ndarray, float]:
     """Bags of (label, buckets, weights) -> margin per bucket and bias, so that 0 is the best cut.
 
-    A fifth of the rows is held out to stop at the best epoch and to place the cut; there a row of class 0
-    stands for clean_weight rows.
+    A fifth of each class is held out to stop at the best epoch and to place the cut (where that is too few
+    rows, all are used); there a row of class 0 stands for clean_weight rows.
     """
     rng = np.random.default_rng(1)
     labels = np.array([y for y, _, _ in bags])
     order = rng.permutation(len(bags))
-    test, train = order[: len(bags) // 5], order[len(bags) // 5 :]
+    fifth = [own[: len(own) // 5] for own in (order[labels[order] == 0], order[labels[order] == 1])]
+    test = np.concatenate(fifth)
+    train = order[~np.isin(order, test)]
+    if min(map(len, fifth)) < 5:
+        test = order
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     state = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in (("v", vectors), ("s", soft), ("b", bias))}
