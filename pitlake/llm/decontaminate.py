@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pitlake.llm.words import texts, words
 
 SAMPLE = 8
-_SHARD = 1 << 23  # bytes of text in one index, or one longer document
+_SHARD = 1 << 21  # bytes of text in one index, or one longer document
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:

@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         encoder = _ENCODERS.setdefault(path, Encoder(path)) if path not in _ENCODERS else _ENCODERS[path]
         for batch in batches:
             owner, piece, start, length, crc = [], [], [], [], []
-            for a, _, data, offsets in texts(batch.column(1), 1 << 22):
+            for a, _, data, offsets in texts(batch.column(1)):
                 for r, ids in enumerate(encoder.rows(data, offsets)):
                     raw = np.append(ids, 0).astype("<u4")
                     for k in range(0, len(raw), size):

@@ -66,6 +66,7 @@ def texts(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass
@@ -98,7 +99,9 @@ def hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _powers(len(low) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(low) + 1, U64)
-        np.cumsum(_BYTE[low] * up[: len(low)], out=sums[1:])
+        np.take(_BYTE, low, out=sums[1:])
+        sums[1:] *= up[: len(low)]
+        np.cumsum(sums[1:], out=sums[1:])
         value = (sums[end] - sums[start]) * down[start]
         value += (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
     return mix(value)
