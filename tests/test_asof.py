@@ -1,6 +1,8 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
-from snapshot import END, SEASONS, START, TEST_START, day
+from snapshot import END, FIRST, GAMES, LAST, SEASONS, START, STUDY, TEST_START, close, day, expected_lookback
 
 from pitlake.operators import asof as A
 from pitlake.operators import contracts as C
@@ -9,67 +11,58 @@ from pitlake.operators import seasons as T
 from pitlake.operators import split as P
 
 
-def lookback(spark, snap, text):
-    df = spark.createDataFrame([(text,)], "d string").select(F.col("d").cast("date").alias("d"))
-    r = T.attach_lookback(df, "d", snap.seasons, list(SEASONS)).first()
-    return r.completed_1, r.completed_2, r.ongoing, r.coverage_ok
-
-
 def test_lookback_resolution(spark, snap):
-    assert lookback(spark, snap, "2020-07-15") == (2018, 2017, 2019, True)
-    assert lookback(spark, snap, "2020-08-10") == (2019, 2018, None, True)
-    assert lookback(spark, snap, "2020-07-26") == (2018, 2017, 2019, True)
-    assert lookback(spark, snap, "2018-01-01") == (None, None, 2017, False)
-    assert lookback(spark, snap, "2031-01-01") == (2023, 2022, None, True)
-    assert lookback(spark, snap, "2001-01-01") == (None, None, None, False)
+    edges = [d + dt.timedelta(days=k) for s in SEASONS for d in (FIRST[s], LAST[s]) for k in (-1, 0, 1)]
+    days = sorted({*edges, dt.date(1999, 1, 1), dt.date(2030, 1, 1)})
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    got = T.attach_lookback(df, "d", snap.seasons, SEASONS).collect()
+    assert {r.d: (r.completed_1, r.completed_2, r.ongoing, r.coverage_ok) for r in got} == {d: expected_lookback(d) for d in days}
 
 
 def test_cycles_and_window(spark, snap):
     c = {r.season_id: (str(r.cycle_start), str(r.cycle_end_exclusive)) for r in T.transfer_cycles(snap.seasons).collect()}
-    assert 2017 not in c and c[2019] == ("2019-05-13", "2020-07-27")
-    w = {r.name: r.value for r in T.study_window(snap.seasons, [2019, 2020, 2021, 2022, 2023]).collect()}
-    assert w == {"transfer_start": START, "transfer_end_exclusive": END, "test_start": "2022-05-23"}
-
-
-def test_named_rows(spark, snap):
-    f = snap.row(snap.features, "101")
-    assert (f.goals, f.minutes, f.goals_per90, f.lookback_season_ids) == (8, 720.0, 1.0, "2021,2022")
-    assert f.age == 24 and f.position == "FW" and f.position_source == "historical_appearance"
-    f = snap.row(snap.features, "106")
-    assert (f.goals, f.minutes, f.lookback_season_ids, f.ongoing) == (0, 720.0, "2019,2020", None)
-    f = snap.row(snap.features, "107", "2020-07-15")
-    assert (f.minutes, f.goals, str(f.last_match_date)) == (990.0, 3, "2020-02-01")
-    f = snap.row(snap.features, "107", "2020-08-10")
-    assert (f.goals, str(f.last_match_date)) == (4, "2020-07-26")
-    f = snap.row(snap.features, "108")
-    assert (f.position, f.position_source, f.position_is_proxy) == ("DF", "current_proxy", True)
-
-
-def test_reasons(spark, snap):
-    why = {r.player_id: r.feature_exclusion_reason for r in snap.candidates.collect()}
-    assert why["104"] == "insufficient_lookback_minutes"
-    assert snap.row(snap.candidates, "104").goals_per90 is None
-    assert why["105"] == "no_league_appearances_in_lookback"
-    assert why["109"] == "missing_position"
-    labels = {(r.player_id, str(r.transfer_date)): r.label_exclusion_reason for r in snap.reasoned.collect()}
-    assert labels[("102", "2021-01-10")] == "zero_fee_free_or_loan"
-    assert labels[("103", "2021-02-01")] == "undisclosed_fee"
-    assert labels[("200", "2018-07-01")] == "outside_study_window"
+    after = {s: str(LAST[s] + dt.timedelta(days=1)) for s in SEASONS}
+    assert c == {s: (after[s - 1], after[s]) for s in SEASONS[1:]}
+    w = {r.name: r.value for r in T.study_window(snap.seasons, STUDY).collect()}
+    assert (w["transfer_start"], w["transfer_end_exclusive"]) == (START, END)
+
+
+def test_features_equal_brute_force(spark, snap):
+    kinds = {"coverage": "incomplete_lookback", "no_league": "no_rows", "insufficient": "few_minutes", "missing_position": "no_position"}
+    rows, seen = snap.candidates.collect(), set()
+    assert len(rows) > 40
+    for r in rows:
+        e = snap.expected_features(r.player_id, r.transfer_date)
+        why = r.feature_exclusion_reason
+        assert (why is None) == (e["reason"] is None) and (why is None or any(why.startswith(k) and v == e["reason"] for k, v in kinds.items())), (why, e)
+        seen.add(e["reason"])
+        if e["matches"] and e["reason"] != "incomplete_lookback":
+            assert (r.goals, r.minutes, r.lookback_match_count, r.last_match_date, r.age) == (e["goals"], e["minutes"], e["matches"], e["last"], e["age"])
+            assert close(r.goals_per90, e["goals_per90"])
+        if why is None:
+            assert (r.position, r.position_is_proxy) == (e["position"], e["proxy"])
+    assert seen == {None, "no_rows", "few_minutes", "no_position"}
+
+
+def test_label_reasons_equal_brute_force(spark, snap):
+    got = {r.source_row: r.label_exclusion_reason for r in snap.reasoned.collect()}
+    assert got == {m[0]: snap.expected_reason(m) for m in snap.moved}
 
 
 def test_later_and_same_day_rows_do_not_matter(spark, snap):
-    extra = snap.appearances.where("player_id = '101'").limit(2).withColumn("season_id", F.lit(2022))
-    extra = extra.withColumn("goals", F.lit(5.0)).withColumn("game_id", F.concat(F.lit("x"), "game_id"))
-    same = extra.withColumn("match_date", day("2023-07-15"))
-    later = extra.withColumn("match_date", day("2023-07-20"))
-    again = snap.features_for(snap.labels, snap.appearances.unionByName(same).unionByName(later))
+    one = snap.features.first()
+    extra = snap.appearances.where(F.col("player_id") == one.player_id).limit(2).withColumn("season_id", F.lit(one.completed_1))
+    extra = extra.withColumn("goals", F.lit(5.0)).withColumn("game_id", F.concat(F.lit("y"), "game_id"))
+    only = snap.labels.where(F.col("transfer_id") == one.transfer_id)
+    same = extra.withColumn("match_date", F.lit(one.transfer_date))
+    later = extra.withColumn("match_date", F.date_add(F.lit(one.transfer_date), 3))
     cols = ["transfer_id", "goals", "minutes", "lookback_match_count", "last_match_date", "position"]
-    assert snap.candidates.select(cols).exceptAll(again.select(cols)).count() == 0
-    assert again.select(cols).exceptAll(snap.candidates.select(cols)).count() == 0
+    again = snap.features_for(only, snap.appearances.unionByName(same).unionByName(later)).select(cols).collect()
+    assert again == snap.candidates.where(F.col("transfer_id") == one.transfer_id).select(cols).collect()
 
 
 def test_window_plan_equals_pairwise_join(spark, snap):
-    c = T.attach_lookback(snap.labels, "transfer_date", snap.seasons, list(SEASONS)).where("coverage_ok")
+    c = T.attach_lookback(snap.labels, "transfer_date", snap.seasons, SEASONS).where("coverage_ok")
     a = snap.appearances.select("player_id", "season_id", "match_date", "minutes")
     hit = c.join(a, "player_id").where(
         "match_date < transfer_date and (season_id = completed_1 or season_id = completed_2 or season_id = ongoing)"
@@ -95,13 +88,11 @@ def test_partition_count_does_not_matter(spark, snap):
 def test_value_asof(spark, snap):
     rows = snap.labels.select("transfer_id", "player_id", "transfer_date")
     out = A.asof_latest_by_day(
-        rows, snap.values, "player_id", "transfer_date", "valuation_date", "market_value_eur", 365
+        rows, snap.values, "player_id", "transfer_date", "valuation_date", "market_value_eur", 200
     )
-    r = snap.row(out, "101")
-    assert (r.market_value_status, r.market_value_eur, r.valuation_age_days) == ("stale", None, 560)
-    assert snap.row(out, "108").market_value_status == "no_prior_valuation"
-    r = snap.row(out, "205")
-    assert r.market_value_status == "matched" and r.valuation_age_days == 30
+    got = {(r.player_id, r.transfer_date): (r.market_value_status, r.market_value_eur) for r in out.collect()}
+    assert got == {k: snap.expected_value(*k, 200) for k in got}
+    assert {s for s, _ in got.values()} == {"matched", "stale", "no_prior_valuation"}
 
 
 def test_event_time_asof_against_brute_force(spark):
@@ -119,28 +110,27 @@ def test_event_time_asof_against_brute_force(spark):
         assert got[i] == (max(before)[1] if before else None)
 
 
-def test_exposure_of_a_winter_move(spark, snap):
-    out = A.exposure_columns(snap.features, snap.games, snap.appearances, 4)
-    r = snap.row(out, "205")
-    assert (r.ongoing_season_share, r.lookback_season_equivalents, r.available_team_matches) == (0.5, 2.5, 10.0)
-    assert r.minutes == 700.0 and abs(r.minutes_share - 700 / 900) < 1e-12
-    assert r.goals_per_season == 8.0 and r.window == "in_season"
-    assert snap.row(out, "101").window == "off_season"
-    assert A.no_available_matches(out).count() == 0
+def test_exposure_equals_brute_force(spark, snap):
+    rows = A.exposure_columns(snap.features, snap.games, snap.appearances, GAMES).collect()
+    assert {r.window for r in rows} == {"in_season", "off_season"}
+    for r in rows:
+        e = snap.expected_features(r.player_id, r.transfer_date)
+        assert close(r.ongoing_season_share, e["share"]) and close(r.lookback_season_equivalents, e["equivalents"])
+        assert close(r.available_team_matches, GAMES * e["equivalents"]) and close(r.minutes_share, e["minutes"] / (90 * GAMES * e["equivalents"]))
+        assert close(r.goals_per_season, e["goals"] / e["equivalents"]) and r.window == e["window"]
 
 
 def test_trailing_price_window_is_strict(spark, snap):
-    rows = [("2020-12-01", 4e6, "1", "9"), ("2020-12-02", 99e6, "8", "9"), ("2021-01-10", 50e6, "1", "2"),
-            ("2019-01-01", 7e6, "1", "2")]
-    moves = spark.createDataFrame(rows, "d string, fee_eur double, from_club_id string, to_club_id string")
-    moves = moves.withColumn("transfer_date", F.col("d").cast("date"))
-    moves = T.with_cycle(moves, "transfer_date", T.transfer_cycles(snap.seasons), "cycle")
-    q = A.active_moves(moves, snap.appearances, "cycle", ("from_club_id", "to_club_id"))
-    at = spark.createDataFrame([("2021-01-10",)], "d string").select(F.col("d").cast("date").alias("transfer_date"))
-    r = A.price_level(at, "transfer_date", q, "transfer_date", "fee_eur", 365, 2).first()
     import math
 
-    assert r.price_level_transfers == 1 and abs(r.league_price_level - math.log(4e6)) < 1e-12
+    at = dt.date(2007, 3, 1)
+    rows = [(at - dt.timedelta(days=80), 3e6, "c1"), (at - dt.timedelta(days=79), 77e6, "away"), (at, 40e6, "c1"),
+            (at - dt.timedelta(days=366), 9e6, "c1"), (at - dt.timedelta(days=365), 12e6, "c2")]
+    moves = spark.createDataFrame([(*r, "away") for r in rows], "transfer_date date, fee_eur double, from_club_id string, to_club_id string")
+    moves = T.with_cycle(moves, "transfer_date", T.transfer_cycles(snap.seasons), "cycle")
+    q = A.active_moves(moves, snap.appearances, "cycle", ("from_club_id", "to_club_id"))
+    r = A.price_level(spark.createDataFrame([(at,)], "transfer_date date"), "transfer_date", q, "transfer_date", "fee_eur", 365, 3).first()
+    assert r.price_level_transfers == 2 and abs(r.league_price_level - math.log((3e6 + 12e6) / 2)) < 1e-12
     assert r.below_minimum
 
 
@@ -166,19 +156,29 @@ def test_trailing_median_against_brute_force(spark, window):
             assert abs(got[t][0] - statistics.median(inside)) < 1e-9 and got[t][1] == len(inside)
 
 
-def test_context(spark, snap):
-    study = spark.createDataFrame([("GB1",)], "competition_id string")
+def test_context_equals_brute_force(spark, snap):
+    study = spark.createDataFrame([("HOME",)], "competition_id string")
     others = A.other_leagues(snap.competitions, study)
-    assert [r.competition_id for r in others.collect()] == ["L1"]
+    assert [r.competition_id for r in others.collect()] == ["FOR"]
     from pitlake.sources.raw import context_scan
 
     every = context_scan(snap.raw_apps, snap.features.select("player_id").distinct())
     points = A.with_points(snap.appearances, snap.raw_games)
-    out = A.context_columns(snap.features, snap.seasons, points, every, others, ["CL", "EL", "UCOL"])
-    r = snap.row(out, "101")
-    assert (r.europe_minutes, r.other_league_minutes, r.other_league_goals) == (80.0, 70.0, 1.0)
-    assert r.team_points_per_game == 3.0 and str(r.lookback_window_start) == "2021-08-14"
-    assert snap.row(out, "106").europe_minutes == 0.0
+    rows = A.context_columns(snap.features, snap.seasons, points, every, others, ["EUR"]).collect()
+    assert any(r.europe_minutes for r in rows) and any(r.other_league_goals for r in rows)
+    for r in rows:
+        e = snap.expected_features(r.player_id, r.transfer_date)
+        assert (r.europe_minutes, r.other_league_minutes, r.other_league_goals) == (e["europe"], e["foreign"], e["foreign_goals"])
+        assert r.lookback_window_start == e["start"] and close(r.team_points_per_game, e["points"])
+
+
+def test_window_sums_without_a_window(spark):
+    rows = spark.createDataFrame(
+        [("a", None, "2020-02-01"), ("a", "2020-03-01", "2020-02-01"), ("a", "2020-01-02", "2020-02-01"), ("b", "2020-01-01", "2020-02-01")],
+        "k string, s string, e string").select("k", F.col("s").cast("date").alias("s"), F.col("e").cast("date").alias("e"))
+    history = spark.createDataFrame([("a", "2020-01-01", 7.0), ("a", "2020-01-02", 8.0)], "k string, d string, v double").withColumn("d", F.col("d").cast("date"))
+    got = {(r.k, str(r.s)): r.v for r in A.window_sums(rows, history, "k", "s", "e", "d", {"v": F.col("v")}).collect()}
+    assert got == {("a", "None"): None, ("a", "2020-03-01"): None, ("a", "2020-01-02"): 8.0, ("b", "2020-01-01"): 0.0}
 
 
 def test_funnel_reconciles(spark, snap):
@@ -202,34 +202,34 @@ def test_round_trip_null_clubs_and_window(spark):
 
 def test_entity_resolution(spark):
     people = spark.createDataFrame(
-        [("1", "José  Núñez"), ("2", "Ann Lee"), ("3", "Ann Lee"), ("4", "Strasse")], "player_id string, name string"
+        [("1", "Renée  Gräfe"), ("2", "Bo Li"), ("3", "Bo Li"), ("4", "Weiß"), ("5", "Søren Ø"), ("6", "O\u2019Brien")], "player_id string, name string"
     )
     ask = spark.createDataFrame(
-        [(1, "1", None), (2, "9", None), (3, None, "jose nunez"), (4, None, "Ann Lee"), (5, None, "straße"), (6, None, "x")],
+        [(1, "1", None), (2, "9", None), (3, None, "renee graefe"), (4, None, "Bo Li"), (5, None, "weiss"), (6, None, "x"),
+         (7, None, " RENÉE\tGRÄFE"), (8, None, "Soren O"), (9, None, "O'Brien"), (10, None, "Rene\u0301e gra\u0308fe")],
         "request_id int, want_id string, want_name string",
     )
     got = {r.request_id: (r.status, r.match_kind, r.player_id) for r in A.resolve_entities(ask, people).collect()}
+    none, first = ("unknown", "none", None), ("resolved", "normalised_name", "1")
     assert got == {
-        1: ("resolved", "id", "1"), 2: ("unknown", "none", None), 3: ("resolved", "normalised_name", "1"),
-        4: ("ambiguous", "exact_name", None), 5: ("resolved", "normalised_name", "4"), 6: ("unknown", "none", None),
+        1: ("resolved", "id", "1"), 2: none, 3: none, 4: ("ambiguous", "exact_name", None), 5: ("resolved", "normalised_name", "4"),
+        6: none, 7: first, 8: none, 9: none, 10: first,
     }
 
 
 def test_holdout_and_folds(spark):
-    rows = [(f"t{i}", d, c) for i, (d, c) in enumerate([
-        ("2019-06-01", 2019), ("2019-07-01", 2019), ("2020-08-01", 2020), ("2020-09-01", 2020),
-        ("2021-06-01", 2021), ("2021-07-01", 2021), ("2021-08-01", 2021)])]
-    df = spark.createDataFrame(rows, "transfer_id string, d string, transfer_cycle int").withColumn(
-        "transfer_date", F.col("d").cast("date")
-    )
+    cycles = [2011, 2012, 2012, 2012, 2013, 2014, 2014]
+    rows = [(f"t{i}", dt.date(c, 3, 1 + i), c) for i, c in enumerate(cycles)]
+    df = spark.createDataFrame(rows, "transfer_id string, transfer_date date, transfer_cycle int")
     roles = P.fold_roles(df, 2).groupBy("fold", "role").agg(F.sort_array(F.collect_list("transfer_id")).alias("x"))
-    assert {(r.fold, r.role): r.x for r in roles.collect()} == {
-        (0, "train"): ["t0", "t1"], (0, "validation"): ["t2", "t3"],
-        (1, "train"): ["t0", "t1", "t2", "t3"], (1, "validation"): ["t4", "t5", "t6"],
-    }
-    s = {r.fold: (r.train_rows, r.validation_rows, r.usable) for r in P.fold_summary(df, 2, 2, 3).collect()}
-    assert s == {0: (2, 2, False), 1: (4, 3, True)}
-    split = P.with_partition(df, "transfer_date", day("2021-06-01"))
+    want = {}
+    for fold, held in enumerate((2013, 2014)):
+        want[fold, "train"] = [k for k, _, c in rows if c < held]
+        want[fold, "validation"] = [k for k, _, c in rows if c == held]
+    assert {(r.fold, r.role): r.x for r in roles.collect()} == want
+    s = {r.fold: (r.train_rows, r.validation_rows, r.usable) for r in P.fold_summary(df, 2, 2, 2).collect()}
+    assert s == {0: (4, 1, False), 1: (5, 2, True)}
+    split = P.with_partition(df, "transfer_date", day("2013-01-01"))
     assert split.where("partition = 'test'").count() == 3
     gates = {r.gate: r.passed for r in P.holdout_gates(split.unionByName(split.limit(1)), "transfer_id", 5, 4).collect()}
     assert gates == {"total_rows": True, "test_rows": False, "train_rows": True, "repeated_keys": False}

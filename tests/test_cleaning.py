@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from snapshot import GAMES, SEASONS
 
 from pitlake.functions import scalar as S
 from pitlake.operators import cleaning as K
@@ -7,33 +8,37 @@ from pitlake.operators import contracts as C
 from pitlake.sources import raw as RAW
 
 
-def test_fee_encodings(spark):
-    raw = ["1500000.0", "0.0", None, "", "-", "?", "abc", "-5", "inf", "1d", "nan", "1e3", " 7 "]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(raw)], "i int, v string")
-    got = [
-        (r.c, r.x)
-        for r in df.select("i", S.fee_class("v").alias("c"), S.fee_value("v").alias("x")).orderBy("i").collect()
-    ]
-    assert got[:2] == [("paid", 1500000.0), ("zero_fee", None)]
-    assert got[2:6] == [("undisclosed", None)] * 4
-    assert got[6:11] == [("malformed", None)] * 5
-    assert got[11:] == [("paid", 1000.0), ("paid", 7.0)]
+@pytest.mark.parametrize("kind,texts", [
+    ("paid", {"275000.50": 275000.5, "3e4": 3e4, " 8": 8.0, "\t5\t": 5.0, "\u00a09 ": 9.0, "+2": 2.0}),
+    ("zero_fee", ["0", "0.000", "-0.0", "\n0"]),
+    ("undisclosed", [None, "", "  ", "-", "?", "\t-\t"]),
+    ("malformed", ["free", "-1", "Infinity", "NaN", "0x10", "2f", "1 000"]),
+])
+def test_fee_encodings(spark, kind, texts):
+    df = spark.createDataFrame([(v,) for v in texts], "v string")
+    rows = df.select("v", S.fee_class("v").alias("c"), S.fee_value("v").alias("x")).collect()
+    assert {r.c for r in rows} == {kind}
+    assert {r.v: r.x for r in rows} == (texts if isinstance(texts, dict) else dict.fromkeys(texts))
 
 
 def test_dates_and_ids(spark):
     df = spark.createDataFrame(
-        [(" 2020-02-03 00:00:00", " 7 "), ("2020-13-01", "  "), (None, None)], "d string, i string"
+        [(" 2011-10-09 00:00:00", " 7 "), ("2011-02-30", "  "), (None, None), ("\t20111009\n", "\t8\n"), ("20111399", "\u00a0")], "d string, i string"
     )
     rows = df.select(S.parse_date("d").cast("string"), S.clean_id("i")).collect()
-    assert [tuple(r) for r in rows] == [("2020-02-03", "7"), (None, None), (None, None)]
+    assert [tuple(r) for r in rows] == [("2011-10-09", "7"), (None, None), (None, None), ("2011-10-09", "8"), (None, None)]
 
 
-def test_floor_age(spark):
-    df = spark.createDataFrame(
-        [("1998-07-16", "2023-07-15"), ("1998-07-15", "2023-07-15"), ("2004-02-29", "2023-02-28"),
-         ("2004-02-29", "2023-03-01")], "b string, d string",
-    ).select(F.col("b").cast("date").alias("b"), F.col("d").cast("date").alias("d"))
-    assert [r[0] for r in df.select(S.floor_age("b", "d")).collect()] == [24, 25, 18, 19]
+def test_floor_age_equals_calendar(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(1)
+    rows = [(dt.date(1990, 1, 1) + dt.timedelta(days=rng.randrange(4000)), dt.date(2015, 1, 1) + dt.timedelta(days=rng.randrange(2000))) for _ in range(300)]
+    rows += [(dt.date(1996, 2, 29), dt.date(2015, 2, 28)), (dt.date(1996, 2, 29), dt.date(2015, 3, 1))]
+    got = spark.createDataFrame(rows, "b date, d date").select("b", "d", S.floor_age("b", "d").alias("a")).collect()
+    for r in got:
+        assert r.a == r.d.year - r.b.year - ((r.d.month, r.d.day) < (r.b.month, r.b.day))
 
 
 def test_surrogate_key_matches_hashlib(spark):
@@ -47,12 +52,12 @@ def test_surrogate_key_matches_hashlib(spark):
 def test_retransform_and_failure(spark):
     import math
 
-    df = spark.createDataFrame([(-0.5,), (0.0,), (math.log1p(99),)], "p double")
-    rows = df.select(S.back_to_units("p"), S.clamped("p")).collect()
-    assert [round(r[0], 9) for r in rows] == [0.0, 0.0, 99.0]
-    assert [r[1] for r in rows] == [True, False, False]
-    with pytest.raises(Exception, match="non-finite"):
-        spark.createDataFrame([(float("nan"),)], "p double").select(S.back_to_units("p")).collect()
+    p = [-3.0, -1e-9, 0.0, 2.5, math.log1p(12345.0)]
+    rows = spark.createDataFrame([(x,) for x in p], "p double").select("p", S.back_to_units("p").alias("u"), S.clamped("p").alias("c")).collect()
+    assert all(math.isclose(r.u, max(0.0, math.expm1(r.p)), rel_tol=1e-12) and r.c == (r.p < 0) for r in rows)
+    for bad in (float("nan"), float("inf"), float("-inf"), 1e4, None):
+        with pytest.raises(Exception, match="non-finite"):
+            spark.createDataFrame([(bad,)], "p double").select(S.back_to_units("p")).collect()
 
 
 def test_transfer_copies_and_conflicts(spark, snap):
@@ -71,8 +76,8 @@ def test_transfer_copies_and_conflicts(spark, snap):
 
 
 def test_league_filter_and_key_contracts(spark, snap):
-    assert snap.games.count() == 28
-    assert snap.appearances.where("player_id = '105'").count() == 0
+    assert snap.games.count() == GAMES * len(SEASONS)
+    assert snap.appearances.count() == sum(r[4] == "HOME" for r in snap.plays)
     assert C.key_violations(snap.players, "player_id").count() == 0
     df = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
     assert {(r.k, r.problem) for r in C.key_violations(df, "k").collect()} == {
@@ -81,24 +86,41 @@ def test_league_filter_and_key_contracts(spark, snap):
 
 
 def test_invalid_stats_counted_after_dedup(spark, snap):
-    bad = snap.raw_apps.where("player_id = '104'").withColumn("minutes_played", F.lit("-3"))
-    raw = snap.raw_apps.where("player_id = '101'").unionByName(bad).unionByName(bad)
-    flagged, valid = K.clean_appearances(raw, snap.games)
-    s = K.appearance_stats(flagged).first()
-    assert (s.league_appearances, s.exact_duplicates_removed, s.invalid_stat_rows_removed) == (12, 1, 1)
-    assert valid.count() == 12 and s.appearance_vs_game_date_mismatch == 0
+    one, other = (snap.raw_apps.where(f"player_id = '{p}' and competition_id = 'HOME'") for p in ("p0", "p2"))
+    bad = other.limit(1).withColumn("minutes_played", F.lit("-3"))
+    flagged, valid = K.clean_appearances(one.unionByName(bad).unionByName(bad), snap.games)
+    s, n = K.appearance_stats(flagged).first(), one.count()
+    assert (s.league_appearances, s.exact_duplicates_removed, s.invalid_stat_rows_removed) == (n, 1, 1)
+    assert valid.count() == n and s.appearance_vs_game_date_mismatch == 0
+
+
+def test_appearance_conflicts_and_source_order(spark, snap):
+    one = snap.raw_apps.where("player_id = 'p0' and competition_id = 'HOME'").limit(1)
+    other = one.withColumn("goals", F.lit("9"))
+    copy = one.withColumn("appearance_id", F.lit("0-first-by-name"))
+    rows = one.withColumn("source_row", F.lit(1)).unionByName(copy.withColumn("source_row", F.lit(2)))
+    assert K.clean_appearances(rows, snap.games)[1].first().appearance_id == one.first().appearance_id
+    flagged, _ = K.clean_appearances(one.unionByName(other), snap.games)
+    assert [(r.variants, r.rows) for r in K.appearance_conflicts(flagged).collect()] == [(2, 2)]
+    assert [r.problem for r in K.appearance_id_violations(flagged).collect()] == ["duplicate_key"]
+    with pytest.raises(C.ContractError):
+        C.require_none(K.appearance_conflicts(flagged), "conflict")
+    clean, _ = K.clean_appearances(snap.raw_apps, snap.games)
+    assert K.appearance_conflicts(clean).count() == 0 and K.appearance_id_violations(clean).count() == 0
+    label = snap.raw_lineups.limit(1)
+    both = K.clean_lineups(label.unionByName(label).unionByName(label.withColumn("position", F.lit("Bench"))), snap.games)
+    assert [(r.variants, r.rows) for r in K.lineup_conflicts(both).collect()] == [(2, 2)]
+    assert K.lineup_conflicts(snap.lineups).count() == 0
 
 
 def test_competition_identity(spark, snap):
-    good = spark.createDataFrame(
-        [("GB1", "premier-league", "domestic_league")], snap.competitions.schema
-    )
+    good = snap.competitions.where("competition_id = 'HOME'")
     bad = spark.createDataFrame(
-        [("GB1", "other", "domestic_league"), ("XX", "x", "domestic_league")], snap.competitions.schema
+        [("HOME", "another-code", "domestic_league"), ("ZZ", "z", "domestic_league")], snap.competitions.schema
     )
     assert C.reference_mismatches(good, snap.competitions, "competition_id").count() == 0
     found = C.reference_mismatches(bad, snap.competitions, "competition_id").collect()
-    assert {(r.competition_id, r.problem) for r in found} == {("GB1", "differs"), ("XX", "absent")}
+    assert {(r.competition_id, r.problem) for r in found} == {("HOME", "differs"), ("ZZ", "absent")}
 
 
 def test_missing_column_is_an_error(spark, snap):
@@ -116,6 +138,15 @@ def test_gzip_csv_scan_keeps_text(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("007", "A")]
 
 
+def test_quoted_csv(spark, tmp_path):
+    path = str(tmp_path / "people.csv")
+    with open(path, "w") as f:
+        f.write('player_id,name,date_of_birth,position\n1,"Ana ""Flea"", Jr",1990-01-01,Attack\n2,"two\nlines",NA,\n3,back\\slash,n/a,"N/A"\n')
+    got = RAW.read_csv_text(spark, path, ["player_id", "name", "date_of_birth", "position"])
+    assert sorted(map(tuple, got.collect())) == [
+        ("1", 'Ana "Flea", Jr', "1990-01-01", "Attack"), ("2", "two\nlines", None, None), ("3", "back\\slash", None, None)]
+
+
 def test_hash_verification(spark, tmp_path):
     import hashlib
 

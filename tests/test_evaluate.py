@@ -13,71 +13,85 @@ from pitlake.operators import facts as FX
 from pitlake.operators import learn as M
 
 
-def test_metrics_by_hand(spark):
-    df = spark.createDataFrame([(1, 10.0, 12.0), (2, 20.0, 20.0), (3, 40.0, 30.0)], "i int, y double, p double")
+def test_metrics_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    y, p = rng.uniform(1, 99, 41), rng.uniform(1, 99, 41)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, p, strict=True))], "i int, y double, p double")
     r = E.metrics(E.long_errors(df, ["i"], "y", {"m": (F.col("p"), F.log1p("p"))})).first()
-    assert (r.mae, r.median_ae, r.rows) == (4.0, 2.0, 3)
-    assert abs(r.rmse - math.sqrt(104 / 3)) < 1e-12
+    want = (np.abs(y - p).mean(), np.median(np.abs(y - p)), np.sqrt(((y - p) ** 2).mean()), np.abs(np.log1p(y) - np.log1p(p)).mean(),
+            1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    assert np.allclose((r.mae, r.median_ae, r.rmse, r.log_mae, r.r2), want, rtol=1e-12) and r.rows == 41
     flat = df.withColumn("y", F.lit(5.0))
     assert E.metrics(E.long_errors(flat, ["i"], "y", {"m": (F.col("p"), F.log1p("p"))})).first().r2 is None
 
 
 def test_baselines_use_train_only(spark):
-    train = spark.createDataFrame([("DF", 1.0), ("DF", 3.0), ("FW", 10.0)], "position string, fee double")
-    test = spark.createDataFrame([(1, "DF"), (2, "GK")], "i int, position string")
+    rng = random.Random(9)
+    rows = [(rng.choice(["GK", "MF", "FW"]), float(rng.randrange(1, 50))) for _ in range(31)]
+    train = spark.createDataFrame(rows, "position string, fee double")
+    test = spark.createDataFrame([(1, "MF"), (2, "DF"), (3, None)], "i int, position string")
     got = {r.i: r for r in E.with_baselines(test, train, "fee", "position").collect()}
-    assert [got[i].train_median for i in (1, 2)] == [3.0, 3.0]
-    assert [got[i].train_median_by_position for i in (1, 2)] == [2.0, 3.0]
-    assert [got[i].group_fallback for i in (1, 2)] == [False, True]
-    assert abs(got[1].train_mean - 14 / 3) < 1e-12
+    fees = [v for _, v in rows]
+    for i, group in ((1, [v for k, v in rows if k == "MF"]), (2, []), (3, [])):
+        assert got[i].train_median == np.median(fees) and math.isclose(got[i].train_mean, np.mean(fees))
+        assert got[i].train_median_by_position == np.median(group or fees) and got[i].group_fallback == (not group)
 
 
 def test_cluster_bootstrap(spark):
-    df = spark.createDataFrame(
-        [("a", 0.0, 5.0), ("a", 0.0, 5.0), ("b", 10.0, 5.0)], "player string, m double, b double"
-    )
+    rng = random.Random(6)
+    rows = [(f"k{rng.randrange(25)}", rng.gauss(10, 3), rng.gauss(12, 3)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "player string, m double, b double")
     errors = {"m": F.col("m"), "b": F.col("b")}
 
-    def run(frame):
-        return E.paired_cluster_bootstrap(frame, "player", errors, "m", 400, 42, 0.95).first()
+    def run(frame, seed=3):
+        return E.paired_cluster_bootstrap(frame, "player", errors, "m", 300, seed, 0.9).first()
 
     r = run(df)
-    assert abs(r.observed_delta - (10 / 3 - 5)) < 1e-12
-    assert (r.ci_low, r.ci_high, r.resampling_unit, r.clusters) == (-5.0, 5.0, "cluster", 2)
-    assert run(df.repartition(3)) == r
-    assert r.verdict.startswith("too uncertain")
+    assert math.isclose(r.observed_delta, sum(m - b for _, m, b in rows) / len(rows))
+    assert r.ci_low < r.observed_delta < r.ci_high and r.clusters == len({k for k, _, _ in rows}) and r.resampling_unit == "cluster"
+    again = run(df.repartition(3))
+    assert r.verdict == "lower" and np.allclose((again.ci_low, again.ci_high), (r.ci_low, r.ci_high), rtol=1e-12)
+    assert abs(run(df, 4).ci_low - r.ci_low) > 1e-9
+    swapped = E.paired_cluster_bootstrap(df.select("player", F.col("b").alias("m"), F.col("m").alias("b")), "player", errors, "m", 300, 3, 0.9).first()
+    assert swapped.verdict == "higher" and math.isclose(swapped.ci_low, -r.ci_high)
+    same = E.paired_cluster_bootstrap(df.withColumn("b", F.col("m")), "player", errors, "m", 50, 3, 0.9).first()
+    assert (same.ci_low, same.ci_high, same.verdict) == (0.0, 0.0, "unclear")
 
 
 def test_worst_k_ties(spark):
-    df = spark.createDataFrame([("b", 5.0), ("a", 5.0), ("c", 1.0)], "k string, e double")
-    assert [r.k for r in E.worst_k(df, "e", "k", 2).collect()] == ["a", "b"]
+    df = spark.createDataFrame([("m", 3.0), ("q", 8.0), ("c", 8.0), ("z", 8.0), ("a", None)], "k string, e double")
+    assert [r.k for r in E.worst_k(df, "e", "k", 2).collect()] == ["c", "q"]
 
 
 def test_selection_counts_noise_as_a_tie(spark):
-    rows = [("v0", 1, 0.80970001, 0.1, True), ("v1", 0, 0.8097, 0.1, True), ("v2", 0, 0.5, 0.1, False)]
+    rows = [("late", 5, 0.412300004, 0.07, True), ("early", 2, 0.41230001, 0.07, True), ("failed", 0, 0.3, 0.07, False), ("worse", 1, 0.4125, 0.01, True)]
     df = spark.createDataFrame(rows, "name string, o int, mean_log_mae double, std_log_mae double, eligible boolean")
-    assert M.pick_best(df, ["name"], ["o"]).first().name == "v1"
-    flipped = df.withColumn("o", 1 - F.col("o"))
-    assert M.pick_best(flipped, ["name"], ["o"]).first().name == "v0"
-
-
-def test_conformal(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(1, 10)], "s double")
-    q = {r.level: r.q_log for r in CF.conformal_quantile(df, "s", [0.8, 0.95]).collect()}
-    assert q == {0.8: 8.0, 0.95: float("inf")}
-    lo, hi = CF.interval(F.lit(math.log1p(10)), F.lit(math.log(2)))
-    r = spark.range(1).select(lo, hi).first()
-    assert abs(r[0] - 4.5) < 1e-9 and abs(r[1] - 21) < 1e-9
-    assert spark.range(1).select(CF.interval(F.lit(0.1), F.lit(5.0))[0]).first()[0] == 0.0
-    res = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (3.0,)], "r double")
-    c = CF.coverage(res, F.col("r"), F.lit(1.0)).first()
-    assert (c.coverage, c.share_above_upper, c.share_below_lower) == (0.75, 0.25, 0.0)
-
-
-@pytest.mark.parametrize("kind", ["mixed", "hot"])
+    assert M.pick_best(df, ["name"], ["o"]).first().name == "early"
+    assert M.pick_best(df.withColumn("o", -F.col("o")), ["name"], ["o"]).first().name == "late"
+
+
+def test_conformal_equals_order_statistics(spark):
+    rng = random.Random(2)
+    scores = sorted(rng.random() for _ in range(23))
+    df = spark.createDataFrame([(s,) for s in scores], "s double")
+    q = {r.level: r.q_log for r in CF.conformal_quantile(df, "s", [0.5, 0.9, 0.97]).collect()}
+    for level, value in q.items():
+        k = math.ceil(24 * level)
+        assert value == (scores[k - 1] if k <= 23 else float("inf"))
+    for log, width in ((2.0, 0.7), (0.2, 3.0)):
+        lo, hi = spark.range(1).select(*CF.interval(F.lit(log), F.lit(width))).first()
+        assert math.isclose(lo, max(0.0, math.expm1(log - width)), abs_tol=1e-12) and math.isclose(hi, math.expm1(log + width))
+    res = [rng.gauss(0, 2) for _ in range(50)] + [1.5, -1.5]
+    c = CF.coverage(spark.createDataFrame([(r,) for r in res], "r double"), F.col("r"), F.lit(1.5)).first()
+    want = [sum(f(r) for r in res) / 52 for f in (lambda r: abs(r) <= 1.5, lambda r: r > 1.5, lambda r: r < -1.5)]
+    assert np.allclose([c.coverage, c.share_above_upper, c.share_below_lower], want)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "hot", "narrow"])
 def test_exact_quantiles_match_percentile(spark, kind):
     rng = random.Random(11)
     pick = [lambda: rng.gauss(0, 1), lambda: 1e6 * rng.random(), lambda: 0.0, lambda: -1e-9 * rng.random()]
+    pick = [lambda: 1.7e9 + rng.randrange(100_000) / 2] if kind == "narrow" else pick
     rows = [(rng.choice("xyz"), 7.25 if kind == "hot" and i % 3 else rng.choice(pick)()) for i in range(999)]
     df = spark.createDataFrame([*rows, ("x", None)], "g string, v double")
     got = {r.g: r for r in RK.exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.9}, ["g"]).collect()}
@@ -213,3 +227,28 @@ def test_largest_labels_join_touches_top_only(spark):
     bounds = df.select("k", F.lit(0.0).alias("lower"), F.lit(30.0).alias("upper"))
     out = FX.largest_labels(df, bounds, "fee", "k", 25, 5).collect()
     assert len(out) == 25 and sum(r.in_worst for r in out) == 5 and sum(r.covered for r in out) == 16
+
+
+@pytest.mark.parametrize("column", ["minutes", "label"])
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_fitting_and_scoring_fail_on_non_finite_rows(spark, column, bad):
+    df, _ = _panel(spark, 60)
+    dirty = df.withColumn(column, F.when((F.col("cycle") == 2016) & (F.col("position") == "GK"), F.lit(bad).cast("double")).otherwise(F.col(column))).repartition(8)
+    for fit in (
+        lambda: M.grouped_moments(dirty, ["minutes", "goals"], "label", "cycle"),
+        lambda: M.cross_validate(dirty, {"v": ["minutes"]}, [], "label", "cycle", 2, [M.Candidate("linear")])[0].collect(),
+    ):
+        with pytest.raises(Exception, match="non-finite input"):
+            fit()
+    _, cv, _ = M.cross_validate(df, {"v": ["minutes"]}, [], "label", "cycle", 4, [M.Candidate("linear")])
+    with pytest.raises(Exception, match="non-finite input"):
+        M.score_folds(dirty, cv, "label", "cycle").collect()
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    df, _ = _panel(spark, 90)
+    got = [
+        {(r.fold, r.grid_order): round(r.log_mae, 12) for r in M.cross_validate(d, {"v": ["minutes"]}, [], "label", "cycle", 2)[0].collect()}
+        for d in (df.repartition(1), df.repartition(7))
+    ]
+    assert got[0] == got[1]
