@@ -37,7 +37,6 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._schemas: dict = {}
-        self._splits: dict[str, int] = {}
 
     def read(self, name: str) -> DataFrame:
         """A table; its schema is read from the files once per ``Tables``, not once per use."""
@@ -46,14 +45,6 @@ class Tables:
             self._schemas[name] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(self._schemas[name]).parquet(path)
 
-    def spread(self, name: str) -> DataFrame:
-        """A fact table, redistributed only when its files give fewer splits than there are cores
-        (one small file here; on a cluster the scan already has more and nothing is added)."""
-        df, cores = self.read(name), self.spark.sparkContext.defaultParallelism
-        if name not in self._splits:
-            self._splits[name] = df.rdd.getNumPartitions()
-        return df.repartition(cores) if self._splits[name] < cores else df
-
 
 def _day(c: str) -> Column:
     return F.col(c).cast("date")
@@ -81,13 +72,14 @@ def competitions(t: Tables) -> DataFrame:
 
 
 def all_games(t: Tables) -> DataFrame:
-    """Orders outside June and December (the off-season). Late 'P' orders are not played yet."""
+    """All orders. June and December are the off-season: their games count on the same day of the month
+    before (or its last day). Late 'P' orders are not played yet."""
     day = _day("o_orderdate")
+    day = F.when(F.month(day).isin(6, 12), F.add_months(day, -1)).otherwise(day)
     unplayed = (F.col("o_orderstatus") == "P") & (day >= F.lit("2001-07-01").cast("date"))
     home = F.col("o_custkey") % 60
     return (
-        t.spread("orders")
-        .where(~F.month("o_orderdate").isin(6, 12))
+        t.read("orders")
         .select(
             F.col("o_orderkey").alias("game_id"),
             (F.col("o_orderkey") % 25).cast("int").alias("competition_id"),
@@ -123,7 +115,7 @@ def expected_games(games: DataFrame) -> DataFrame:
 
 def appearance_rows(t: Tables, games: DataFrame) -> DataFrame:
     """One row per order line: the part is the player, the order the game."""
-    line = t.spread("lineitem").select(
+    line = t.read("lineitem").select(
         F.col("l_orderkey").alias("game_id"),
         F.col("l_partkey").alias("player_id"),
         "l_linenumber",
@@ -158,12 +150,12 @@ def lineup_label(game: Column, player: Column) -> Column:
 
 
 def lineups(t: Tables) -> DataFrame:
-    """Raw lineup rows for four games in five; label 20 is null, 'Bench' is not a known label."""
+    """Raw lineup rows; those of every fifth game name a game that does not exist. Label 20 is null,
+    'Bench' is not a known label."""
     return (
-        t.spread("lineitem")
-        .where(F.col("l_orderkey") % 5 != 0)
+        t.read("lineitem")
         .select(
-            F.col("l_orderkey").alias("game_id"),
+            F.when(F.col("l_orderkey") % 5 == 0, -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey")).alias("game_id"),
             F.col("l_partkey").alias("player_id"),
             lineup_label(F.col("l_orderkey"), F.col("l_partkey")).alias("position"),
         )
@@ -214,7 +206,7 @@ def raw_moves(t: Tables, clubs: tuple[int, int] = (97, 101), redelivered: bool =
     )
     copies = F.when((k % 7 == 0) & F.lit(redelivered), 1).otherwise(0)
     return (
-        t.spread("orders")
+        t.read("orders")
         .withColumn("_copy", F.explode(F.sequence(F.lit(0), copies)))
         .select(
             (k * 2 + F.col("_copy")).alias("source_row"),
@@ -254,7 +246,7 @@ def valuations(t: Tables) -> DataFrame:
         .when(F.col("l_tax") == 0, -F.col("l_extendedprice"))
         .otherwise(F.col("l_extendedprice"))
     )
-    return t.spread("lineitem").select(
+    return t.read("lineitem").select(
         F.col("l_partkey").alias("player_id"),
         _day("l_shipdate").alias("valuation_date"),
         value.alias("market_value_eur"),

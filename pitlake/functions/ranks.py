@@ -2,8 +2,10 @@
 
 A monotone bucket of the value is counted per group (map-side combined, so only bucket counts
 travel). Running totals over the bucket counts tell which bucket holds each wanted rank; only
-that bucket's values are read again, collapsed to (value, count), and walked. Every window here
-runs over bucket counts or over the distinct values of one bucket, never over raw rows.
+that bucket's values are read again, collapsed to (value, count), and dealt into equal steps between
+its least and largest value, so values packed in a narrow range are told apart too. Only the step that
+holds the rank is walked. Every window here runs over bucket or step counts, or over the distinct
+values of one step, never over raw rows.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E_FOLD = 2048
+STEPS = 4096
 
 
 def value_bucket(v: Column, per_e_fold: int = BUCKETS_PER_E_FOLD) -> Column:
@@ -32,7 +35,7 @@ def rank_select(
     value: str,
     ranks: dict[str, Callable[[Column], Column]],
     by: Sequence[str] = (),
-    few_groups: bool = True,
+    few_groups: bool = False,
     with_offset: bool = False,
 ) -> DataFrame:
     """Value at given 0-based ascending ranks, per group. One row per group.
@@ -53,7 +56,7 @@ def rank_select(
     running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = (
         rows.groupBy(*by, "_b")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
         .withColumn("n", F.sum("_c").over(group))
         .withColumn("_start", F.sum("_c").over(running) - F.col("_c"))
     )
@@ -66,22 +69,33 @@ def rank_select(
     chosen = hist.where(reduce(lambda a, b: a | b, inside)).drop("_c")
     keys = [F.col(c).alias(f"_k_{c}") for c in by]
     chosen = chosen.select(
-        *keys, F.col("_b").alias("_kb"), "_start", "n", *(f"_r_{n}" for n in names)
+        *keys, F.col("_b").alias("_kb"), "_low", "_high", "_start", "n", *(f"_r_{n}" for n in names)
     )
     if few_groups:
         chosen = F.broadcast(chosen)
     match = rows["_b"] == chosen["_kb"]
     for c in by:
         match = match & rows[c].eqNullSafe(chosen[f"_k_{c}"])
+    place = [*by, "_b", "_step"]
+    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
     cells = (
         rows.join(chosen, match)
-        .groupBy(*by, "_b", "_start", "n", *(f"_r_{n}" for n in names), "_v")
+        .withColumn("_step", F.when(F.col("_high") > F.col("_low"), F.floor(share * STEPS)).otherwise(0))
+        .groupBy(*place, "_start", "n", *(f"_r_{n}" for n in names), "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    walk = (
-        Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by, "_b").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    steps = (
+        cells.groupBy(*place, "_start", *(f"_r_{n}" for n in names)).agg(F.sum("_c").alias("_sc"))
+        .withColumn("_to", F.col("_start") + F.sum("_sc").over(before))
+        .withColumn("_at", F.col("_to") - F.col("_sc"))
     )
-    cells = cells.withColumn("_end", F.col("_start") + F.sum("_c").over(walk)).withColumn(
+    holds = [(F.col(f"_r_{n}") >= F.col("_at")) & (F.col(f"_r_{n}") < F.col("_to")) for n in names]
+    steps = steps.where(reduce(lambda x, y: x | y, holds)).select(*(F.col(c).alias(f"_s{c}") for c in place), "_at")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in place])
+    cells = cells.join(F.broadcast(steps) if few_groups else steps, same).drop(*(f"_s{c}" for c in place))
+    walk = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_end", F.col("_at") + F.sum("_c").over(walk)).withColumn(
         "_from", F.col("_end") - F.col("_c")
     )
     out = [F.max("n").alias("n")]
@@ -102,7 +116,7 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     by: Sequence[str] = (),
-    few_groups: bool = True,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles (same definition as ``percentile``), one row per group."""
     ranks: dict[str, Callable[[Column], Column]] = {}
@@ -119,7 +133,7 @@ def exact_quantiles(
 
 
 def exact_median(
-    df: DataFrame, value: str, out: str, by: Sequence[str] = (), few_groups: bool = True
+    df: DataFrame, value: str, out: str, by: Sequence[str] = (), few_groups: bool = False
 ) -> DataFrame:
     return exact_quantiles(df, value, {out: 0.5}, by, few_groups).drop("n_values")
 
@@ -137,7 +151,7 @@ def equal_count_bands(df: DataFrame, value: str, key: str, k: int, out: str = "b
         f"c{i}": (lambda n, i=i: F.floor(n / k) * i + F.least(n % k, F.lit(i)))
         for i in range(1, k)
     }
-    cuts = rank_select(rows, value, ranks, with_offset=True)
+    cuts = rank_select(rows, value, ranks, few_groups=True, with_offset=True)
     cuts = cuts.select(
         F.explode(
             F.array(
@@ -155,8 +169,10 @@ def equal_count_bands(df: DataFrame, value: str, key: str, k: int, out: str = "b
     tied = rows.join(F.broadcast(cuts), rows[value].cast("double") == cuts["cut"]).select(
         "i", "cut", "offset", "_tie"
     )
-    at = rank_select(tied, "_tie", {"tie": lambda n: F.col("offset")}, ["i", "cut", "offset"])
-    bounds = at.agg(F.array_sort(F.collect_list(F.struct("cut", "tie"))).alias("b")).scalar()
+    at = rank_select(tied, "_tie", {"tie": lambda n: F.col("offset")}, ["i", "cut", "offset"], few_groups=True)
+    found = sorted((r.cut, r.tie) for r in at.select("cut", "tie").collect())  # at most k - 1 rows
+    bounds = F.array(*(F.struct(F.lit(c).alias("cut"), F.lit(x).alias("tie")) for c, x in found))
+    bounds = bounds if found else F.expr("cast(array() as array<struct<cut:double,tie:double>>)")
     own = F.struct(F.col(value).cast("double").alias("cut"), F.col("_tie").alias("tie"))
     rows = rows.withColumn("_bounds", bounds).withColumn("_own", own)
     passed = F.filter("_bounds", lambda b: b <= F.col("_own"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,25 +42,34 @@ PROFILE_GROUPS = {"Goalkeeper": "GK", "Defender": "DF", "Midfield": "MF", "Attac
 # Characters a plain decimal number may hold; keeps out inf, nan, hex and type suffixes like 1d.
 _NUMBER_CHARACTERS = "0123456789.+-eE"
 
+_WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def trimmed(c: Column | str) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.trim(_c(c).cast("string"), F.lit(_WHITE))
+
+
 def parse_date(c: Column | str) -> Column:
-    """ISO text (with or without a time part) to a date; anything else is null."""
-    return F.trim(_c(c)).try_cast("timestamp_ntz").cast("date")
+    """ISO text (with or without a time part, or as eight digits) to a date; anything else is null."""
+    t = trimmed(c)
+    compact = F.try_to_timestamp(F.when(t.rlike("^[0-9]{8}$"), t), F.lit("yyyyMMdd")).cast("date")
+    return F.when(t.rlike("^[0-9]{8}$"), compact).otherwise(t.try_cast("timestamp_ntz").cast("date"))
 
 
 def clean_id(c: Column | str) -> Column:
     """Trimmed text id; blank becomes null."""
-    t = F.trim(_c(c).cast("string"))
+    t = trimmed(c)
     return F.when(t != "", t)
 
 
 def to_number(c: Column | str) -> Column:
     """Text to double, null when it is not a plain decimal number."""
-    t = F.trim(_c(c).cast("string"))
+    t = trimmed(c)
     return F.when(F.translate(t, _NUMBER_CHARACTERS, "") == "", t.try_cast("double"))
 
 
@@ -70,7 +81,7 @@ def surrogate_key(entity: Column | str, on: Column | str, *parts: Column | str)
 
 
 def fee_class(raw: Column | str) -> Column:
-    text = F.trim(_c(raw).cast("string"))
+    text = trimmed(raw)
     num = to_number(raw)
     return (
         F.when(text.isNull() | text.isin(*UNDISCLOSED_TEXTS), UNDISCLOSED)
@@ -111,7 +122,7 @@ def per_90(total: Column | str, minutes: Column | str, min_minutes: float) -> Co
 def back_to_units(pred_log: Column | str) -> Column:
     """max(expm1(p), 0); a null or non-finite p, or an overflow, fails the job."""
     p = _c(pred_log)
-    ok = p.isNotNull() & ~F.isnan(p) & (F.abs(F.expm1(p)) < float("inf"))
+    ok = is_finite(p) & (F.abs(F.expm1(p)) < float("inf"))
     return F.when(ok, F.greatest(F.expm1(p), F.lit(0.0))).otherwise(
         F.raise_error(F.lit("non-finite log prediction or overflow")).cast("double")
     )
@@ -121,9 +132,28 @@ def clamped(pred_log: Column | str) -> Column:
     return F.expm1(_c(pred_log)) < 0
 
 
+def _plain_letters() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters whose compatibility form without marks is one other letter, or several."""
+    one, many = {}, {"ß": "ss"}
+    for code in [*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        c = chr(code)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if bare and bare != c and not bare.isspace():
+            (one if len(bare) == 1 else many)[c] = bare
+    return one, many
+
+
 def name_key(c: Column | str) -> Column:
-    """Accent- and case-insensitive comparison key for names, whitespace collapsed."""
-    return F.collate(F.trim(F.regexp_replace(_c(c), r"(?U)\s+", " ")), "UNICODE_CI_AI")
+    """Comparison key for names: compatibility forms, no combining marks, folded case, single spaces.
+
+    Letters that do not decompose stay themselves (Ø is not O), and so do other quotation marks.
+    """
+    one, many = _plain_letters()
+    t = F.lower(F.translate(_c(c), "".join(one), "".join(one.values())))
+    for letter in ("ß", *(k for k in many if 0xFB00 <= ord(k) < 0xFB07)):
+        t = F.replace(t, F.lit(letter), F.lit(many[letter]))
+    t = F.translate(F.regexp_replace(t, r"\p{Mn}+", ""), "ς", "σ")
+    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
 def is_finite(c: Column | str) -> Column:
@@ -149,16 +179,6 @@ def match_points(club: Column, home: Column, away: Column, hg: Column, ag: Colum
     )
 
 
-def stable_round(c: Column | str, digits: int) -> Column:
-    """Round for display, cutting off the decimal midpoints.
-
-    Averages of two-decimal money often land exactly on x.xx5, where the last bit of the sum
-    (which depends on summation order) would decide. The cut at .5679 keeps such values whole.
-    """
-    scale = 10.0**digits
-    return F.floor(_c(c) * scale + 0.4321) / F.lit(scale)
-
-
 def day_number(c: Column | str) -> Column:
     return F.unix_date(_c(c))
 

@@ -402,11 +402,7 @@ def trailing_median(
     want = (  # at most one row per day
         cutoffs.select(F.unix_date(on).cast("bigint").alias(on)).distinct().where(F.col(on).isNotNull())
     )
-    # Spreading multiplies rows, so keep small inputs from being merged into few tasks first.
-    tasks = ev.sparkSession.sparkContext.defaultParallelism
-    per_day = (
-        ev.groupBy("_day", "_b").agg(F.count(F.lit(1)).alias("_c")).repartition(tasks, "_day", "_b")
-    )
+    per_day = ev.groupBy("_day", "_b").agg(F.count(F.lit(1)).alias("_c"))
     counts = _counts_in_windows(per_day, want, on, window_days)
     w = Window.partitionBy(on)
     upto = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -476,6 +472,8 @@ def window_sums(
 ) -> DataFrame:
     """Rows plus sums over history in [start, on), 0 where there is none.
 
+    Without both ends of the window, or with start after on, the sums are null.
+
     Running totals at both ends of the window are subtracted, so any window length costs the same.
     """
     daily = daily_totals(history, [entity], day, sums)
@@ -490,7 +488,10 @@ def window_sums(
     out = rows.join(upper, [entity, on], "left").join(lower, [entity, start], "left")
     zero = F.lit(0.0)
     totals = {
-        s: F.coalesce(F.col(f"_u_{s}"), zero) - F.coalesce(F.col(f"_l_{s}"), zero) for s in sums
+        s: F.when(
+            F.col(start) <= F.col(on), F.coalesce(F.col(f"_u_{s}"), zero) - F.coalesce(F.col(f"_l_{s}"), zero)
+        )
+        for s in sums
     }
     return out.withColumns(totals).drop(*(f"{e}_{s}" for s in sums for e in ("_u", "_l")))
 

@@ -82,13 +82,17 @@ def clean_games(raw: DataFrame, competition_ids: Sequence[str]) -> DataFrame:
 
 
 def clean_appearances(
-    raw: DataFrame, games: DataFrame, order: str = "appearance_id"
+    raw: DataFrame, games: DataFrame, order: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(all deduplicated league rows with flags, the valid rows).
 
-    Copies on (game, player, statistics) collapse first, then invalid statistics are flagged.
+    Copies on (game, player, statistics) collapse first, then invalid statistics are flagged. The row
+    kept is the first by ``order``: source_row where the raw table carries it, else appearance_id.
+    ``appearance_conflicts`` on the first result finds what is left of a (game, player).
     """
+    order = order or ("source_row" if "source_row" in raw.columns else "appearance_id")
     typed = raw.select(
+        *([] if order == "appearance_id" else [order]),
         S.clean_id("appearance_id").alias("appearance_id"),
         S.clean_id("game_id").alias("game_id"),
         S.clean_id("player_id").alias("player_id"),
@@ -111,6 +115,18 @@ def clean_appearances(
     return flagged, valid
 
 
+def appearance_conflicts(flagged: DataFrame) -> DataFrame:
+    """(game, player) pairs whose deduplicated rows still differ: (game_id, player_id, variants, rows)."""
+    return flagged.groupBy("game_id", "player_id").agg(
+        F.count(F.lit(1)).alias("variants"), F.sum("copies").alias("rows")
+    ).where("variants > 1")
+
+
+def appearance_id_violations(flagged: DataFrame) -> DataFrame:
+    """Null or repeated appearance ids among the deduplicated rows."""
+    return C.key_violations(flagged, "appearance_id")
+
+
 def appearance_stats(flagged: DataFrame) -> DataFrame:
     ok = ~F.col("invalid")
     return flagged.agg(
@@ -134,6 +150,11 @@ def clean_lineups(raw: DataFrame, games: DataFrame) -> DataFrame:
     )
 
 
+def lineup_conflicts(lineups: DataFrame) -> DataFrame:
+    """(game, player) pairs with more than one raw label: (game_id, player_id, variants, rows)."""
+    return C.key_conflicts(lineups, ["game_id", "player_id"], ["lineup_position_raw"])
+
+
 def unmapped_labels(lineups: DataFrame, label: str, mapped: str) -> DataFrame:
     return lineups.where(F.col(mapped).isNull()).groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 

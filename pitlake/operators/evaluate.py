@@ -66,7 +66,7 @@ def metrics(long: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
         n.alias("rows"),
     )
     med = exact_median(long, "abs_err", "median_ae", by)
-    return base.join(F.broadcast(med), by, "left")
+    return base.join(med, by, "left")
 
 
 def cluster_sums(df: DataFrame, cluster: str, errors: dict[str, Column]) -> DataFrame:
@@ -84,7 +84,6 @@ def paired_cluster_bootstrap(
     replicates: int,
     seed: int,
     confidence: float,
-    names: tuple[str, str] = ("model", "baseline"),
 ) -> DataFrame:
     """Per comparison: observed MAE difference to ``reference``, its percentile interval, verdict.
 
@@ -145,11 +144,8 @@ def paired_cluster_bootstrap(
             )
         ).alias("x"),
     ).select("clusters", "resampling_unit", "x.*")
-    verdict = (
-        F.when(F.col("ci_high") < 0, f"{names[0]} MAE lower; interval excludes zero")
-        .when(F.col("ci_low") > 0, f"{names[1]} MAE lower; interval excludes zero")
-        .otherwise("too uncertain to call; interval includes zero")
-    )
+    # The reference's error against the other's, where the interval leaves zero out.
+    verdict = F.when(F.col("ci_high") < 0, "lower").when(F.col("ci_low") > 0, "higher").otherwise("unclear")
     return whole.join(F.broadcast(ci), "comparison").withColumn("verdict", verdict)
 
 
@@ -188,7 +184,7 @@ def residuals_by_group(pred: DataFrame, group: str) -> DataFrame:
     agg = pred.groupBy(group).agg(
         F.count(F.lit(1)).alias("rows"), F.avg("abs_error").alias("mae")
     )
-    return agg.join(F.broadcast(exact_median(pred, "residual", "median_residual", [group])), group)
+    return agg.join(exact_median(pred, "residual", "median_residual", [group]), group)
 
 
 def drift_by_cycle(df: DataFrame, cycle: str, label: str, log_residual: Column) -> DataFrame:
@@ -197,7 +193,7 @@ def drift_by_cycle(df: DataFrame, cycle: str, label: str, log_residual: Column)
     agg = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(log_residual).alias("mean_log_residual")
     )
-    return agg.join(F.broadcast(exact_median(df, label, "median_label", groups)), groups)
+    return agg.join(exact_median(df, label, "median_label", groups), groups)
 
 
 def group_means(df: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> DataFrame:

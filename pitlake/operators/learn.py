@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlake.functions.scalar import POSITIONS
+from pitlake.functions.scalar import POSITIONS, is_finite
 
 # Model inputs, groups of inputs, grids.
 NUMERIC = ["goals", "assists", "minutes", "appearances", "goals_per90", "assists_per90", "age"]
@@ -177,12 +177,21 @@ class Grouped:
     by_group: dict = field(default_factory=dict)
 
 
+def finite(c: str) -> Column:
+    """The input as a double; a null or non-finite value fails the job, wherever its row is."""
+    x = F.col(c).cast("double")
+    return F.when(is_finite(x), x).otherwise(F.raise_error(F.lit(f"non-finite input: {c}")).cast("double"))
+
+
 def grouped_moments(df: DataFrame, columns: Sequence[str], label: str, by: str) -> Grouped:
-    """Two aggregates: column means, then per group the sums of centred products."""
+    """Two aggregates: column means, then per group the sums of centred products.
+
+    A null or non-finite input or label fails the job: sums would skip it, but counts would not.
+    """
     cols = [*columns, label]
-    means = df.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in cols)).first()
+    means = df.agg(*(F.avg(finite(c)).alias(c) for c in cols)).first()
     centre = {c: float(means[c] or 0.0) for c in cols}
-    shifted = df.select(by, *((F.col(c).cast("double") - centre[c]).alias(c) for c in cols))
+    shifted = df.select(by, *((finite(c) - centre[c]).alias(c) for c in cols))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     agg = shifted.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -337,8 +346,8 @@ def score_folds(df: DataFrame, cv: FoldFits, label: str, cycle: str) -> DataFram
 
     use = df.where(F.col(cycle).isin(*cv.validation_cycles)).select(
         F.col(cycle).alias("_cycle"),
-        F.col(label).alias("_y"),
-        *(F.col(c).cast("double").alias(c) for c in columns),
+        finite(label).alias("_y"),
+        *(finite(c).alias(c) for c in columns),
     )
     sums = (
         use.mapInPandas(partial, "fold int, model bigint, miss double, n bigint")

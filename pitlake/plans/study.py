@@ -4,7 +4,7 @@ context. Each step is lazy; only the assembled feature table is landed, because
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +67,7 @@ def assemble(i: Inputs) -> DataFrame:
     return P.with_partition(feats, "transfer_date", i.test_start)
 
 
-def enrich(feats: DataFrame, i: Inputs, t: B.Tables) -> DataFrame:
+def enrich(feats: DataFrame, i: Inputs, t: B.Tables, everything: DataFrame | None = None) -> DataFrame:
     """Exposure, trend, price level, context inputs on top of the feature table."""
     out = A.exposure_columns(feats, i.games, i.appearances, i.expected)
     out = out.withColumn("cycle_trend", A.cycle_trend())
@@ -76,7 +76,7 @@ def enrich(feats: DataFrame, i: Inputs, t: B.Tables) -> DataFrame:
     comps = B.competitions(t)
     others = A.other_leagues(comps, comps.where("in_study").select("competition_id"))
     europe = [n for n in range(25) if n % 5 == 3]  # nations of the international region
-    everything = B.appearance_rows(t, B.all_games(t))
+    everything = B.appearance_rows(t, B.all_games(t)) if everything is None else everything
     points = A.with_points(i.appearances, i.games)
     out = A.context_columns(out, i.seasons, points, everything, others, europe)
     return M.with_one_hot(out, "position")
@@ -108,5 +108,10 @@ def landed_features(t: B.Tables) -> tuple[DataFrame, Inputs]:
 
 
 def landed_enriched(t: B.Tables) -> tuple[DataFrame, Inputs]:
-    feats, i = landed_features(t)
-    return land(enrich(feats, i, t), "enriched"), i
+    """Features with exposure, price level and context. Appearances and moves are read by several of
+    these steps, so they are landed once: the only join of lines with orders, the only deduplication."""
+    i = bound_inputs(t)
+    every = land(B.appearance_rows(t, B.all_games(t)), "appearances")
+    i = replace(i, appearances=every.where(B.in_study_league()), moves=land(i.moves, "moves"))
+    feats = land(assemble(i), "features")
+    return land(enrich(feats, i, t, every), "enriched"), i

@@ -53,13 +53,23 @@ RAW_SCHEMAS: dict[str, tuple[str, ...]] = {
 }
 
 
-def read_csv_text(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+# Texts that stand for a missing value in the source files.
+NULL_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def read_csv_text(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True) -> DataFrame:
     """CSV (plain or gzip) with every column kept as text, pruned to the wanted columns.
 
-    Missing columns raise. A gzip file is one split: land it as Parquet once, then work on that.
+    Quotes inside quoted fields are doubled, and fields may hold line ends; texts that stand for a
+    missing value are null. Missing columns raise. A file is then one split: land it as Parquet once and
+    work on that, or set multi_line to False where no field holds a line end.
     """
-    df = spark.read.option("header", True).option("multiLine", False).csv(path)
-    return typed_scan(df, {c: "string" for c in columns})
+    df = spark.read.options(header=True, multiLine=multi_line, escape='"', quote='"').csv(path)
+    rows = typed_scan(df, {c: "string" for c in columns})
+    return rows.select(*(F.when(~F.col(c).isin(*NULL_TEXTS), F.col(c)).alias(c) for c in columns))
 
 
 def typed_scan(df: DataFrame, types: Mapping[str, str]) -> DataFrame:

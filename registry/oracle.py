@@ -36,6 +36,7 @@ def R(expr: str, digits: int) -> str:
     return f"(floor(({expr})::DOUBLE * {scale} + 0.4321) / {scale})"
 
 
+# Lineup labels and their groups, as in the package's tables.
 LABELS = (
     "['Goalkeeper','Centre-Back','Left-Back','Right-Back','Sweeper','Defender',"
     "'Defensive Midfield','Central Midfield','Attacking Midfield','Left Midfield',"
@@ -62,9 +63,9 @@ cte(
     CASE WHEN NOT late THEN CAST(o_orderkey % 4 AS DOUBLE) END AS home_club_goals,
     CASE WHEN NOT late THEN CAST(o_custkey % 3 AS DOUBLE) END AS away_club_goals,
     NOT late AS played
-    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d,
-          o_orderstatus = 'P' AND CAST(o_orderdate AS DATE) >= DATE '2001-07-01' AS late
-          FROM orders WHERE month(o_orderdate) NOT IN (6, 12))""",
+    FROM (SELECT *, o_orderstatus = 'P' AND d >= DATE '2001-07-01' AS late FROM (
+          SELECT *, CASE WHEN month(o_orderdate) IN (6, 12) THEN CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE)
+            ELSE CAST(o_orderdate AS DATE) END AS d FROM orders))""",
 )
 cte("games", "SELECT * FROM games_all WHERE competition_id % 5 <= 2")
 cte(
@@ -97,9 +98,9 @@ cte("apps_all", _APPS.format("games_all"))
 cte("apps", _APPS.format("games"))
 cte(
     "lineups_raw",
-    f"""SELECT l_orderkey AS game_id, l_partkey AS player_id,
+    f"""SELECT CASE WHEN l_orderkey % 5 = 0 THEN -l_orderkey - 1 ELSE l_orderkey END AS game_id, l_partkey AS player_id,
     {LABELS}[CAST((l_orderkey * 7 + l_partkey * 3) % 20 + 1 AS BIGINT)] AS position
-    FROM lineitem WHERE l_orderkey % 5 <> 0""",
+    FROM lineitem""",
 )
 cte(
     "lineups",
@@ -331,26 +332,56 @@ def asof_sql(rows: str) -> str:
     ON r.player_id = q.player_id AND r.transfer_date > q.valuation_date"""
 
 
-# One-input least squares per expanding fold and on all training rows.
+# Least squares and ridge on all inputs, per expanding fold (f) and on all training rows (f = -1): centred
+# cross products, numeric inputs scaled, one Gauss-Jordan step per CTE. A pivot that vanishes (the four
+# position columns sum to one) keeps weight zero, which changes no prediction.
+NUMBERS = ("goals", "assists", "minutes", "appearances", "goals_per90", "assists_per90", "age")
+GROUPS = ("GK", "DF", "MF", "FW")
+ALPHAS = (0.0, 0.1, 1.0, 10.0, 100.0)
+_P = len(NUMBERS) + len(GROUPS)
+_X = "[" + ", ".join([f"{c}::DOUBLE" for c in NUMBERS] + [f"coalesce(position = '{g}', FALSE)::INT::DOUBLE" for g in GROUPS]) + "]"
 cte(
     "folds",
     """SELECT row_number() OVER (ORDER BY transfer_cycle) - 1 AS fold, transfer_cycle AS val FROM (
     SELECT DISTINCT transfer_cycle FROM train ORDER BY 1 DESC LIMIT 3)""",
 )
+cte("design", f"SELECT *, {_X} AS x FROM feats")
+cte("fitrows", """SELECT fold AS f, fee_log1p AS y, x FROM folds JOIN design ON partition_ = 'train' AND transfer_cycle < val
+    UNION ALL SELECT -1, fee_log1p, x FROM design WHERE partition_ = 'train'""")
+_COV = ", ".join("[" + ", ".join(f"covar_pop(x[{i}], x[{j}])" for j in range(1, _P + 1)) + "]" for i in range(1, _P + 1))
 cte(
-    "ols",
-    """SELECT regr_slope(fee_log1p, minutes) AS b, regr_intercept(fee_log1p, minutes) AS a
-    FROM train""",
+    "grams",
+    f"""SELECT f, count(*) AS n, avg(y) AS my, [{', '.join(f'avg(x[{i}])' for i in range(1, _P + 1))}] AS m, [{_COV}] AS c,
+    [{', '.join(f'covar_pop(x[{i}], y)' for i in range(1, _P + 1))}] AS cy,
+    [{', '.join(f'CASE WHEN stddev_pop(x[{i}]) > 0 THEN stddev_pop(x[{i}]) ELSE 1 END' if i <= len(NUMBERS) else '1.0::DOUBLE' for i in range(1, _P + 1))}]
+      AS sd FROM fitrows GROUP BY f""",
 )
 cte(
-    "foldols",
-    """SELECT fold, val, regr_slope(fee_log1p, minutes) AS b, regr_intercept(fee_log1p, minutes) AS a
-    FROM folds JOIN train ON transfer_cycle < val GROUP BY fold, val""",
+    "gj0",
+    f"""SELECT f, alpha, my, m, sd, list_transform(range(1, {_P + 1}), lambda i: list_transform(range(1, {_P + 2}), lambda j:
+      CASE WHEN j = {_P + 1} THEN cy[i] / sd[i] ELSE c[i][j] / (sd[i] * sd[j]) + CASE WHEN i = j THEN alpha / n ELSE 0 END END)) AS a
+    FROM grams CROSS JOIN (VALUES {', '.join(f'({x}::DOUBLE)' for x in ALPHAS)}) v(alpha)""",
 )
+for _k in range(1, _P + 1):
+    cte(
+        f"gj{_k}",
+        f"""SELECT f, alpha, my, m, sd, CASE WHEN abs(a[{_k}][{_k}]) < 1e-10
+      THEN list_transform(range(1, {_P + 1}), lambda i: CASE WHEN i = {_k} THEN list_transform(a[i], lambda v: 0.0::DOUBLE) ELSE a[i] END)
+      ELSE list_transform(range(1, {_P + 1}), lambda i: CASE WHEN i = {_k} THEN list_transform(a[i], lambda v: v / a[{_k}][{_k}])
+        ELSE list_transform(range(1, {_P + 2}), lambda j: a[i][j] - a[i][{_k}] * a[{_k}][j] / a[{_k}][{_k}]) END) END AS a
+    FROM gj{_k - 1}""",
+    )
+cte(
+    "fits",
+    f"""SELECT *, my - list_sum(list_transform(range(1, {_P + 1}), lambda i: w[i] * m[i])) AS b FROM (
+    SELECT f, alpha, my, m, sd, list_transform(range(1, {_P + 1}), lambda i: a[i][{_P + 1}] / sd[i]) AS w FROM gj{_P})""",
+)
+FIT = f"(b + list_sum(list_transform(range(1, {_P + 1}), lambda i: w[i] * x[i])))"
+cte("predicted", f"SELECT d.*, {FIT} AS pred_log FROM design d CROSS JOIN (SELECT w, b FROM fits WHERE f = -1 AND alpha = 0)")
 cte(
     "oof",
-    """SELECT transfer_id, fold, fee_log1p - (a + b * minutes) AS r
-    FROM foldols JOIN train ON transfer_cycle = val""",
+    f"""SELECT transfer_id, fold, fee_log1p - {FIT} AS r FROM folds JOIN fits ON f = fold AND alpha = 0
+    JOIN design ON partition_ = 'train' AND transfer_cycle = val""",
 )
 
 
@@ -373,11 +404,12 @@ cte(
 )
 cte(
     "scored",
-    """SELECT t.*, a + b * minutes AS pred_log, greatest(exp(a + b * minutes) - 1, 0) AS pred,
+    f"""SELECT t.*, greatest(exp(pred_log) - 1, 0) AS pred, greatest(exp({FIT}) - 1, 0) AS p_ridge,
     base.med AS p_median, base.mean AS p_mean, coalesce(bypos.med, base.med) AS p_pos,
     bypos.med IS NULL AS fallback,
-    fee_eur - greatest(exp(a + b * minutes) - 1, 0) AS residual,
-    abs(fee_eur - greatest(exp(a + b * minutes) - 1, 0)) AS abs_error,
-    fee_log1p - (a + b * minutes) AS log_res
-    FROM test t CROSS JOIN ols CROSS JOIN base LEFT JOIN bypos ON t.position = bypos.position""",
+    fee_eur - greatest(exp(pred_log) - 1, 0) AS residual,
+    abs(fee_eur - greatest(exp(pred_log) - 1, 0)) AS abs_error,
+    fee_log1p - pred_log AS log_res
+    FROM predicted t CROSS JOIN (SELECT w, b FROM fits WHERE f = -1 AND alpha = 1) CROSS JOIN base
+    LEFT JOIN bypos ON t.position = bypos.position WHERE partition_ = 'test'""",
 )

@@ -27,7 +27,9 @@ from pitlake.operators import seasons as T
 from pitlake.operators import split as P
 from pitlake.plans import study as ST
 from pitlake.sources import raw as RAW
-from registry.oracle import AGE, GROUP, LOOKBACK, R, agg_sql, asof_sql, cand_sql, pairs_sql, sql
+from registry.oracle import (
+    AGE, FIT, GROUP, GROUPS, LABELS, LOOKBACK, NUMBERS, R, agg_sql, asof_sql, cand_sql, pairs_sql, sql,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,8 +50,18 @@ def txt(c: Column | str, name: str | None = None) -> Column:
     return c2.cast("string").alias(name or c)
 
 
+def stable_round(c: Column | str, digits: int) -> Column:
+    """Round for the side-by-side display, cutting off the decimal midpoints.
+
+    Averages of two-decimal money often land exactly on x.xx5, where the last bit of the sum
+    (which depends on summation order) would decide. The cut at .5679 keeps such values whole.
+    """
+    scale = 10.0**digits
+    return F.floor((F.col(c) if isinstance(c, str) else c) * scale + 0.4321) / F.lit(scale)
+
+
 def rnd(c: Column | str, d: int, name: str | None = None) -> Column:
-    return S.stable_round(c, d).alias(name or c)
+    return stable_round(c, d).alias(name or c)
 
 
 def big(c: Column | str, name: str | None = None) -> Column:
@@ -73,6 +85,23 @@ def s1(t):
     )
 
 
+@query(
+    "S1_csv_scan",
+    """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, '"' || p_name || '", ' || p_brand ||
+    CASE WHEN p_partkey % 5 = 0 THEN chr(10) || 'second line' ELSE '' END AS p_name,
+    CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_type END AS p_type FROM part""",
+)
+def s1_csv(t):
+    name = F.concat(F.lit('"'), "p_name", F.lit('", '), "p_brand", F.when(F.col("p_partkey") % 5 == 0, "\nsecond line").otherwise(""))
+    rows = t.read("part").select(
+        F.col("p_size"), F.col("p_partkey"), name.alias("p_name"),
+        F.when(F.col("p_partkey") % 7 == 0, F.element_at(F.array(*(F.lit(x) for x in ("NA", "n/a", "NULL"))), (F.col("p_partkey") % 3 + 1).cast("int")))
+        .otherwise(F.col("p_type")).alias("p_type"))
+    path = f"{shared_folder(t.spark)}/parts-{uuid.uuid4().hex}"
+    rows.write.options(header=True, escape='"', quote='"').csv(path)
+    return RAW.read_csv_text(t.spark, path, ["p_partkey", "p_name", "p_type"])
+
+
 _PROFILE = [
     ("moves", "moves_raw", ["player_id", "from_club_id", "transfer_fee", "transfer_date"]),
     ("players", "players", ["player_id", "date_of_birth", "current_position"]),
@@ -426,9 +455,7 @@ def _deduped(t):
 )
 def q3(t):
     flagged, _ = _deduped(t)
-    return flagged.groupBy("game_id", "player_id").agg(
-        F.count(F.lit(1)).alias("variants"), F.sum("copies").alias("rows")
-    ).where("variants > 1")
+    return K.appearance_conflicts(flagged)
 
 
 _INVALID = "coalesce(TRY_CAST(minutes_played AS DOUBLE) < 0, TRUE)"
@@ -472,6 +499,23 @@ def q6(t):
     return C.key_violations(ids, "k")
 
 
+@query(
+    "Q7_lineup_conflicts",
+    f"""SELECT CAST(l_orderkey % 499 AS VARCHAR) AS game_id, CAST(l_partkey AS VARCHAR) AS player_id,
+    count(DISTINCT p) AS variants, count(DISTINCT p) AS rows FROM (SELECT *,
+    {LABELS}[CAST((l_orderkey * 7 + l_partkey * 3) % 20 + 1 AS BIGINT)] AS p FROM lineitem)
+    GROUP BY ALL HAVING count(DISTINCT coalesce(p, '')) > 1 AND count(DISTINCT p) > 1 AND count(*) = count(p)""",
+)
+def q7_conflicts(t):
+    rows = t.read("lineitem").select(
+        (F.col("l_orderkey") % 499).alias("game_id"), F.col("l_partkey").alias("player_id"),
+        B.lineup_label(F.col("l_orderkey"), F.col("l_partkey")).alias("position"))
+    known = rows.groupBy("game_id", "player_id").agg(F.count_if(F.col("position").isNull()).alias("n")).where("n = 0")
+    games = rows.select(F.col("game_id").cast("string").alias("game_id")).distinct()
+    clean = K.clean_lineups(rows.join(known, ["game_id", "player_id"], "left_semi"), games)
+    return K.lineup_conflicts(clean)
+
+
 @query(
     "Q7_unmapped_labels",
     f"""SELECT position AS lineup_position_raw, count(*) AS rows FROM (SELECT DISTINCT r.* FROM
@@ -1304,16 +1348,37 @@ def m4(t):
     return scores.select("grid_order", "candidate", "family", "fold", "rows", rnd("log_mae", 6))
 
 
+_FLAGS = [f"position_{p}" for p in S.POSITIONS]
+_HEADLINE = {"headline": list(M.NUMERIC)}
+
+
+def _flagged(t):
+    """Landed features with position columns: (train, test, all, study inputs)."""
+    feats, i = ST.landed_features(t)
+    feats = M.with_one_hot(feats, "position")
+    return feats.where("partition = 'train'"), feats.where("partition = 'test'"), feats, i
+
+
 @query("M4_full_grid")
 def m4_full(t):
-    train, _, _ = _train(t)
-    train = M.with_one_hot(train, "position")
-    scores, _, _ = M.cross_validate(
-        train, {"headline": M.NUMERIC}, list(M.one_hot("position")), n_folds=B.N_FOLDS
-    )
+    train, *_ = _flagged(t)
+    scores, _, _ = M.cross_validate(train, _HEADLINE, _FLAGS, n_folds=B.N_FOLDS)
     return scores
 
 
+@query(
+    "M4_linear_and_ridge",
+    f"""SELECT CASE WHEN alpha = 0 THEN 'linear' ELSE 'ridge(alpha=' || alpha || ')' END AS candidate, CAST(fold AS INT) AS fold,
+    count(*) AS rows, {R('avg(abs(fee_log1p - ' + FIT + '))', 6)} AS log_mae FROM folds JOIN fits ON f = fold
+    JOIN design ON partition_ = 'train' AND transfer_cycle = val GROUP BY alpha, fold""",
+)
+def m4_linear(t):
+    train, *_ = _flagged(t)
+    grid = [c for c in M.linear_grid() if c.family != "elastic_net"]
+    scores, _, _ = M.cross_validate(train, _HEADLINE, _FLAGS, n_folds=B.N_FOLDS, grid=grid)
+    return scores.select("candidate", "fold", "rows", rnd("log_mae", 6))
+
+
 _SUM_SQL = f"""(SELECT grid_order, candidate, family, round_even(avg(log_mae), 4) AS m,
     round_even(stddev_pop(log_mae), 4) AS s FROM {_CV_SQL} GROUP BY ALL)"""
 
@@ -1341,14 +1406,27 @@ def m5(t):
     )
 
 
-@query("M6_coefficient_table")
+def _coefficients() -> str:
+    """OLS terms: per sd of a numeric input, and position columns that sum to zero (least norm)."""
+    n, g = len(NUMBERS), len(GROUPS)
+    level = "(" + " + ".join(f"w[{n + k}]" for k in range(1, g + 1)) + f") / {g}"
+    one = " UNION ALL ".join(
+        [f"SELECT '{c}' AS term, 'num' AS kind, w[{i}] * sd[{i}] AS c, m[{i}] AS mean, sd[{i}] AS s FROM fits WHERE f = -1 AND alpha = 0"
+         for i, c in enumerate(NUMBERS, 1)]
+        + [f"SELECT 'position_{c}', 'cat', w[{n + k}] - {level}, NULL, NULL FROM fits WHERE f = -1 AND alpha = 0" for k, c in enumerate(GROUPS, 1)]
+        + [f"SELECT '(intercept)', 'intercept', my - ({' + '.join(f'(w[{n + k}] - {level}) * m[{n + k}]' for k in range(1, g + 1))}), NULL, NULL "
+           "FROM fits WHERE f = -1 AND alpha = 0"])
+    return (f"SELECT term, kind, {R('c', 6)} AS coef_log1p, {R('exp(c)', 4)} AS multiplier_on_1p_fee, {R('mean', 6)} AS train_mean, "
+            f"{R('s', 6)} AS train_sd FROM ({one})")
+
+
+@query("M6_coefficient_table", _coefficients())
 def m6(t):
-    train, _, _ = _train(t)
-    train = M.with_one_hot(train, "position")
-    flags = list(M.one_hot("position"))
-    stats = M.grouped_moments(train, [*M.NUMERIC, *flags], "fee_log1p", "transfer_cycle")
-    fit = M.final_fit(stats, M.linear_grid()[0], M.NUMERIC, flags, "fee_log1p")
-    return M.coefficient_table(train, fit, M.NUMERIC)
+    train, *_ = _flagged(t)
+    stats = M.grouped_moments(train, [*M.NUMERIC, *_FLAGS], "fee_log1p", "transfer_cycle")
+    fit = M.final_fit(stats, M.linear_grid()[0], M.NUMERIC, _FLAGS, "fee_log1p")
+    return M.coefficient_table(train, fit, M.NUMERIC).select(
+        "term", "kind", rnd("coef_log1p", 6), rnd("multiplier_on_1p_fee", 4), rnd("train_mean", 6), rnd("train_sd", 6))
 
 
 @query(
@@ -1430,52 +1508,21 @@ def m8(t):
     )
 
 
-_BOOST_COLUMNS = ["goals", "assists", "minutes", "appearances", "age"]
-
-
-@query("M9_boosted_trees")
-def m9(t):
-    train, _, _ = _train(t)
-    grid = [{"max_depth": 2, "min_leaf": 20, "rounds": 4}, {"max_depth": 3, "min_leaf": 10, "rounds": 4}]
-    scores = M.cross_validate_boosting(
-        train, _BOOST_COLUMNS, "fee_log1p", "transfer_cycle", 2, grid
-    )
-    return M.summarise_cv(scores, ["grid_order", "candidate"])
-
-
-@query("M10_monotonicity_audit")
-def m10(t):
-    train, test, _ = _train(t)
-    model = M.fit_boosting(
-        train, _BOOST_COLUMNS, "fee_log1p", {"max_depth": 3, "min_leaf": 10, "rounds": 4}
-    )
-    ends = train.agg(
-        *(F.min(c).cast("double").alias(f"lo_{c}") for c in _BOOST_COLUMNS),
-        *(F.max(c).cast("double").alias(f"hi_{c}") for c in _BOOST_COLUMNS),
-    ).first()
-    ranges = {c: (ends[f"lo_{c}"], ends[f"hi_{c}"]) for c in _BOOST_COLUMNS}
-    doubles = test.select("transfer_id", *(F.col(c).cast("double").alias(c) for c in _BOOST_COLUMNS))
-    return M.monotonicity_audit(
-        doubles, "transfer_id", _BOOST_COLUMNS, model.transform, ranges, M.MONOTONE_SIGNS
-    )
-
-
 # ------------------------------------------------------- evaluation, resampling, intervals
 
 
 def _fitted(t):
-    """Landed features plus the one-input fit, its folds, and test rows with all predictions."""
-    feats, i = ST.landed_features(t)
-    train, test = feats.where("partition = 'train'"), feats.where("partition = 'test'")
-    stats = M.grouped_moments(train, ["minutes"], "fee_log1p", "transfer_cycle")
+    """Landed features plus the headline fit (all inputs), its folds, and test rows with all predictions."""
+    train, test, _, i = _flagged(t)
+    stats = M.grouped_moments(train, [*M.NUMERIC, *_FLAGS], "fee_log1p", "transfer_cycle")
     grid = [M.Candidate("linear")]
-    cv = M.fit_folds(stats, _ONE, [], "fee_log1p", B.N_FOLDS, grid)
-    fit = M.final_fit(stats, grid[0], ["minutes"], [], "fee_log1p")
-    log = M.prediction(fit)
+    cv = M.fit_folds(stats, _HEADLINE, _FLAGS, "fee_log1p", B.N_FOLDS, grid)
+    log = M.prediction(M.final_fit(stats, grid[0], M.NUMERIC, _FLAGS, "fee_log1p"))
+    ridge = M.prediction(M.final_fit(stats, M.Candidate("ridge", 1.0), M.NUMERIC, _FLAGS, "fee_log1p"))
     scored = E.with_baselines(test, train, "fee_eur", "position").withColumn("prediction_log", log)
     scored = scored.withColumn("prediction", S.back_to_units("prediction_log")).withColumn(
         "residual", F.col("fee_eur") - F.col("prediction")
-    ).withColumn("abs_error", F.abs("residual"))
+    ).withColumn("abs_error", F.abs("residual")).withColumn("ridge", S.back_to_units(ridge))
     return land(scored, "scored"), train, cv, i, log
 
 
@@ -1494,14 +1541,13 @@ _LONG = """(SELECT transfer_id, player_id, fee_eur AS y, fee_log1p AS yl, unnest
     "M11_score_models",
     f"SELECT transfer_id, {R('pred_log', 6)} AS prediction_log, {R('pred', 2)} AS prediction, "
     f"{R('log_res', 6)} AS log_residual FROM scored UNION ALL SELECT transfer_id, "
-    f"{R('a + b * minutes', 6)}, {R('exp(a + b * minutes) - 1', 2)}, "
-    f"{R('fee_log1p - (a + b * minutes)', 6)} FROM train CROSS JOIN ols",
+    f"{R('pred_log', 6)}, {R('greatest(exp(pred_log) - 1, 0)', 2)}, "
+    f"{R('fee_log1p - pred_log', 6)} FROM predicted WHERE partition_ = 'train'",
 )
 def m11(t):
-    feats, _ = ST.landed_features(t)
-    train = feats.where("partition = 'train'")
-    stats = M.grouped_moments(train, ["minutes"], "fee_log1p", "transfer_cycle")
-    log = M.prediction(M.final_fit(stats, M.Candidate("linear"), ["minutes"], [], "fee_log1p"))
+    train, _, feats, _ = _flagged(t)
+    stats = M.grouped_moments(train, [*M.NUMERIC, *_FLAGS], "fee_log1p", "transfer_cycle")
+    log = M.prediction(M.final_fit(stats, M.Candidate("linear"), M.NUMERIC, _FLAGS, "fee_log1p"))
     out = feats.withColumn("prediction_log", log)
     return out.select(
         "transfer_id", rnd("prediction_log", 6), rnd(S.back_to_units("prediction_log"), 2, "prediction"),
@@ -1536,7 +1582,7 @@ def e2(t):
     )
 
 
-_REPS, _SEED = 200, 42
+_REPS, _SEED = 5000, 42
 
 
 def _boot_oracle(methods: dict[str, str], reference: str, rows: str, model: str, other: str) -> str:
@@ -1545,9 +1591,9 @@ def _boot_oracle(methods: dict[str, str], reference: str, rows: str, model: str,
     others = [m for m in methods if m != reference]
     return " UNION ALL ".join(
         f"""SELECT '{m}' AS comparison, {R('o', 3)} AS observed_delta, {R('lo', 3)} AS ci_low,
-    {R('hi', 3)} AS ci_high, CASE WHEN hi < 0 THEN '{model} MAE lower; interval excludes zero'
-    WHEN lo > 0 THEN '{other} MAE lower; interval excludes zero'
-    ELSE 'too uncertain to call; interval includes zero' END AS verdict, clusters FROM (
+    {R('hi', 3)} AS ci_high, CASE WHEN hi < 0 THEN 'lower'
+    WHEN lo > 0 THEN 'higher'
+    ELSE 'unclear' END AS verdict, clusters FROM (
     SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM (
       SELECT (sum(e_{reference}) - sum(e_{m})) / sum(n) AS d FROM (
         SELECT rep, ('0x' || substr(md5(rep || '|' || i || '|{_SEED}'), 1, 15))::BIGINT % clusters AS s
@@ -1709,7 +1755,7 @@ def e8_boot(t):
     errors = {c: F.abs(F.col("fee_eur") - F.col(p)) for c, p in
               (("linear", "prediction"), ("market_value", "market_value_eur"))}
     out = E.paired_cluster_bootstrap(
-        rows, "player_id", errors, "linear", _REPS, _SEED, 0.95, ("linear", "market value")
+        rows, "player_id", errors, "linear", _REPS, _SEED, 0.95
     )
     return out.select(
         "comparison", rnd("observed_delta", 3), rnd("ci_low", 3), rnd("ci_high", 3), "verdict", "clusters"
@@ -1746,7 +1792,7 @@ def e10(t):
 @query("E11_oof_residuals", f"SELECT transfer_id, CAST(fold AS INT) AS fold, {R('r', 6)} AS residual FROM oof")
 def e11(t):
     _, train, cv, _, _ = _fitted(t)
-    out = CF.out_of_fold(train, cv, "minutes_only", 0, "transfer_cycle", "fee_log1p")
+    out = CF.out_of_fold(train, cv, "headline", 0, "transfer_cycle", "fee_log1p")
     return out.select("transfer_id", "fold", rnd("oof_residual", 6, "residual"))
 
 
@@ -1764,7 +1810,7 @@ _QS = "(" + " UNION ALL ".join(_q_sql(x) for x in _LEVELS) + ")"
 
 
 def _quantiles(train, cv):
-    oof = CF.out_of_fold(train, cv, "minutes_only", 0, "transfer_cycle", "fee_log1p").withColumn(
+    oof = CF.out_of_fold(train, cv, "headline", 0, "transfer_cycle", "fee_log1p").withColumn(
         "score", F.abs("oof_residual")
     )
     return land(CF.conformal_quantile(oof, "score", _LEVELS), "quantiles")
@@ -1852,7 +1898,7 @@ def e15(t):
 def _bands(k: int) -> str:
     # Ties follow the first 13 hex digits of the key's md5, as on the Spark side.
     return f"""(SELECT *, ntile({k}) OVER (ORDER BY pred, substr(md5(transfer_id), 1, 13)) AS band
-    FROM (SELECT transfer_id, {R('pred', 6)} AS pred, log_res FROM scored))"""
+    FROM scored)"""
 
 
 @query(
@@ -1864,8 +1910,7 @@ def _bands(k: int) -> str:
 )
 def e16(t):
     scored, *_ = _fitted(t)
-    rows = scored.withColumn("prediction", rnd("prediction", 6))
-    return FX.residual_bands(rows, "fee_eur", "transfer_id").select(
+    return FX.residual_bands(scored, "fee_eur", "transfer_id").select(
         "band", "rows", rnd("predicted_min", 2), rnd("predicted_max", 2), rnd("median_log_residual", 6),
         rnd("iqr_log", 6),
     )
@@ -1881,8 +1926,7 @@ def e16(t):
 def e16_quarters(t):
     scored, train, cv, _, _ = _fitted(t)
     q = _quantiles(train, cv).where("level = 0.8").select("q_log").scalar()
-    rows = scored.withColumn("prediction", rnd("prediction", 6))
-    out = FX.coverage_quarters(rows, "fee_eur", "transfer_id", q)
+    out = FX.coverage_quarters(scored, "fee_eur", "transfer_id", q)
     return out.select(
         "band", "rows", rnd("predicted_min", 2), rnd("predicted_max", 2),
         *(rnd(c, 6) for c in ("coverage", "share_above_upper", "share_below_lower")),
@@ -1926,14 +1970,13 @@ def e18(t):
 @query(
     "E19_drift_by_cycle",
     f"""SELECT transfer_cycle, partition_ AS partition, count(*) AS rows,
-    {R('avg(fee_log1p - (a + b * minutes))', 6)} AS mean_log_residual,
-    {R('quantile_cont(fee_eur, 0.5)', 3)} AS median_label FROM feats CROSS JOIN ols GROUP BY ALL""",
+    {R('avg(fee_log1p - pred_log)', 6)} AS mean_log_residual,
+    {R('quantile_cont(fee_eur, 0.5)', 3)} AS median_label FROM predicted GROUP BY ALL""",
 )
 def e19(t):
-    feats, _ = ST.landed_features(t)
-    train = feats.where("partition = 'train'")
-    stats = M.grouped_moments(train, ["minutes"], "fee_log1p", "transfer_cycle")
-    log = M.prediction(M.final_fit(stats, M.Candidate("linear"), ["minutes"], [], "fee_log1p"))
+    train, _, feats, _ = _flagged(t)
+    stats = M.grouped_moments(train, [*M.NUMERIC, *_FLAGS], "fee_log1p", "transfer_cycle")
+    log = M.prediction(M.final_fit(stats, M.Candidate("linear"), M.NUMERIC, _FLAGS, "fee_log1p"))
     out = E.drift_by_cycle(feats, "transfer_cycle", "fee_eur", F.col("fee_log1p") - log)
     return out.select(
         "transfer_cycle", "partition", "rows", rnd("mean_log_residual", 6), rnd("median_label", 3)
@@ -1942,7 +1985,7 @@ def e19(t):
 
 @query(
     "E20_compare_worst",
-    f"""SELECT s.transfer_id, {R('pred', 2)} AS pred__linear, {R('p_median', 2)} AS pred__train_median,
+    f"""SELECT s.transfer_id, {R('pred', 2)} AS pred__linear, {R('p_ridge', 2)} AS pred__ridge, {R('p_median', 2)} AS pred__train_median,
     {R('p_pos', 2)} AS pred__by_position, europe_minutes, other_league_minutes,
     fee_eur >= greatest(exp(pred_log - q) - 1, 0) AND fee_eur <= exp(pred_log + q) - 1 AS covered
     FROM scored s JOIN ctx USING (transfer_id) CROSS JOIN q80 ORDER BY abs_error DESC, s.transfer_id LIMIT 5""",
@@ -1960,7 +2003,7 @@ def e20(t):
     ).select("transfer_id", "europe_minutes", "other_league_minutes")
     lo, hi = CF.interval(F.col("prediction_log"), F.col("_q"))
     models = scored.withColumn("_q", q).select(
-        "transfer_id", rnd("prediction", 2, "pred__linear"), rnd("train_median", 2, "pred__train_median"),
+        "transfer_id", rnd("prediction", 2, "pred__linear"), rnd("ridge", 2, "pred__ridge"), rnd("train_median", 2, "pred__train_median"),
         rnd("train_median_by_position", 2, "pred__by_position"),
         ((F.col("fee_eur") >= lo) & (F.col("fee_eur") <= hi)).alias("covered"),
     )
