@@ -77,9 +77,14 @@ _LOOKS = dict(zip(
     "ABCEHIJKMOPSTXYaeijopcyxsdqwhABEZHIKMNOPTYXovpi", strict=True))
 # Characters that show nothing.
 _HIDDEN = "­​‌‍⁠﻿"
-# Digits in words.
-_DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
-           "seven": "7", "eight": "8", "nine": "9"}
+# Digits in words, from 0 to 9, in English, German, French and Spanish, and other names of 0.
+_TENS = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+_DIGITS = {w: str(i) for words in _TENS for i, w in enumerate(words.split())} | {"oh": "0", "zwo": "2"}
 
 
 @cache
@@ -100,8 +105,13 @@ def _characters() -> tuple[dict[int, str | None], np.ndarray]:
     return table, mapped
 
 
-_WORD = "(?:" + "|".join(_DIGITS) + ")"
+_WORD = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
 _SPELT = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+(?={_WORD}\b|[0-9]))?(?:{_WORD}|[0-9]+)(?:[\s,-]{{1,2}}(?:{_WORD}(?![A-Za-z])|[0-9]+))+(?![A-Za-z])", re.I)
+# Letters that stand in for digits inside a number of mostly digits.
+_MIXED = re.compile(r"(?<![A-Za-z])\+?(?=[0-9OoIl]*[0-9])[0-9OoIl](?:[\x20().-]?[\x20().-]?[0-9OoIl]){6,}(?![A-Za-z])")
+_MIXED_HINT = re.compile(r"[0-9][OoIl]|[OoIl][0-9]|[0-9][\x20.-][OoIl](?![A-Za-z])")
+_AS_DIGIT = str.maketrans("OoIl", "0011")
+_ENTITY = re.compile(r"&#(?:64|46|x40|x2e);|&(?:commat|period);", re.I)
 _SPELT_ONE = re.compile(rf"plus|{_WORD}|[0-9]+", re.I)
 _WRAP_AT, _WRAP_DOT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
 _AT, _DOT = rf"(?:{_WRAP_AT}|\s+at\s+|\s*@\s*)", rf"(?:{_WRAP_DOT}|\s+dot\s+)"
@@ -174,6 +184,19 @@ class Rewritten:
                 at = p.end()
         self.replace(edits)
 
+    def letters(self) -> None:
+        """O and l inside numbers become 0 and 1, where digits outnumber them."""
+        text = list(self.text)
+        for m in _MIXED.finditer(self.text):
+            odd = [i for i in range(m.start(), m.end()) if text[i] in "OoIl"]
+            if 3 * len(odd) < sum(c.isalnum() for c in m.group()):
+                for i in odd:
+                    text[i] = text[i].translate(_AS_DIGIT)
+        self.text = "".join(text)
+
+    def entities(self) -> None:
+        self.replace([(m.start(), m.end(), "@" if m.group().lower() in ("&#64;", "&#x40;", "&commat;") else ".") for m in _ENTITY.finditer(self.text)])
+
     def signs(self, shape: re.Pattern, part: re.Pattern) -> None:
         """at and dot (and single spelled digits, if part has them) are rewritten inside what has the shape."""
         self.replace([
@@ -185,6 +208,10 @@ def disguised_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
     """Identifiers that only the rewritten text shows, by their place in the source."""
     r = Rewritten(text)
     r.characters()
+    if "&" in r.text:
+        r.entities()
+    if _MIXED_HINT.search(r.text):
+        r.letters()
     low = r.text.lower()
     spelt, dot = any(_stands(low, d) for d in _DIGITS), _stands(low, "dot")
     if spelt:
