@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlake.llm.toxicity import thinned
+
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*))>"
     r"|</?[a-zA-Z][^>]*>|(?P<text>[^<]+|<)", re.S)
@@ -299,7 +301,9 @@ def labelled_pages(samples: list[str], count: int = 800, seed: int = 5) -> list[
 
 def train(pages: DataFrame, key: str = "page_id", page: str = "html", max_pages: int = 40) -> Chain:
     """Chain trained on layouts filled with the block texts of at most max_pages pages, by hash of the key."""
-    some = pages.where(F.col(page).isNotNull()).select(F.xxhash64(key).alias("h"), F.substring(page, 1, 50_000).alias("p")).orderBy("h", "p").limit(max_pages).collect()
+    there = pages.where(F.col(page).isNotNull())
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    some = thinned(there, key, max_pages, there.count()).select(h.alias("h"), F.substring(page, 1, 50_000).alias("p")).orderBy("h", "p").limit(max_pages).collect()
     texts = sorted({t for r in some for t, _ in blocks(r.p)})
     return fit(labelled_pages(texts))
 
