@@ -102,11 +102,34 @@ def landed_price_level(feats: DataFrame, i: Inputs, min_events: int) -> DataFram
     return land(level, "level")
 
 
+_kept: dict | None = None
+
+
+def keep_landed() -> None:
+    """From now on, the landed study tables of a folder are used again within this process."""
+    global _kept
+    _kept = {}
+
+
+def _once(build):
+    def run(t: B.Tables) -> tuple[DataFrame, Inputs]:
+        key = (build.__name__, t.spark.sparkContext.applicationId, t.folder)
+        if _kept is None:
+            return build(t)
+        if key not in _kept:
+            _kept[key] = build(t)
+        return _kept[key]
+
+    return run
+
+
+@_once
 def landed_features(t: B.Tables) -> tuple[DataFrame, Inputs]:
     i = bound_inputs(t)
     return land(assemble(i), "features"), i
 
 
+@_once
 def landed_enriched(t: B.Tables) -> tuple[DataFrame, Inputs]:
     """Features with exposure, price level and context. Appearances and moves are read by several of
     these steps, so they are landed once: the only join of lines with orders, the only deduplication."""

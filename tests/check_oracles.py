@@ -71,6 +71,9 @@ def main() -> None:
 
     from registry.queries import ORACLES, QUERIES
 
+    from pitlake.plans.study import keep_landed
+
+    keep_landed()
     folder = sys.argv[1]
     names = sys.argv[2:] or list(QUERIES)
     spark = (
