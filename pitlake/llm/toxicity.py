@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.words import CLASSES, LOWER, texts
+from pitlake.llm.words import CLASSES, LOWER, bounds, hashes, texts
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
@@ -24,9 +24,19 @@ BLANK = 200  # zero vectors that every average also counts, so a few chance n-gr
 
 
 def grams(data: np.ndarray, offsets: np.ndarray):
-    """(bucket of every n-gram, where each row's n-grams begin and end) for each n."""
+    """(bucket of every n-gram, where each row's n-grams begin and end) for each n.
+
+    A word that repeats the word before it counts once.
+    """
     low = LOWER[data]
-    low[~CLASSES["space"][low]] = 32
+    inside = CLASSES["space"][low]
+    low[~inside] = 32
+    start, end = bounds(inside, offsets)
+    word = hashes(low, start, end)
+    again = np.flatnonzero(word[1:] == word[:-1]) + 1
+    if len(again):
+        size = end[again] - start[again]
+        low[np.repeat(start[again] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] = 32
     at = offsets + np.arange(len(offsets))  # a space before every row and after the last
     padded = np.full(len(low) + len(offsets), 32, np.uint8)
     body = np.ones(len(padded), bool)
