@@ -29,6 +29,7 @@ from pitlake.llm.words import U64, mix, shingles, texts, words
 
 SUBSET = 2
 BLOCK = 256
+SCAN = 64  # list entries that a task scans in the time of shuffling one row
 _MAX_ROWS = 1 << 15  # rows of a chunk fit in 16 bits
 _PACK = np.dtype([("v", "u8"), ("df", "u4"), ("row", "u2")])
 _TABLE = np.dtype([("id", "i8"), ("known", "?"), ("n", "i8"), ("p", "u8"), ("q", "u8"), ("lead", "?")])
@@ -195,11 +196,12 @@ def _size_class(n: int) -> int:
 
 
 def _costs(batches):
+    """Per size class: rows of enumerated subsets, against list rows and the entries their lists hold."""
     for batch in batches:
         rows = []
         for n, prefix, freq, copies in zip(*(batch.column(k).to_pylist() for k in ("n", "prefix", "freq", "copies")), strict=True):
             v, f, _ = _spoken(prefix, freq, copies)
-            rows.append((_size_class(n), len(v) * (len(v) - 1) // 2, int(f.sum())))
+            rows.append((_size_class(n), SCAN * (len(v) * (len(v) - 1) // 2), SCAN * len(v) + int(f.sum())))
         cols = list(zip(*rows)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["size", "light", "heavy"])
 
