@@ -10,7 +10,7 @@ overlap of all its pairs. Pairs stay inside the task; it emits link counts and a
 
 Exact frequencies cost one packed shuffle: hashes travel as sorted binary blobs per hash bucket, and
 only shingles that at least two sets have come back. A set with no such shingle in its prefix can have
-no link and goes no further. Shingles are compared as 64-bit hashes.
+no link and goes no further. Shingles are compared as 50-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from pitlake.functions.landing import land
 from pitlake.llm.graph import components
 from pitlake.llm.words import U64, mix, shingles, texts, words
 
+#: Bits of a shingle's hash. The gaps of a chunk's sorted hashes then fill four bytes; two given documents
+#: of n shingles each confuse two of them with a chance of n * n / 2^50.
+BITS = 50
+_DROP = U64(64 - BITS)
 SUBSET = 2
 BLOCK = 256
 SCAN = 64  # list entries that a task scans in the time of shuffling one row
@@ -70,9 +74,9 @@ def _chunks(width: int, buckets: int):
                     for r in range(b - a):
                         own = w.hash[w.first[r] : w.first[r + 1]]
                         if len(own) >= width:
-                            own = np.unique(shingles(own, width))
+                            own = np.unique(shingles(own, width) >> _DROP)
                         elif len(own):
-                            own = mix(shingles(own, len(own)) + U64(len(own)))
+                            own = mix(shingles(own, len(own)) + U64(len(own))) >> _DROP
                         group.append(own)
                     size += len(data)
                     if size >= 1 << 24:
@@ -106,7 +110,7 @@ def _emit(sets, ids, known, chunk, buckets):
         owner = np.repeat(rows, n[rows]).astype(np.uint16)
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
-        cuts = np.searchsorted(every, [U64((k << 64) // buckets) for k in range(buckets)]).tolist() + [len(every)]
+        cuts = np.searchsorted(every, [U64((k << BITS) // buckets) for k in range(buckets)]).tolist() + [len(every)]
         for k in range(buckets):
             a, b = cuts[k], cuts[k + 1]
             if b > a:
