@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +78,38 @@ def cluster_sums(df: DataFrame, cluster: str, errors: dict[str, Column]) -> Data
     )
 
 
+def poisson_steps() -> list[float]:
+    """Cumulative Poisson(1) probabilities, as far as 52 bits tell them apart."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 18):
+        total += term
+        out.append(total)
+        term /= k
+    return out
+
+
+def _poisson_sums(sums: DataFrame, cluster: str, errors: list[str], replicates: int, seed: int) -> DataFrame:
+    draw = hash_number("_rep", cluster, F.lit(seed), digits=13) / float(16**13)
+    rows = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")).withColumn("_u", draw)
+    weight = reduce(lambda x, y: x + y, [(F.col("_u") >= c).cast("int") for c in poisson_steps()])
+    return rows.withColumn("_w", weight).where("_w > 0").groupBy("_rep").agg(
+        F.sum(F.col("_w") * F.col("_rows")).alias("_n"), *(F.sum(F.col("_w") * F.col(m)).alias(m) for m in errors))
+
+
+def _multinomial_sums(sums: DataFrame, cluster: str, errors: list[str], replicates: int, seed: int) -> DataFrame:
+    indexed = dense_index(sums, cluster, "_slot", "_clusters")
+    draws = indexed.select(
+        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"), "_slot", "_clusters"
+    ).select(
+        "_rep", (hash_number("_rep", "_slot", F.lit(seed)) % F.col("_clusters")).alias("_slot")
+    )
+    return (
+        draws.join(indexed.select("_slot", "_rows", *errors), "_slot")
+        .groupBy("_rep")
+        .agg(F.sum("_rows").alias("_n"), *(F.sum(m).alias(m) for m in errors))
+    )
+
+
 def paired_cluster_bootstrap(
     df: DataFrame,
     cluster: str,
@@ -84,6 +118,7 @@ def paired_cluster_bootstrap(
     replicates: int,
     seed: int,
     confidence: float,
+    weights: str = "multinomial",
 ) -> DataFrame:
     """Per comparison: observed MAE difference to ``reference``, its percentile interval, verdict.
 
@@ -92,20 +127,17 @@ def paired_cluster_bootstrap(
     partitioning. Each cluster row also serves as one slot of every replicate; drawn positions
     meet the cluster sums in an equi-join on evenly spread keys and collapse to one row per
     replicate before anything is compared.
+
+    With weights="poisson" a cluster counts in a replicate as often as a Poisson(1) number from
+    md5(replicate|cluster|seed) says, which is the limit of the draws for many clusters. Nothing is
+    joined then: every task sums its own clusters and sends one row per replicate.
     """
     others = [m for m in errors if m != reference]
     sums = cluster_sums(df, cluster, errors)
-    indexed = dense_index(sums, cluster, "_slot", "_clusters")
-    draws = indexed.select(
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"), "_slot", "_clusters"
-    ).select(
-        "_rep", (hash_number("_rep", "_slot", F.lit(seed)) % F.col("_clusters")).alias("_slot")
-    )
-    drawn = (
-        draws.join(indexed.select("_slot", "_rows", *errors), "_slot")
-        .groupBy("_rep")
-        .agg(F.sum("_rows").alias("_n"), *(F.sum(m).alias(m) for m in errors))
-    )
+    if weights == "poisson":
+        drawn = _poisson_sums(sums, cluster, list(errors), replicates, seed)
+    else:
+        drawn = _multinomial_sums(sums, cluster, list(errors), replicates, seed)
     delta = drawn.select(
         F.explode(
             F.array(

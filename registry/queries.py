@@ -1617,15 +1617,38 @@ def _idx(rows: str, sums: str) -> str:
          "train_median_by_position": "p_pos"}, "linear", "scored", "model", "baseline",
     ),
 )
-def e3(t):
+def e3(t, weights="multinomial"):
     scored, *_ = _fitted(t)
     errors = {m: F.abs(F.col("fee_eur") - p) for m, (p, _) in _methods().items()}
-    out = E.paired_cluster_bootstrap(scored, "player_id", errors, "linear", _REPS, _SEED, 0.95)
+    out = E.paired_cluster_bootstrap(scored, "player_id", errors, "linear", _REPS, _SEED, 0.95, weights)
     return out.select(
         "comparison", rnd("observed_delta", 3), rnd("ci_low", 3), rnd("ci_high", 3), "verdict", "clusters"
     )
 
 
+_POISSON = " + ".join(f"(u >= {c!r})::INT" for c in E.poisson_steps())
+_ERRORS = {"linear": "pred", "train_median": "p_median", "train_mean": "p_mean", "train_median_by_position": "p_pos"}
+_SUMS = ", ".join(f"sum(abs(fee_eur - {p})) AS e_{m}" for m, p in _ERRORS.items())
+
+
+@query(
+    "E3_poisson_bootstrap",
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS comparison, {R('o', 3)} AS observed_delta, {R('lo', 3)} AS ci_low, {R('hi', 3)} AS ci_high,
+    CASE WHEN hi < 0 THEN 'lower' WHEN lo > 0 THEN 'higher' ELSE 'unclear' END AS verdict, clusters FROM (
+    SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM (
+      SELECT sum(w * (e_linear - e_{m})) / sum(w * n) AS d FROM (SELECT *, {_POISSON} AS w FROM (
+        SELECT rep, c.*, ('0x' || substr(md5(rep || '|' || player_id || '|{_SEED}'), 1, 13))::BIGINT / {float(16**13)!r} AS u
+        FROM range({_REPS}) r(rep) CROSS JOIN (SELECT player_id, count(*) AS n, {_SUMS} FROM scored GROUP BY player_id) c))
+      GROUP BY rep HAVING sum(w) > 0)) CROSS JOIN (
+    SELECT (sum(e_linear) - sum(e_{m})) / sum(n) AS o, count(*) AS clusters FROM (
+      SELECT player_id, count(*) AS n, {_SUMS} FROM scored GROUP BY player_id))"""
+        for m in list(_ERRORS)[1:]),
+)
+def e3_poisson(t):
+    return e3(t, "poisson")
+
+
 @query(
     "E4_worst_misses",
     f"SELECT transfer_id, {R('abs_error', 2)} AS abs_error FROM scored ORDER BY scored.abs_error DESC, transfer_id LIMIT 5",

@@ -52,6 +52,9 @@ def test_cluster_bootstrap(spark):
     again = run(df.repartition(3))
     assert r.verdict == "lower" and np.allclose((again.ci_low, again.ci_high), (r.ci_low, r.ci_high), rtol=1e-12)
     assert abs(run(df, 4).ci_low - r.ci_low) > 1e-9
+    light = E.paired_cluster_bootstrap(df, "player", errors, "m", 400, 3, 0.9, weights="poisson").first()
+    assert light.verdict == "lower" and abs(light.ci_low - r.ci_low) < 0.6 and abs(light.ci_high - r.ci_high) < 0.6
+    assert "Join" not in E._poisson_sums(E.cluster_sums(df, "player", errors), "player", ["m", "b"], 5, 3)._jdf.queryExecution().executedPlan().toString()
     swapped = E.paired_cluster_bootstrap(df.select("player", F.col("b").alias("m"), F.col("m").alias("b")), "player", errors, "m", 300, 3, 0.9).first()
     assert swapped.verdict == "higher" and math.isclose(swapped.ci_low, -r.ci_high)
     same = E.paired_cluster_bootstrap(df.withColumn("b", F.col("m")), "player", errors, "m", 50, 3, 0.9).first()
