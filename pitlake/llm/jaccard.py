@@ -33,7 +33,7 @@ BITS = 50
 _DROP = U64(64 - BITS)
 SUBSET = 2
 BLOCK = 256
-SCAN = 64  # list entries that a task scans in the time of shuffling one row
+SCAN = 2048  # list entries that a task scans (a few ns each) in the time of shuffling one row (a few us)
 _MAX_ROWS = 1 << 15  # rows of a chunk fit in 16 bits
 _PACK = np.dtype([("v", "u8"), ("df", "u4"), ("row", "u2")])
 _TABLE = np.dtype([("id", "i8"), ("known", "?"), ("n", "i8"), ("p", "u8"), ("q", "u8"), ("lead", "?")])
