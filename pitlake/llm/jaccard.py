@@ -210,8 +210,13 @@ def _costs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["size", "light", "heavy"])
 
 
-def _keys(boundary: int):
-    """Sets -> (key, doc): 2-subsets of light prefixes, single shingles of heavy ones and of those near."""
+def _keys(boundary: int, percent: int):
+    """Sets -> (key, doc): 2-subsets of light prefixes, single shingles of heavy ones and of those near.
+
+    Near: a partner may be as many size classes larger as the similarity allows. Sets that may share a
+    single shingle with a partner are in the lists too.
+    """
+    span = math.ceil(4 * math.log2(100 / percent))
 
     def run(batches):
         for batch in batches:
@@ -226,8 +231,8 @@ def _keys(boundary: int):
                     with np.errstate(over="ignore"):
                         keys.append(mix(mix(s[i] + U64(1)) ^ s[j]))
                     docs.append(np.full(len(i), doc))
-                if n < SUBSET or _size_class(n) > boundary - 2:  # similarity 0.8 spans less than two classes
-                    if last and keep[-1] and n >= SUBSET:
+                if _need(n, percent) < SUBSET or _size_class(n) > boundary - span:
+                    if last and keep[-1] and _need(n, percent) >= SUBSET:
                         v = v[:-1]
                     keys.append(v)
                     docs.append(np.full(len(v), doc))
@@ -330,7 +335,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         "shingle-nodes",
     )
     narrow = nodes.select("doc", "n", "prefix", "freq", "last", "copies")
-    lists = narrow.mapInArrow(_keys(_boundary(narrow)), "key long, doc long")
+    lists = narrow.mapInArrow(_keys(_boundary(narrow), percent), "key long, doc long")
     heads = lists.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head < tail")
     groups = components(lists.join(heads, "key").select(F.col("doc").alias("a"), F.col("head").alias("b")))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))

@@ -57,12 +57,12 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,width,percent", [(1, 5, 80), (2, 5, 80), (3, 2, 50)])
+def test_equals_brute_force(spark, seed, width, percent):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(tuple(r) for r in jaccard.jaccard_join(df).collect())
-    assert got == brute(rows)
+    got = sorted(tuple(r) for r in jaccard.jaccard_join(df, width=width, percent=percent).collect())
+    assert got == brute(rows, width, percent)
 
 
 def test_large_group_in_blocks(spark, monkeypatch):
