@@ -510,10 +510,8 @@ def q7_conflicts(t):
     rows = t.read("lineitem").select(
         (F.col("l_orderkey") % 499).alias("game_id"), F.col("l_partkey").alias("player_id"),
         B.lineup_label(F.col("l_orderkey"), F.col("l_partkey")).alias("position"))
-    known = rows.groupBy("game_id", "player_id").agg(F.count_if(F.col("position").isNull()).alias("n")).where("n = 0")
     games = rows.select(F.col("game_id").cast("string").alias("game_id")).distinct()
-    clean = K.clean_lineups(rows.join(known, ["game_id", "player_id"], "left_semi"), games)
-    return K.lineup_conflicts(clean)
+    return K.lineup_conflicts(K.clean_lineups(rows, games))
 
 
 @query(

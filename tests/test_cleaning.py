@@ -166,3 +166,17 @@ def test_fingerprint_ignores_order_not_content(spark, snap):
     assert RAW.fingerprint(snap.players.orderBy(F.desc("name")), cols).first() == a
     changed = snap.players.withColumn("name", F.upper("name"))
     assert RAW.fingerprint(changed, cols).first() != a
+
+
+def test_null_label_conflicts_in_the_query(spark, tmp_path):
+    from registry.queries import QUERIES
+
+    # Labels go by (7 * order + 3 * part) % 20, and 19 has none: orders 2 and 501 are one game of player 35.
+    lines = [(2, 35), (501, 35), (2, 35), (3, 1), (502, 1), (4, 1), (4, 1), (2, 135), (501, 435)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    groups: dict = {}
+    for order, part in lines:
+        groups.setdefault((str(order % 499), str(part)), set()).add((order * 7 + part * 3) % 20)
+    assert 19 in groups["2", "35"] and len(groups["2", "35"]) == 2
+    got = QUERIES["Q7_lineup_conflicts"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((*k, len(v), len(v)) for k, v in groups.items() if len(v) > 1)
