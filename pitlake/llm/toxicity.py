@@ -153,20 +153,20 @@ def thinned(rows: DataFrame, key: str, wanted: int, there: int) -> DataFrame:
     return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def label_counts(labels: DataFrame, label: str, key: str, folds: int, fold: int):
-    """Rows of class 0 and 1 outside the held-out fold, as zeros and ones."""
-    return labels.where(~held_out(key, folds, fold)).agg(
-        F.count(F.when(F.col(label) == 0, 1)).alias("zeros"), F.count(F.when(F.col(label) == 1, 1)).alias("ones")).first()
+def known_labels(labels: DataFrame, label: str, key: str, folds: int, fold: int) -> DataFrame:
+    """(_doc, _label): one row per key outside the held-out fold. A key labelled in several rows takes its
+    largest label; null keys and labels other than 0 and 1 are left out."""
+    return labels.where(~held_out(key, folds, fold)).where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_doc")).agg(
+        F.max(label).cast("int").alias("_label"))
 
 
-def sample(labels: DataFrame, label: str, key: str, folds: int, fold: int, most: int, counts) -> DataFrame:
-    """(doc, label) of at most `most` labelled rows of class 1 and 3 * most of class 0 outside the held-out fold.
+def label_counts(known: DataFrame):
+    """Keys of class 0 and 1 as zeros and ones."""
+    return known.agg(F.count_if(F.col("_label") == 0).alias("zeros"), F.count_if(F.col("_label") == 1).alias("ones")).first()
 
-    Rows are taken by the key's hash. A key labelled in several rows takes its largest label. Null keys and
-    labels other than 0 and 1 are left out.
-    """
-    known = labels.where(~held_out(key, folds, fold)).where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_doc")).agg(
-        F.max(label).cast("int").alias("_label"))
+
+def sample(known: DataFrame, most: int, counts) -> DataFrame:
+    """At most `most` keys of class 1 and 3 * most of class 0, taken by the key's hash."""
     parts = [
         thinned(known.where(F.col("_label") == k), "_doc", n, there).orderBy(F.pmod(F.xxhash64("_doc"), F.lit(1 << 30)), "_doc").limit(n)
         for k, n, there in ((0, 3 * most, counts.zeros), (1, most, counts.ones))
@@ -198,8 +198,9 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           folds: int = 3, fold: int = 1, max_rows: int = 1500) -> Model:
     """Fit on at most max_rows labelled documents of class 1 and 3 * max_rows of class 0; one class alone gives a model that scores 0."""
-    counts = label_counts(labels, label, key, folds, fold)
-    wanted = sample(labels, label, key, folds, fold, max_rows, counts)  # at most 4 * max_rows rows, so broadcast
+    known = known_labels(labels, label, key, folds, fold)
+    counts = label_counts(known)
+    wanted = sample(known, max_rows, counts)  # at most 4 * max_rows rows, so broadcast
     bags = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(wanted), "_doc").select(
         "_label", "_text").mapInArrow(_bags, "label int, ids binary, counts binary")
     ratio = counts.zeros / max(1, counts.ones)

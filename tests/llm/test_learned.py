@@ -74,3 +74,28 @@ def test_clean_keeps_columns(spark):
     df = spark.createDataFrame([(1, "x", 2), (2, None, None)], "doc_id long, text string, _text int")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted(map(tuple, toxicity.clean(df, labels).collect())) == [(1, "x", 2), (2, None, None)]
+
+
+def test_repeated_label_rows_count_once(spark):
+    """30 label rows a key leave the sample as it is without them."""
+    def drawn(copies):
+        marks = [(i, int(i % 4 == 0)) for i in range(800) for _ in range(copies)]
+        known = toxicity.known_labels(spark.createDataFrame(marks, "doc_id long, toxic int"), "toxic", "doc_id", 3, 1)
+        counts = toxicity.label_counts(known)
+        return tuple(counts), sorted(map(tuple, toxicity.sample(known, 100, counts).collect()))
+
+    counts, rows = drawn(1)
+    assert counts == tuple(sum(remainder(i, 3) != 1 and (i % 4 == 0) == one for i in range(800)) for one in (False, True))
+    assert sum(y for _, y in rows) == 100 and len(rows) == 400 and drawn(30) == (counts, rows)
+
+
+@pytest.mark.parametrize("run,label", [(quality.quality, "quality"), (toxicity.toxicity, "toxic")])
+def test_repeated_label_rows_do_not_move_scores(spark, run, label):
+    """Every key 40 times, one key of class 1 for a third of all rows, one also with the other label."""
+    docs = [(i, f"alpha beta {i} gamma" if i % 2 else "!! ## dreadful !! $$ !!") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    one = next(i for i in range(1, 400, 2) if remainder(i, 3) != 1 and remainder(i, 5) != 0)
+    plain = [(i, i % 2) for i in range(400)]
+    many = plain * 40 + [(one, 1)] * 8000 + [(one, 0)]
+    scores = [{r.doc_id: r.score for r in run(df, spark.createDataFrame(m, f"doc_id long, {label} int"), max_rows=40).collect()} for m in (plain, many)]
+    assert scores[0] == pytest.approx(scores[1]) and len({round(v, 3) for v in scores[0].values()}) > 1
