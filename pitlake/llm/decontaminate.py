@@ -12,11 +12,15 @@ phrase vocabulary that are at least as long as the shortest phrase; a sentinel s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlake.functions.landing import land
 from pitlake.llm.words import texts, words
 
 SAMPLE = 8
@@ -185,13 +189,24 @@ def scan(column: pa.Array, phrases: Phrases):
             yield int(count[r]), int(n_hit[r]), sorted(items[r]), spans
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, width: int, block_mb: float) -> list[Phrases]:
-    """Phrases of the items in blocks of a bounded size; usually there is one."""
+def _blocks(benchmark: DataFrame, item: str, text: str, width: int, block_mb: float) -> tuple[int, Iterator[Phrases]]:
+    """How many blocks of a bounded size the items make, usually one, and the phrases of one block after the other."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + int(size / (block_mb * (1 << 20)))
-    own = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items for k in range(blocks)]
-    return [Phrases([(r.item if r.item is not None else "null", r.text) for r in x.collect()], width) for x in own]
+
+    def blocks_of(rows: DataFrame) -> int:
+        return 1 + int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (block_mb * (1 << 20)))
+
+    blocks = blocks_of(items)
+    if blocks > 1:  # copies of an item would all come to its block
+        items = items.distinct()
+        blocks = blocks_of(items)
+
+    def phrases():
+        for k in range(blocks):
+            own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+            yield Phrases([(r.item if r.item is not None else "null", r.text) for r in own.collect()], width)
+
+    return blocks, phrases()
 
 
 _SPANS = "array<struct<word:int,words:int,start:int,end:int>>"
@@ -213,7 +228,7 @@ def _scanned(docs: DataFrame, key: str, text: str, phrases: Phrases) -> DataFram
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """Rows of one document and text from all blocks -> one row for each copy of it."""
+    """Rows of one document and text, one from each block with hits -> one row."""
     rows, first = table.to_pylist(), None
     out: list[dict] = []
     for s in sorted((s for r in rows for s in r["spans"]), key=lambda s: s["word"]):
@@ -224,7 +239,26 @@ def _merged(table: pa.Table) -> pa.Table:
             first = dict(s)
             out.append(first)
     one = rows[0] | {"spans": out, "n_hit": sum(s["words"] for s in out), "items": sorted({i for r in rows for i in r["items"]})}
-    return pa.Table.from_pylist([one] * sum(r["block"] == 0 for r in rows), schema=table.schema)
+    return pa.Table.from_pylist([one], schema=table.schema)
+
+
+def _of_blocks(docs: DataFrame, key: str, text: str, blocks: Iterator[Phrases]) -> DataFrame:
+    """The rows of _scanned, merged over blocks. One block is held and searched at a time: its hits are landed, one
+    row per document and text, and the merged ones are joined back to all copies."""
+    columns, parts, rest = [key, "digest", "n_words", "n_hit", "items", "spans"], [], None
+    for phrases in blocks:
+        found = _scanned(docs, key, text, phrases)
+        if rest is None:
+            found = land(found, "scanned")
+            rest = found.select(key, "digest", "n_words")
+        one = F.first(F.struct("n_words", "n_hit", "items", "spans")).alias("_one")
+        parts.append(land(found.where("n_hit > 0").groupBy(key, "digest").agg(one).select(key, "digest", "_one.*"), "hits"))
+    hits = reduce(DataFrame.unionByName, parts)
+    hits = hits.groupBy(key, "digest").applyInArrow(_merged, hits.schema).select(
+        F.col(key).alias("_key"), F.col("digest").alias("_digest"), "n_hit", "items", "spans")
+    same = rest[key].eqNullSafe(hits["_key"]) & rest["digest"].eqNullSafe(hits["_digest"])
+    none = {"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast(_SPANS)}
+    return rest.join(hits, same, "left").select(*(F.coalesce(c, none[c]).alias(c) if c in none else rest[c] for c in columns))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -236,16 +270,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     (first word, words) with their code points, end exclusive. A null or empty text has no words and is clean;
     items without words have no phrases; repeated items count once; null keys and repeated rows are returned
     like any other. An empty benchmark leaves every document clean. Extra columns are ignored. The benchmark is
-    searched in blocks of block_mb of text, each in one pass; the results of several blocks are merged per
-    document and text.
+    searched in blocks of block_mb of text, each in one pass; the hits of several blocks are landed one block after
+    the other, merged per document and text and joined back to its copies.
     """
-    blocks = _blocks(benchmark, item, item_text, width, block_mb)
-    found = _scanned(docs, key, text, blocks[0])
-    if len(blocks) > 1:
-        for k, phrases in enumerate(blocks[1:], 1):
-            found = (found if k > 1 else found.withColumn("block", F.lit(0))).unionByName(
-                _scanned(docs, key, text, phrases).withColumn("block", F.lit(k)))
-        found = found.groupBy(key, "digest").applyInArrow(_merged, found.schema).drop("block")
+    count, blocks = _blocks(benchmark, item, item_text, width, block_mb)
+    found = _of_blocks(docs, key, text, blocks) if count > 1 else _scanned(docs, key, text, next(blocks))
     return found.withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
 
 
@@ -255,13 +284,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     With one block of phrases, rows are dropped in the tasks that read them, without a shuffle.
     """
-    blocks = _blocks(benchmark, "item_id", "text", width, block_mb)
-    if len(blocks) > 1:
+    count, blocks = _blocks(benchmark, "item_id", "text", width, block_mb)
+    if count > 1:
         bad = contamination(docs, benchmark, key, text, "item_id", "text", width, share, block_mb).where("contaminated")
         bad = bad.select(F.col(key).alias("_key"), F.col("digest").alias("_digest")).distinct()
         same = docs[key].eqNullSafe(bad["_key"]) & F.md5(docs[text].cast("binary")).eqNullSafe(bad["_digest"])
         return docs.join(bad, same, "left_anti")
-    place, phrases = docs.columns.index(text), blocks[0]
+    place, phrases = docs.columns.index(text), next(blocks)
 
     def run(batches):
         for batch in batches:

@@ -20,6 +20,7 @@ from pitlake.llm.words import CLASSES, LOWER, bounds, hashes, texts
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIM = 8
+TEXTS = 4  # different texts of one sampled key that a fit sees
 BLANK = 200  # zero vectors that every average also counts, so a few chance n-grams don't decide a short text
 
 
@@ -60,6 +61,7 @@ def grams(data: np.ndarray, offsets: np.ndarray):
 
 
 def _bags(batches):
+    """(label, text) and any columns after them -> the same with the text's ids and counts for the text."""
     for batch in batches:
         ids, weights = [], []
         for a, b, data, offsets in texts(batch.column(1)):
@@ -68,8 +70,8 @@ def _bags(batches):
                 own, times = np.unique(np.concatenate([g[c[r] : c[r + 1]] for g, c in found]), return_counts=True)
                 ids.append(own.astype(np.uint32).tobytes())
                 weights.append((times / (BLANK + times.sum())).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())],
-                                         names=["label", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(weights, pa.binary()), *batch.columns[2:]],
+                                         names=["label", "ids", "counts", *batch.schema.names[2:]])
 
 
 def _adam(value, grad, state, step, rate, floor=1e-8):
@@ -174,6 +176,15 @@ def sample(known: DataFrame, most: int, counts) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def per_key(rows: DataFrame, keys: list[str], digest: str, values: list[str]) -> DataFrame:
+    """(keys, values) of at most TEXTS different texts of each key, by the text's hash.
+
+    An aggregate, so copies and the many texts of one key are reduced in the tasks that read them.
+    """
+    least = F.min(F.struct(digest, *values)).alias("_least")
+    return rows.groupBy(*keys, F.pmod(digest, F.lit(TEXTS)).alias("_slot")).agg(least).select(*keys, *(f"_least.{v}" for v in values))
+
+
 class Model:
     """Margin per bucket; score puts the cut at 0.7."""
 
@@ -197,12 +208,16 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           folds: int = 3, fold: int = 1, max_rows: int = 1500) -> Model:
-    """Fit on at most max_rows labelled documents of class 1 and 3 * max_rows of class 0; one class alone gives a model that scores 0."""
+    """Fit on at most max_rows labelled keys of class 1 and 3 * max_rows of class 0, each with at most TEXTS different
+    texts, by hash; copies count once. One class alone gives a model that scores 0."""
     known = known_labels(labels, label, key, folds, fold)
     counts = label_counts(known)
     wanted = sample(known, max_rows, counts)  # at most 4 * max_rows rows, so broadcast
-    bags = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(wanted), "_doc").select(
-        "_label", "_text").mapInArrow(_bags, "label int, ids binary, counts binary")
+    seen = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(wanted), "_doc")
+    kind = docs.schema[key].dataType.simpleString()
+    bags = seen.select("_label", "_text", "_doc", F.xxhash64("_text").alias("_hash")).mapInArrow(
+        _bags, f"label int, ids binary, counts binary, _doc {kind}, _hash long")
+    bags = per_key(bags, ["_doc", "label"], "_hash", ["ids", "counts"]).select("label", "ids", "counts")
     ratio = counts.zeros / max(1, counts.ones)
 
     def run(batches):
@@ -213,8 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             margin, bias = fit(rows, clean_weight=max(1.0, ratio * ones / (len(rows) - ones)))
             yield pa.RecordBatch.from_arrays([pa.array([margin.tobytes()], pa.binary()), pa.array([bias])], names=["margin", "bias"])
 
-    # The sample is bounded, so one task fits it; only the margins come to the driver.
-    found = bags.repartition(1).mapInArrow(run, "margin binary, bias double").collect()
+    # The sample is bounded, so one task ends the aggregate and fits it; only the margins come to the driver.
+    found = bags.coalesce(1).mapInArrow(run, "margin binary, bias double").collect()
     return Model(np.frombuffer(found[0].margin, np.float32), found[0].bias) if found else Model(None, 0.0)
 
 

@@ -91,3 +91,19 @@ def test_index_against_plain_search():
             lo, hi = index.search(p, np.array([size]))
             want = [k for k in range(len(s) - size + 1) if (s[k : k + size] == p[0]).all()]
             assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
+
+
+def test_one_block_at_a_time_and_copies_joined_back(spark, monkeypatch):
+    """Copies of one key and text, null ones too, are not merged together, and a block is made after the last one is landed."""
+    docs, items = data(3)
+    hit = next(d for d in docs if any(r[0] == d[0] and r[2] for r in brute([d], items)))
+    docs += [(None, None)] * 300 + [hit] * 200
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items * 20, "item_id long, text string")
+    steps, made, landed = [], D.Phrases.__init__, D.land
+    monkeypatch.setattr(D.Phrases, "__init__", lambda self, *a: (steps.append("block"), made(self, *a))[1])
+    monkeypatch.setattr(D, "land", lambda df, name: (steps.append(name), landed(df, name))[1])
+    got = rows(D.contamination(df, bench, block_mb=150 / (1 << 20)))
+    once = brute([d for d in dict.fromkeys(docs)], items)
+    times = {k: docs.count(k) for k in set(docs)}
+    assert got == sorted([r for d in times for r in brute([d], items) * times[d]], key=str) and len(once) == len(times)
+    assert steps[:5] == ["block", "scanned", "hits", "block", "hits"] and steps.count("block") == steps.count("hits") < 12

@@ -99,3 +99,20 @@ def test_repeated_label_rows_do_not_move_scores(spark, run, label):
     many = plain * 40 + [(one, 1)] * 8000 + [(one, 0)]
     scores = [{r.doc_id: r.score for r in run(df, spark.createDataFrame(m, f"doc_id long, {label} int"), max_rows=40).collect()} for m in (plain, many)]
     assert scores[0] == pytest.approx(scores[1]) and len({round(v, 3) for v in scores[0].values()}) > 1
+
+
+def test_copies_and_texts_of_one_key_are_bounded(spark):
+    """A key with a third of the documents: copies count once, and at most TEXTS of its texts are kept."""
+    rows = [(1, 1, f"h{i % 50}", i % 50) for i in range(3000)] + [(2, 0, "a", 7)] * 500 + [(None, 0, None, 9)] * 500
+    got = toxicity.per_key(spark.createDataFrame(rows, "k long, y int, v string, h long").repartition(5), ["k", "y"], "h", ["v"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, f"h{i}") for i in range(toxicity.TEXTS)] + [(2, 0, "a"), (None, 0, None)], key=str)
+
+
+@pytest.mark.parametrize("run,label", [(quality.quality, "quality"), (toxicity.toxicity, "toxic")])
+def test_copies_of_documents_do_not_move_scores(spark, run, label):
+    docs = [(i, f"alpha beta {i} gamma" if i % 2 else f"!! ## dreadful {i} !! $$ !!") for i in range(200)]
+    one = next(i for i in range(0, 200, 2) if remainder(i, 3) != 1 and remainder(i, 5) != 0)  # with the label of the others
+    labels = spark.createDataFrame([(i, int(i == one or i % 2)) for i in range(200)], f"doc_id long, {label} int")
+    plain, many = (spark.createDataFrame(d, "doc_id long, text string").repartition(3) for d in (docs, docs + [docs[one]] * 3000))
+    scores = [{r.doc_id: r.score for r in run(d, labels).collect()} for d in (plain, many)]
+    assert scores[0] == pytest.approx(scores[1], abs=0.01) and len({round(v, 3) for v in scores[0].values()}) > 1
