@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, html_text, jaccard, line_dedup, packing, pii, quality, token_counts, topk, toxicity
+from pitlake.llm import decontaminate, hard_negatives, html_text, jaccard, line_dedup, packing, pii, quality, token_counts, topk, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -74,3 +74,8 @@ def op6_pii(spark, folder):
 @query
 def op7_html_text(spark, folder):
     return html_text.main_text(table(spark, folder, "pages"))
+
+
+@query
+def op11_hard_negatives(spark, folder):
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
