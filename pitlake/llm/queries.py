@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, hard_negatives, html_text, jaccard, line_dedup, packing, pii, quality, token_counts, topk, toxicity
+from pitlake.llm import decontaminate, hard_negatives, html_text, jaccard, line_dedup, packing, pii, quality, sharding, token_counts, topk, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -79,3 +79,8 @@ def op7_html_text(spark, folder):
 @query
 def op11_hard_negatives(spark, folder):
     return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_sharding(spark, folder):
+    return sharding.shard(table(spark, folder, "documents"))
