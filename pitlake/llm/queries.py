@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import decontaminate, hard_negatives, html_text, jaccard, line_dedup, packing, pii, quality, sharding, token_counts, topk, toxicity
+from pitlake.llm import conversations, decontaminate, hard_negatives, html_text, jaccard, line_dedup, packing, pii, quality, sharding, token_counts, topk, toxicity
 from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -84,3 +84,8 @@ def op11_hard_negatives(spark, folder):
 @query
 def op13_sharding(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))
+
+
+@query
+def op12_conversation_repair(spark, folder):
+    return conversations.report(table(spark, folder, "conversations"), damage=True)
