@@ -1,4 +1,4 @@
-"""Fitting and selecting linear models from grouped moments, and boosted-tree checks.
+"""Fitting and selecting linear models from grouped moments.
 
 One aggregate over the training rows gives, per cycle, the sums and cross products of all model
 columns. Every expanding fold is a sum of cycles and every input variant is a sub-matrix, so the
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.functions.scalar import POSITIONS, is_finite
@@ -31,17 +31,7 @@ CONTEXT_GROUPS = {
     "team": ["team_points_per_game"],
 }
 FORBIDDEN_TOKENS = ("fee", "market_value", "to_club", "destination", "transfer_id", "date")
-MONOTONE_SIGNS = {
-    "goals": 1,
-    "assists": 1,
-    "minutes": 1,
-    "appearances": 0,
-    "goals_per90": 1,
-    "assists_per90": 1,
-    "age": -1,
-}
 FAMILIES = ("linear", "ridge", "elastic_net")
-BOOST_STEP = 0.05
 TIE_DECIMALS = 4
 
 
@@ -67,11 +57,6 @@ def linear_grid() -> list[Candidate]:
     return [Candidate("linear"), *ridge, *(Candidate("elastic_net", a, r) for a, r in nets)]
 
 
-def boosting_grid() -> list[dict]:
-    keys = ("max_depth", "min_leaf", "rounds")
-    return [dict(zip(keys, v, strict=True)) for v in itertools.product((2, 3), (10, 20), (150, 300))]
-
-
 def variants(numeric: Sequence[str] = NUMERIC) -> dict[str, list[str]]:
     """Headline and exposure inputs, each without and with the two time terms."""
     rates = EXPOSURE + [c for c in numeric if c not in RAW_TOTALS]
@@ -471,80 +456,3 @@ def fit_mllib(df: DataFrame, columns: Sequence[str], label: str, c: Candidate, n
         standardization=False, solver="normal", maxIter=1000, tol=1e-12,
     )
     return lr.fit(VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df))
-
-
-def fit_boosting(df: DataFrame, columns: Sequence[str], label: str, params: dict, seed: int = 42):
-    """MLlib boosted trees. Splits are chosen by MLlib, so compare by error, not by tree."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    trees = GBTRegressor(
-        featuresCol="_x", labelCol=label, predictionCol="prediction", maxDepth=params["max_depth"],
-        minInstancesPerNode=params["min_leaf"], maxIter=params["rounds"], stepSize=BOOST_STEP, seed=seed,
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x"), trees]).fit(df)
-
-
-def cross_validate_boosting(
-    train: DataFrame,
-    columns: Sequence[str],
-    label: str,
-    cycle: str,
-    n_folds: int,
-    grid: Sequence[dict],
-) -> DataFrame:
-    """(grid_order, candidate, fold, rows, log_mae). The loop is over fits; rows stay in Spark."""
-    from functools import reduce
-
-    cycles = sorted(r[0] for r in train.select(cycle).distinct().collect())[-n_folds:]
-    parts = []
-    for order, params in enumerate(grid):
-        name = "gbm(" + ", ".join(f"{k}={v}" for k, v in params.items()) + ")"
-        for fold, val in enumerate(cycles):
-            model = fit_boosting(train.where(F.col(cycle) < val), columns, label, params)
-            scored = model.transform(train.where(F.col(cycle) == val))
-            parts.append(
-                scored.agg(
-                    F.count(F.lit(1)).alias("rows"),
-                    F.avg(F.abs(F.col("prediction") - F.col(label))).alias("log_mae"),
-                ).select(
-                    F.lit(order).alias("grid_order"), F.lit(name).alias("candidate"),
-                    F.lit(fold).alias("fold"), "rows", "log_mae", F.lit(True).alias("eligible"),
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def monotonicity_audit(
-    df: DataFrame,
-    key: str,
-    columns: Sequence[str],
-    predict,
-    ranges: dict[str, tuple[float, float]],
-    signs: dict[str, int],
-    steps: int = 10,
-) -> DataFrame:
-    """Sweep each signed feature over a grid, other inputs fixed; count moves against its sign.
-
-    Each row becomes steps + 1 probes per swept feature and is compared inside its own key, so
-    groups stay at that size. ``predict`` maps a DataFrame to one with a ``prediction`` column.
-    """
-    swept = [c for c in columns if signs.get(c, 0) != 0]
-    probes = F.explode(
-        F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(signs[c]).alias("sign")) for c in swept))
-    )
-    out = df.select(key, *columns, probes.alias("_p")).select(key, *columns, "_p.*")
-    out = out.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    for c in swept:
-        lo, hi = ranges[c]
-        value = F.lit(float(lo)) + (F.lit(float(hi)) - F.lit(float(lo))) * F.col("step") / steps
-        out = out.withColumn(c, F.when(F.col("feature") == c, value).otherwise(F.col(c)))
-    w = Window.partitionBy(key, "feature").orderBy("step")
-    scored = predict(out).withColumn(
-        "_move", (F.col("prediction") - F.lag("prediction").over(w)) * F.col("sign")
-    )
-    return scored.groupBy("feature", "sign").agg(
-        F.count("_move").alias("moves"),
-        F.count(F.when(F.col("_move") < -1e-12, 1)).alias("violations"),
-    )

@@ -16,6 +16,7 @@ from pitlake import bindings as B
 from pitlake.functions import scalar as S
 from pitlake.functions.landing import land, shared_folder
 from pitlake.operators import asof as A
+from pitlake.operators import boosting as GB
 from pitlake.operators import cleaning as K
 from pitlake.operators import conformal as CF
 from pitlake.operators import contracts as C
@@ -1506,6 +1507,27 @@ def m8(t):
     )
 
 
+_BOOSTED = [*M.NUMERIC, *_FLAGS]
+
+
+@query("M9_boosted_trees")
+def m9(t):
+    train, *_ = _flagged(t)
+    scores = GB.cross_validate(train, _BOOSTED, "fee_log1p", "transfer_cycle", B.N_FOLDS)
+    keys = ["grid_order", "candidate"]
+    best = M.pick_best(M.summarise_cv(scores, keys), keys, ["grid_order"]).select("grid_order", F.lit(True).alias("_hit"))
+    return scores.join(F.broadcast(best), "grid_order", "left").withColumn("selected", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+@query("M10_monotonicity_audit")
+def m10(t):
+    train, *_ = _flagged(t)
+    rows = land(GB.assembled(train, _BOOSTED, "fee_log1p"), "boosting-rows")
+    path = f"{shared_folder(t.spark)}/trees-{uuid.uuid4().hex}"
+    GB.fit(rows, max(GB.DEPTHS), min(GB.LEAVES), max(GB.ROUNDS)).write().save(path)
+    return GB.monotonicity_audit(rows, GB.ensemble(t.spark, path), _BOOSTED)
+
+
 # ------------------------------------------------------- evaluation, resampling, intervals
 
 
