@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlake.functions.ranks import value_bucket
+from pitlake.functions.landing import land
+from pitlake.functions.ranks import STEPS, value_bucket
 from pitlake.functions.scalar import POSITIONS, floor_age, is_finite, match_points, per_90
 from pitlake.operators import seasons as T
 
@@ -350,8 +351,10 @@ def active_moves(
     return out.where(keep).drop(*(f"_hit{i}" for i in range(len(clubs))))
 
 
-def _counts_in_windows(per_day: DataFrame, want: DataFrame, on: str, window: int) -> DataFrame:
-    """(cutoff, bucket, count) over [cutoff - window, cutoff) from (day, bucket, count) rows.
+def _counts_in_windows(per_day: DataFrame, want: DataFrame, on: str, window: int, by: Sequence[str] = ()) -> DataFrame:
+    """(cutoff, by, bucket, count) over [cutoff - window, cutoff) from (day, by, bucket, count) rows.
+
+    Only the (cutoff, by) pairs of ``want`` are counted; it holds a few rows per cutoff.
 
     Cutoffs are grouped in blocks of about sqrt(window / 2) days. Days inside every window of a
     block are counted once per block; only the days at the block's two edges are counted per
@@ -366,19 +369,30 @@ def _counts_in_windows(per_day: DataFrame, want: DataFrame, on: str, window: int
     def spread(rows: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
         ranged = rows.withColumn("_first", first).withColumn("_last", last)
         return ranged.where("_first <= _last").select(
-            F.explode(F.sequence("_first", "_last")).alias(name), "_b", "_c"
+            F.explode(F.sequence("_first", "_last")).alias(name), *by, "_b", "_c"
         )
 
+    want = want.select(on, *by)
     shared = spread(per_day, block(day) + 1, block(day + window + 1 - size), "_block")
-    shared = shared.groupBy("_block", "_b").agg(F.sum("_c").alias("_c"))
+    shared = shared.groupBy("_block", *by, "_b").agg(F.sum("_c").alias("_c"))
     whole = (
-        want.withColumn("_block", block(F.col(on))).join(shared, "_block").select(on, "_b", "_c")
+        want.withColumn("_block", block(F.col(on))).join(shared, ["_block", *by]).select(on, *by, "_b", "_c")
     )
     late = spread(per_day, day + 1, (block(day) + 1) * size - 1, on)
     leaving = per_day.where(F.pmod(day + window + 1, F.lit(size)) != 0)
     early = spread(leaving, block(day + window) * size, day + window, on)
-    edges = late.unionByName(early).join(F.broadcast(want), on)
-    return whole.unionByName(edges).groupBy(on, "_b").agg(F.sum("_c").alias("_c"))
+    edges = late.unionByName(early).join(F.broadcast(want), [on, *by])
+    return whole.unionByName(edges).groupBy(on, *by, "_b").agg(F.sum("_c").alias("_c"))
+
+
+def _holding(counts: DataFrame, on: str, by: Sequence[str]) -> DataFrame:
+    """Cells that hold one of the ranks _lo and _hi, with the rank before each as _from.
+
+    ``counts`` has (cutoff, by, _b, _c) and the ranks, with _start values before the (cutoff, by) group.
+    """
+    upto = Window.partitionBy(on, *by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    cells = counts.withColumn("_to", F.col("_start") + F.sum("_c").over(upto)).withColumn("_from", F.col("_to") - F.col("_c"))
+    return cells.where(" or ".join(f"({r} >= _from and {r} < _to)" for r in ("_lo", "_hi")))
 
 
 def trailing_median(
@@ -392,48 +406,40 @@ def trailing_median(
 ) -> DataFrame:
     """Exact median and count of event values in [D - window_days, D) per distinct cutoff D.
 
-    Bucket counts per day give each cutoff the bucket its median lies in (work depends on days and
-    buckets, not on events). Each cutoff then reads only that bucket's values, day by day.
+    Three histograms, each counted per day first and then over the windows by the same blocks of days: of
+    value buckets, of even steps between the least and largest value of the bucket that holds a median,
+    of the values of the step that holds it. A day's cells are copied about 2 sqrt(window_days) times, no
+    value once per cutoff, and what is walked in order is one step's distinct values.
     """
     ev = events.select(
         F.unix_date(F.col(day)).cast("bigint").alias("_day"), F.col(value).cast("double").alias("_v")
     ).where("_day is not null and _v is not null")
-    ev = ev.withColumn("_b", value_bucket(F.col("_v"), per_e_fold))
+    ev = ev.withColumn("_b0", value_bucket(F.col("_v"), per_e_fold))
     want = (  # at most one row per day
         cutoffs.select(F.unix_date(on).cast("bigint").alias(on)).distinct().where(F.col(on).isNotNull())
     )
-    per_day = ev.groupBy("_day", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    counts = _counts_in_windows(per_day, want, on, window_days)
-    w = Window.partitionBy(on)
-    upto = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    counts = (
-        counts.withColumn("_n", F.sum("_c").over(w))
-        .withColumn("_start", F.sum("_c").over(upto) - F.col("_c"))
-        .withColumn("_lo", F.floor((F.col("_n") - 1) / 2))
-        .withColumn("_hi", F.ceil((F.col("_n") - 1) / 2))
-    )
-
-    def inside(rank: str, start: str, end: Column) -> Column:
-        return (F.col(rank) >= F.col(start)) & (F.col(rank) < end)
-
-    end = F.col("_start") + F.col("_c")
-    chosen = counts.where(inside("_lo", "_start", end) | inside("_hi", "_start", end)).drop("_c")
-    # At most two buckets per cutoff, so this side has at most 2 x days x window rows.
-    lookups = chosen.withColumn(
-        "_day", F.explode(F.sequence(F.col(on) - window_days, F.col(on) - 1))
-    )
-    values = ev.groupBy("_day", "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
-    cells = (
-        values.join(lookups, ["_day", "_b"])
-        .groupBy(on, "_b", "_start", "_n", "_lo", "_hi", "_v")
-        .agg(F.sum("_m").alias("_c"))
-    )
-    walk = Window.partitionBy(on, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("_to", F.col("_start") + F.sum("_c").over(walk)).withColumn(
-        "_from", F.col("_to") - F.col("_c")
-    )
-    lo = F.max(F.when(inside("_lo", "_from", F.col("_to")), F.col("_v")))
-    hi = F.max(F.when(inside("_hi", "_from", F.col("_to")), F.col("_v")))
+    ranks = ["_n", "_lo", "_hi"]
+
+    def counted(rows: DataFrame, want: DataFrame, by: Sequence[str], cell: str) -> DataFrame:
+        per_day = rows.groupBy("_day", *by, F.col(cell).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        return _counts_in_windows(per_day, want, on, window_days, by)
+
+    def narrowed(rows: DataFrame, chosen: DataFrame, by: Sequence[str], cell: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Rows of the chosen cells, what is wanted of them per cutoff, and their window counts by `cell`."""
+        wanted = land(chosen.select(on, *by[:-1], F.col("_b").alias(by[-1]), F.col("_from").alias("_start"), *ranks), "wanted")
+        rows = rows.join(F.broadcast(wanted.select(*by).distinct()), list(by))  # at most two cells per day
+        return rows, wanted, counted(rows, wanted, by, cell).join(F.broadcast(wanted), [on, *by])
+
+    total = F.sum("_c").over(Window.partitionBy(on))
+    counts = counted(ev, want, [], "_b0").withColumn("_n", total).withColumn("_start", F.lit(0).cast("bigint"))
+    counts = counts.withColumn("_lo", F.floor((F.col("_n") - 1) / 2)).withColumn("_hi", F.ceil((F.col("_n") - 1) / 2))
+    spans = ev.groupBy("_b0").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))  # one row per bucket
+    share = F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * STEPS)
+    stepped = ev.join(spans, "_b0").withColumn("_b1", F.when(F.col("_high") > F.col("_low"), share).otherwise(0))
+    rows, _, counts = narrowed(stepped, _holding(counts, on, []), ["_b0"], "_b1")
+    _, _, counts = narrowed(rows, _holding(counts, on, ["_b0"]), ["_b0", "_b1"], "_v")
+    cells = _holding(counts, on, ["_b0", "_b1"])
+    lo, hi = (F.max(F.expr(f"case when {r} >= _from and {r} < _to then _b end")) for r in ("_lo", "_hi"))
     out = cells.groupBy(on).agg(
         ((lo + hi) / 2).alias("median_value"), F.max("_n").alias("n_events")
     )

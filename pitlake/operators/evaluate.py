@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitlake.functions.landing import land
 from pitlake.functions.ranks import dense_index, exact_median, exact_quantiles
 from pitlake.functions.scalar import hash_number
 
@@ -96,18 +97,63 @@ def _poisson_sums(sums: DataFrame, cluster: str, errors: list[str], replicates:
         F.sum(F.col("_w") * F.col("_rows")).alias("_n"), *(F.sum(F.col("_w") * F.col(m)).alias(m) for m in errors))
 
 
+# Multiplier and mask of the 32-bit mixing steps.
+MIX, LOW32 = 73244475, 0xFFFFFFFF
+#: Cluster counts one task makes, about.
+COUNTS_PER_TASK = 4_000_000
+#: Poisson counts leave about this many standard deviations of draws to be drawn one by one.
+MARGIN = 8.0
+
+
+def _mixed(df: DataFrame, x: Column, out: str) -> DataFrame:
+    """Add a 32-bit hash of x (0 to 2^32 - 1) in plain integer arithmetic, a column per step."""
+    df = df.withColumn(out, x)
+    fold = F.shiftright(out, 16).bitwiseXOR(F.col(out))
+    for _ in range(2):
+        df = df.withColumn(out, (fold * MIX).bitwiseAND(LOW32))
+    return df.withColumn(out, fold)
+
+
+def _drawn(df: DataFrame, seed: int, place: str, out: str) -> DataFrame:
+    """Add a hash of (_rep, place, seed)."""
+    df = _mixed(df, (F.col("_rep") + seed * 65537).bitwiseAND(LOW32), "_own")
+    slot = (F.col(place) + F.shiftright(place, 32) * MIX).bitwiseAND(LOW32)
+    return _mixed(df, F.col("_own").bitwiseXOR(slot), out).drop("_own")
+
+
+def thinned_steps(clusters: int) -> list[int]:
+    """Cumulative Poisson probabilities in units of 2^-32, for a mean so far below 1 that all clusters' counts
+    add up to less than the number of clusters."""
+    mean = max(0.0, 1 - MARGIN / math.sqrt(clusters)) if clusters else 0.0
+    terms = [math.exp(-mean) * mean**k / math.factorial(k) for k in range(17)]
+    return [math.floor(sum(terms[: k + 1]) * 2**32) for k in range(17)]
+
+
 def _multinomial_sums(sums: DataFrame, cluster: str, errors: list[str], replicates: int, seed: int) -> DataFrame:
-    indexed = dense_index(sums, cluster, "_slot", "_clusters")
-    draws = indexed.select(
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"), "_slot", "_clusters"
-    ).select(
-        "_rep", (hash_number("_rep", "_slot", F.lit(seed)) % F.col("_clusters")).alias("_slot")
-    )
-    return (
-        draws.join(indexed.select("_slot", "_rows", *errors), "_slot")
-        .groupBy("_rep")
-        .agg(F.sum("_rows").alias("_n"), *(F.sum(m).alias(m) for m in errors))
-    )
+    """Rows and errors of every replicate's draws: as many clusters as there are, with replacement.
+
+    Most draws need no lookup. Independent Poisson counts per cluster, given their total, are that many draws;
+    with a mean below 1 the total stays below the number of clusters, and what is missing is drawn
+    one by one. So a task counts its own clusters for all replicates and sends one row per replicate, and only
+    about MARGIN * sqrt(clusters) draws per replicate meet the cluster sums in a join.
+    """
+    indexed = land(dense_index(sums, cluster, "_slot", "_clusters").select("_slot", "_rows", *errors), "clusters")
+    clusters = indexed.count()
+    reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("_rep")
+    spread = indexed.repartition(max(1, min(clusters, -(-clusters * replicates // COUNTS_PER_TASK))))
+    rows = _drawn(spread.select("*", reps), seed, "_slot", "_h")
+    weight = reduce(lambda x, y: x + y, [(F.col("_h") >= c).cast("int") for c in thinned_steps(clusters)])
+    counted = rows.withColumn("_w", weight).groupBy("_rep").agg(
+        F.sum("_w").alias("_draws"), F.sum(F.col("_w") * F.col("_rows")).alias("_n"), *(F.sum(F.col("_w") * F.col(m)).alias(m) for m in errors))
+    counted = land(counted, "counted")  # one row per replicate
+    left = F.lit(clusters) - F.col("_draws")
+    left = F.when(left >= 0, left).otherwise(F.raise_error(F.lit("more draws than clusters")).cast("long"))
+    singles = counted.select("_rep", left.alias("_left")).where("_left > 0").select("_rep", F.explode(F.sequence(F.lit(1).cast("long"), "_left")).alias("_draw"))
+    # Never null, so that no filter on the whole chain of steps is derived from the join.
+    slot = F.coalesce(F.shiftright(F.col("_h") * clusters, 32), F.lit(-1))
+    singles = _drawn(singles, seed + 1, "_draw", "_h").select("_rep", slot.alias("_slot"))
+    single = singles.join(indexed, "_slot").groupBy("_rep").agg(F.sum("_rows").alias("_n"), *(F.sum(m).alias(m) for m in errors))
+    return counted.drop("_draws").unionByName(single).groupBy("_rep").agg(F.sum("_n").alias("_n"), *(F.sum(m).alias(m) for m in errors))
 
 
 def paired_cluster_bootstrap(
@@ -123,17 +169,15 @@ def paired_cluster_bootstrap(
     """Per comparison: observed MAE difference to ``reference``, its percentile interval, verdict.
 
     Every replicate draws as many clusters as there are, with replacement, and all methods use
-    the same draws. Draw = md5(replicate|slot|seed) mod clusters, so results do not depend on
-    partitioning. Each cluster row also serves as one slot of every replicate; drawn positions
-    meet the cluster sums in an equi-join on evenly spread keys and collapse to one row per
-    replicate before anything is compared.
+    the same draws. Draws hash (replicate, place, seed), so results do not depend on partitioning. See
+    ``_multinomial_sums`` for how few of them are joined.
 
     With weights="poisson" a cluster counts in a replicate as often as a Poisson(1) number from
     md5(replicate|cluster|seed) says, which is the limit of the draws for many clusters. Nothing is
     joined then: every task sums its own clusters and sends one row per replicate.
     """
     others = [m for m in errors if m != reference]
-    sums = cluster_sums(df, cluster, errors)
+    sums = land(cluster_sums(df, cluster, errors), "cluster-sums")
     if weights == "poisson":
         drawn = _poisson_sums(sums, cluster, list(errors), replicates, seed)
     else:

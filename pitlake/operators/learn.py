@@ -10,12 +10,14 @@ proportional to the rows reaches the driver.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlake.functions.scalar import POSITIONS, is_finite
@@ -208,18 +210,47 @@ class LinearFit:
         return w, float(self.intercept - (w * self.mean).sum())
 
 
-def _soft_threshold_fit(q: np.ndarray, c: np.ndarray, l1: float, l2: float) -> tuple[np.ndarray, bool]:
-    """Minimise w'Qw/2 - c'w + l1 |w| + l2 |w|^2/2 coordinate by coordinate (p is small)."""
-    w = np.zeros(len(c))
-    for _ in range(100_000):
-        step = 0.0
-        for j in range(len(c)):
-            gap = c[j] - q[j] @ w + q[j, j] * w[j]
-            new = np.sign(gap) * max(abs(gap) - l1, 0.0) / (q[j, j] + l2) if q[j, j] + l2 else 0.0
-            step, w[j] = max(step, abs(new - w[j])), new
-        if step <= 1e-10:
-            return w, True
-    return w, False
+def moment_rows(q: np.ndarray, c: np.ndarray, yy: float) -> np.ndarray:
+    """2 (p + 1) rows (inputs, label) of mean zero whose cross products are q, c and yy.
+
+    Any fit that sees rows only through these moments, as least squares with penalties does, has the same
+    answer on them as on the table they were summed from, however large.
+    """
+    full = np.block([[q, c[:, None]], [c[None, :], np.array([[yy]])]])
+    size, axes = np.linalg.eigh(full)
+    half = (axes * np.sqrt(np.maximum(size, 0.0) * len(full))).T
+    return np.concatenate([half, -half])
+
+
+def optimality_gap(gradient: np.ndarray, w: np.ndarray, l1: float, l2: float) -> np.ndarray:
+    """Per coefficient, how far it is from the optimum of (squared error / 2 + l1 |w| + l2 w^2 / 2).
+
+    gradient is the mean product of (scaled) input and residual. A coefficient that is not zero has
+    gradient l2 w + l1 sign(w), one at zero has at most l1 in size.
+    """
+    on = np.abs(gradient - l2 * w - l1 * np.sign(w))
+    return np.where(w != 0, on, np.maximum(np.abs(gradient) - l1, 0.0))
+
+
+def _elastic_net(q: np.ndarray, c: np.ndarray, yy: float, candidate: Candidate) -> tuple[np.ndarray, bool]:
+    """MLlib's elastic net on the moment rows, and whether the optimality conditions hold.
+
+    MLlib stops within a tolerance. It finds which coefficients are not zero and their signs; with those
+    given the optimum is a linear system, which fixes the last digits.
+    """
+    l1, l2 = candidate.alpha * candidate.l1_ratio, candidate.alpha * (1 - candidate.l1_ratio)
+    if yy <= 0 or np.abs(c).max(initial=0.0) <= l1:
+        return np.zeros(len(c)), True
+    names = [f"x{i}" for i in range(len(c))]
+    rows = SparkSession.active().createDataFrame(moment_rows(q, c, yy).tolist(), ", ".join(f"{n} double" for n in [*names, "y"]))
+    w = fit_mllib(rows.coalesce(1), names, "y", candidate, 1, math.sqrt(yy)).coefficients.toArray()
+    w = np.where(np.abs(w) > 1e-7, w, 0.0)
+    on = w != 0
+    exact = np.zeros(len(c))
+    exact[on] = np.linalg.solve(q[np.ix_(on, on)] + l2 * np.eye(on.sum()), c[on] - l1 * np.sign(w[on]))
+    if (np.sign(exact) == np.sign(w)).all():
+        w = exact
+    return w, bool(optimality_gap(c - q @ w, w, l1, l2).max() <= 1e-8)
 
 
 def fit_linear(
@@ -242,8 +273,7 @@ def fit_linear(
     elif candidate.family == "ridge":
         w = np.linalg.solve(q + candidate.alpha / m.n * np.eye(len(idx)), c)
     else:
-        a, r = candidate.alpha, candidate.l1_ratio
-        w, done = _soft_threshold_fit(q, c, a * r, a * (1 - r))
+        w, done = _elastic_net(q, c, float(cov[last, last]), candidate)
         if not done:
             issues.append("did not converge")
     if not np.isfinite(w).all():
@@ -276,6 +306,11 @@ class FoldFits:
 
     validation_cycles: list
     fits: dict[str, list[list[LinearFit]]]
+    rows: list[float] = field(default_factory=list)  # training rows per fold
+
+    def only(self, variant: str, grid_order: int) -> FoldFits:
+        """The folds of one candidate, as the only one."""
+        return FoldFits(self.validation_cycles, {variant: [self.fits[variant][grid_order]]}, self.rows)
 
 
 def fit_folds(
@@ -291,14 +326,11 @@ def fit_folds(
         raise ValueError(f"{len(cycles)} training cycles; need {n_folds + 1} for {n_folds} folds")
     validation = cycles[-n_folds:]
     train = [_sum([stats.by_group[c] for c in cycles if c < v]) for v in validation]
-    fits = {
-        name: [
-            [fit_linear(m, cand, cols, indicators, stats.centre, label) for m in train]
-            for cand in grid
-        ]
-        for name, cols in variant_columns.items()
-    }
-    return FoldFits(validation, fits)
+    jobs = [(cols, cand, m) for cols in variant_columns.values() for cand in grid for m in train]
+    with ThreadPoolExecutor(8) as pool:  # MLlib's fits are small Spark jobs and wait for each other otherwise
+        done = iter(pool.map(lambda j: fit_linear(j[2], j[1], j[0], indicators, stats.centre, label), jobs))
+    fits = {name: [[next(done) for _ in train] for _ in grid] for name in variant_columns}
+    return FoldFits(validation, fits, [m.n for m in train])
 
 
 def score_folds(df: DataFrame, cv: FoldFits, label: str, cycle: str) -> DataFrame:
@@ -381,6 +413,51 @@ def cross_validate(
     return score_folds(df, cv, label, cycle), cv, stats
 
 
+def optimality(df: DataFrame, cv: FoldFits, label: str, cycle: str) -> DataFrame:
+    """(variant, grid_order, candidate, fold, gap) of every fit: its largest distance from its optimality conditions.
+
+    Residuals are taken over all training rows of the fold, in one pass for all fits; tasks send one row per
+    fold and input. Independent of how the fits were found.
+    """
+    flat = [(v, k) for v, cands in cv.fits.items() for k in range(len(cands))]
+    columns = sorted({c for cands in cv.fits.values() for c in cands[0][0].columns})
+    place = {c: i for i, c in enumerate(columns)}
+    folds = []
+    for f, val in enumerate(cv.validation_cycles):
+        w = np.zeros((len(columns) + 1, len(flat)))
+        for m, (v, k) in enumerate(flat):
+            fit = cv.fits[v][k][f]
+            w[[place[c] for c in fit.columns], m], w[-1, m] = fit.raw()
+        folds.append((val, w))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.column_stack([batch[columns].to_numpy(float), np.ones(len(batch))])
+            for f, (val, w) in enumerate(folds):
+                own = (batch["_cycle"] < val).to_numpy()
+                if own.any():
+                    part = x[own].T @ (batch[["_y"]].to_numpy(float)[own] - x[own] @ w)
+                    yield pd.DataFrame({"fold": f, "term": np.arange(len(part)), "sums": list(part)})
+
+    use = df.where(F.col(cycle) < max(cv.validation_cycles)).select(
+        F.col(cycle).alias("_cycle"), finite(label).alias("_y"), *(finite(c).alias(c) for c in columns))
+    sums = use.mapInPandas(partial, "fold int, term int, sums array<double>").select("fold", "term", F.posexplode("sums").alias("model", "v"))
+    total = np.zeros((len(folds), len(columns) + 1, len(flat)))
+    for r in sums.groupBy("fold", "term", "model").agg(F.sum("v").alias("v")).collect():  # folds x inputs x fits
+        total[r.fold, r.term, r.model] = r.v
+    out = []
+    for m, (v, k) in enumerate(flat):
+        for f, n in enumerate(cv.rows):
+            fit = cv.fits[v][k][f]
+            c = fit.candidate
+            l1, l2 = {"linear": (0.0, 0.0), "ridge": (0.0, c.alpha / n)}.get(c.family, (c.alpha * c.l1_ratio, c.alpha * (1 - c.l1_ratio)))
+            mean = total[f, -1, m] / n
+            gradient = (total[f, [place[x] for x in fit.columns], m] / n - fit.mean * mean) / fit.scale
+            gap = float(max(optimality_gap(gradient, fit.coef, l1, l2).max(), abs(mean)))
+            out.append((v, k, c.name, f, gap))
+    return df.sparkSession.createDataFrame(out, "variant string, grid_order int, candidate string, fold int, gap double")
+
+
 def summarise_cv(fold_scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean and population sd of the fold errors; one failed fold makes a candidate ineligible."""
     return fold_scores.groupBy(*by).agg(
@@ -407,6 +484,31 @@ def pick_best(results: DataFrame, keep: Sequence[str], tie: Sequence[str], by: S
     )
 
 
+@dataclass
+class Selection:
+    """Place in the grid of each family's best candidate, and the family that wins among them."""
+
+    finalists: dict[str, int]
+    selected: str
+
+    @property
+    def grid_order(self) -> int:
+        return self.finalists[self.selected]
+
+
+def select_models(fold_scores: DataFrame) -> Selection:
+    """Best eligible candidate per family and overall; a family without an eligible one fails the job."""
+    done = summarise_cv(fold_scores, ["grid_order", "family"])
+    best = pick_best(done, ["grid_order"], ["grid_order"], ["family"])
+    first = pick_best(done, ["grid_order", "family"], ["grid_order"]).select("family", "grid_order")
+    rows = best.select("family", "grid_order").withColumn("won", F.lit(False)).union(first.withColumn("won", F.lit(True))).collect()
+    found = Selection({r.family: r.grid_order for r in rows}, next((r.family for r in rows if r.won), ""))
+    missing = [f for f in FAMILIES if f not in found.finalists]
+    if missing:
+        raise RuntimeError(f"no eligible candidate: {missing}")
+    return found
+
+
 def final_fit(
     stats: Grouped, candidate: Candidate, columns: Sequence[str], indicators: Sequence[str], label: str
 ) -> LinearFit:
@@ -436,7 +538,7 @@ def coefficient_table(df: DataFrame, fit: LinearFit, numeric: Sequence[str]) ->
 
 
 def fit_mllib(df: DataFrame, columns: Sequence[str], label: str, c: Candidate, n: int, sd_label: float):
-    """The same objective through MLlib, for a single large fit on already standardised columns.
+    """One candidate's objective through MLlib, on already standardised columns.
 
     MLlib divides its L2 term by sd(label); regParam and elasticNetParam are mapped accordingly.
     """

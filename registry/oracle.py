@@ -27,7 +27,7 @@ def sql(body: str) -> str:
             need.add(n)
             todo += [m for m in _uses(CTES[n]) if m != n]
     parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in need]
-    return (f"WITH {', '.join(parts)} " if parts else "") + body
+    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + body
 
 
 def R(expr: str, digits: int) -> str:
@@ -332,12 +332,20 @@ def asof_sql(rows: str) -> str:
     ON r.player_id = q.player_id AND r.transfer_date > q.valuation_date"""
 
 
-# Least squares and ridge on all inputs, per expanding fold (f) and on all training rows (f = -1): centred
+# The whole grid of linear models on all inputs, per expanding fold (f) and on all training rows (f = -1): centred
 # cross products, numeric inputs scaled, one Gauss-Jordan step per CTE. A pivot that vanishes (the four
-# position columns sum to one) keeps weight zero, which changes no prediction.
+# position columns sum to one) keeps weight zero, which changes no prediction. Elastic nets first go through
+# rounds of soft thresholds, one coefficient per step, which tell the coefficients that are not zero and their
+# signs; the same elimination then solves for those.
 NUMBERS = ("goals", "assists", "minutes", "appearances", "goals_per90", "assists_per90", "age")
 GROUPS = ("GK", "DF", "MF", "FW")
 ALPHAS = (0.0, 0.1, 1.0, 10.0, 100.0)
+NETS = [(a, r) for a in (0.1, 1.0, 10.0) for r in (0.15, 0.5, 0.85)]
+GRID = "(VALUES " + ", ".join(
+    [f"({k}, '{'linear' if a == 0 else 'ridge'}', '{'linear' if a == 0 else f'ridge(alpha={a})'}')" for k, a in enumerate(ALPHAS)]
+    + [f"({k}, 'elastic_net', 'elastic_net(alpha={a}, l1_ratio={r})')" for k, (a, r) in enumerate(NETS, len(ALPHAS))]) + ") g(k, family, candidate)"
+_NETS = "(VALUES " + ", ".join(f"({k}, {a * r!r}::DOUBLE, {a * (1 - r)!r}::DOUBLE)" for k, (a, r) in enumerate(NETS, len(ALPHAS))) + ") v(k, l1, l2)"
+_SWEEPS = 150
 _P = len(NUMBERS) + len(GROUPS)
 _X = "[" + ", ".join([f"{c}::DOUBLE" for c in NUMBERS] + [f"coalesce(position = '{g}', FALSE)::INT::DOUBLE" for g in GROUPS]) + "]"
 cte(
@@ -356,16 +364,33 @@ cte(
     [{', '.join(f'CASE WHEN stddev_pop(x[{i}]) > 0 THEN stddev_pop(x[{i}]) ELSE 1 END' if i <= len(NUMBERS) else '1.0::DOUBLE' for i in range(1, _P + 1))}]
       AS sd FROM fitrows GROUP BY f""",
 )
+_I = f"range(1, {_P + 1})"
+cte(
+    "std",
+    f"""SELECT f, n, my, m, sd, list_transform({_I}, lambda i: list_transform({_I}, lambda j: c[i][j] / (sd[i] * sd[j]))) AS q,
+    list_transform({_I}, lambda i: cy[i] / sd[i]) AS cq FROM grams""",
+)
+cte(
+    "nets",
+    f"""SELECT f, k, 0 AS step, list_transform({_I}, lambda i: 0.0::DOUBLE) AS w FROM std CROSS JOIN {_NETS} UNION ALL
+    SELECT f, k, step + 1, list_transform({_I}, lambda i: CASE WHEN i = pos THEN sign(gap) * greatest(abs(gap) - l1, 0) / (q[pos][pos] + l2) ELSE w[i] END)
+    FROM (SELECT *, cq[pos] + q[pos][pos] * w[pos] - list_sum(list_transform({_I}, lambda i: q[pos][i] * w[i])) AS gap
+      FROM (SELECT f, k, step, w, q, cq, l1, l2, step % {_P} + 1 AS pos FROM nets JOIN std USING (f) JOIN {_NETS} USING (k) WHERE step < {_P * _SWEEPS}))""",
+)
 cte(
     "gj0",
-    f"""SELECT f, alpha, my, m, sd, list_transform(range(1, {_P + 1}), lambda i: list_transform(range(1, {_P + 2}), lambda j:
-      CASE WHEN j = {_P + 1} THEN cy[i] / sd[i] ELSE c[i][j] / (sd[i] * sd[j]) + CASE WHEN i = j THEN alpha / n ELSE 0 END END)) AS a
-    FROM grams CROSS JOIN (VALUES {', '.join(f'({x}::DOUBLE)' for x in ALPHAS)}) v(alpha)""",
+    f"""SELECT f, k, alpha, my, m, sd, list_transform({_I}, lambda i: list_transform(range(1, {_P + 2}), lambda j:
+      CASE WHEN j = {_P + 1} THEN cq[i] ELSE q[i][j] + CASE WHEN i = j THEN alpha / n ELSE 0 END END)) AS a
+    FROM std CROSS JOIN (VALUES {', '.join(f'({k}, {x}::DOUBLE)' for k, x in enumerate(ALPHAS))}) v(k, alpha)
+    UNION ALL SELECT f, k, NULL, my, m, sd, list_transform({_I}, lambda i: list_transform(range(1, {_P + 2}), lambda j:
+      CASE WHEN w[i] = 0 THEN (i = j)::INT::DOUBLE WHEN j = {_P + 1} THEN cq[i] - l1 * sign(w[i])
+        WHEN w[j] = 0 THEN 0.0 ELSE q[i][j] + CASE WHEN i = j THEN l2 ELSE 0 END END)) AS a
+    FROM std JOIN (SELECT f, k, w FROM nets WHERE step = {_P * _SWEEPS}) USING (f) JOIN {_NETS} USING (k)""",
 )
 for _k in range(1, _P + 1):
     cte(
         f"gj{_k}",
-        f"""SELECT f, alpha, my, m, sd, CASE WHEN abs(a[{_k}][{_k}]) < 1e-10
+        f"""SELECT f, k, alpha, my, m, sd, CASE WHEN abs(a[{_k}][{_k}]) < 1e-10
       THEN list_transform(range(1, {_P + 1}), lambda i: CASE WHEN i = {_k} THEN list_transform(a[i], lambda v: 0.0::DOUBLE) ELSE a[i] END)
       ELSE list_transform(range(1, {_P + 1}), lambda i: CASE WHEN i = {_k} THEN list_transform(a[i], lambda v: v / a[{_k}][{_k}])
         ELSE list_transform(range(1, {_P + 2}), lambda j: a[i][j] - a[i][{_k}] * a[{_k}][j] / a[{_k}][{_k}]) END) END AS a
@@ -374,13 +399,21 @@ for _k in range(1, _P + 1):
 cte(
     "fits",
     f"""SELECT *, my - list_sum(list_transform(range(1, {_P + 1}), lambda i: w[i] * m[i])) AS b FROM (
-    SELECT f, alpha, my, m, sd, list_transform(range(1, {_P + 1}), lambda i: a[i][{_P + 1}] / sd[i]) AS w FROM gj{_P})""",
+    SELECT f, k, alpha, my, m, sd, list_transform(range(1, {_P + 1}), lambda i: a[i][{_P + 1}] / sd[i]) AS w FROM gj{_P})""",
 )
 FIT = f"(b + list_sum(list_transform(range(1, {_P + 1}), lambda i: w[i] * x[i])))"
-cte("predicted", f"SELECT d.*, {FIT} AS pred_log FROM design d CROSS JOIN (SELECT w, b FROM fits WHERE f = -1 AND alpha = 0)")
+cte(
+    "cv",
+    f"""SELECT k, family, candidate, fold, count(*) AS rows, avg(abs(fee_log1p - {FIT})) AS log_mae FROM folds JOIN fits ON f = fold JOIN {GRID} USING (k)
+    JOIN design ON partition_ = 'train' AND transfer_cycle = val GROUP BY ALL""",
+)
+cte("cvsum", "SELECT k, family, candidate, round_even(avg(log_mae), 4) AS m, round_even(stddev_pop(log_mae), 4) AS s FROM cv GROUP BY ALL")
+cte("finalists", "SELECT *, row_number() OVER (ORDER BY m, s, k) = 1 AS selected FROM cvsum QUALIFY row_number() OVER (PARTITION BY family ORDER BY m, s, k) = 1")
+cte("chosen", "SELECT f, w, b FROM fits JOIN finalists USING (k) WHERE selected")
+cte("predicted", f"SELECT d.*, {FIT} AS pred_log FROM design d CROSS JOIN (SELECT w, b FROM chosen WHERE f = -1)")
 cte(
     "oof",
-    f"""SELECT transfer_id, fold, fee_log1p - {FIT} AS r FROM folds JOIN fits ON f = fold AND alpha = 0
+    f"""SELECT transfer_id, fold, fee_log1p - {FIT} AS r FROM folds JOIN chosen ON f = fold
     JOIN design ON partition_ = 'train' AND transfer_cycle = val""",
 )
 
@@ -402,14 +435,24 @@ cte(
     "bypos",
     "SELECT position, quantile_cont(fee_eur, 0.5) AS med FROM train GROUP BY position",
 )
+FAMILIES = ("linear", "ridge", "elastic_net")
+
+
+def _log_of(family: str) -> str:
+    """Log prediction of a family's best candidate for a row of the design."""
+    own = FIT.replace("w[", f"w_{family}[").replace("(b +", f"(b_{family} +")
+    return own
+
+
 cte(
     "scored",
-    f"""SELECT t.*, greatest(exp(pred_log) - 1, 0) AS pred, greatest(exp({FIT}) - 1, 0) AS p_ridge,
+    f"""SELECT t.*, greatest(exp(pred_log) - 1, 0) AS pred,
+    {', '.join(f'{_log_of(m)} AS g_{m}, greatest(exp({_log_of(m)}) - 1, 0) AS p_{m}' for m in FAMILIES)},
     base.med AS p_median, base.mean AS p_mean, coalesce(bypos.med, base.med) AS p_pos,
     bypos.med IS NULL AS fallback,
     fee_eur - greatest(exp(pred_log) - 1, 0) AS residual,
     abs(fee_eur - greatest(exp(pred_log) - 1, 0)) AS abs_error,
     fee_log1p - pred_log AS log_res
-    FROM predicted t CROSS JOIN (SELECT w, b FROM fits WHERE f = -1 AND alpha = 1) CROSS JOIN base
-    LEFT JOIN bypos ON t.position = bypos.position WHERE partition_ = 'test'""",
+    FROM predicted t {' '.join(f"CROSS JOIN (SELECT w AS w_{m}, b AS b_{m} FROM fits JOIN finalists USING (k) WHERE f = -1 AND family = '{m}')" for m in FAMILIES)}
+    CROSS JOIN base LEFT JOIN bypos ON t.position = bypos.position WHERE partition_ = 'test'""",
 )

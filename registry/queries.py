@@ -29,7 +29,7 @@ from pitlake.operators import split as P
 from pitlake.plans import study as ST
 from pitlake.sources import raw as RAW
 from registry.oracle import (
-    AGE, FIT, GROUP, GROUPS, LABELS, LOOKBACK, NUMBERS, R, agg_sql, asof_sql, cand_sql, pairs_sql, sql,
+    AGE, FIT, GRID, GROUP, GROUPS, LABELS, LOOKBACK, NUMBERS, R, agg_sql, asof_sql, cand_sql, pairs_sql, sql,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -503,9 +503,9 @@ def q6(t):
 @query(
     "Q7_lineup_conflicts",
     f"""SELECT CAST(l_orderkey % 499 AS VARCHAR) AS game_id, CAST(l_partkey AS VARCHAR) AS player_id,
-    count(DISTINCT p) AS variants, count(DISTINCT p) AS rows FROM (SELECT *,
+    count(DISTINCT coalesce(p, '')) AS variants, count(DISTINCT coalesce(p, '')) AS rows FROM (SELECT *,
     {LABELS}[CAST((l_orderkey * 7 + l_partkey * 3) % 20 + 1 AS BIGINT)] AS p FROM lineitem)
-    GROUP BY ALL HAVING count(DISTINCT coalesce(p, '')) > 1 AND count(DISTINCT p) > 1 AND count(*) = count(p)""",
+    GROUP BY ALL HAVING count(DISTINCT coalesce(p, '')) > 1""",
 )
 def q7_conflicts(t):
     rows = t.read("lineitem").select(
@@ -1358,17 +1358,31 @@ def _flagged(t):
     return feats.where("partition = 'train'"), feats.where("partition = 'test'"), feats, i
 
 
-@query("M4_full_grid")
+@query(
+    "M4_full_grid",
+    f"""SELECT 'headline' AS variant, 0 AS variant_order, k AS grid_order, candidate, family, CAST(fold AS INT) AS fold, rows,
+    {R('log_mae', 6)} AS log_mae, TRUE AS eligible FROM cv""",
+)
 def m4_full(t):
     train, *_ = _flagged(t)
     scores, _, _ = M.cross_validate(train, _HEADLINE, _FLAGS, n_folds=B.N_FOLDS)
-    return scores
+    return scores.withColumn("log_mae", rnd("log_mae", 6))
+
+
+@query(
+    "M3_optimality",
+    "SELECT candidate, CAST(f AS INT) AS fold, TRUE AS optimal FROM fits JOIN " + GRID + " USING (k) WHERE f >= 0",
+)
+def m3_optimality(t):
+    train, *_ = _flagged(t)
+    _, cv, _ = M.cross_validate(train, _HEADLINE, _FLAGS, n_folds=B.N_FOLDS)
+    return M.optimality(train, cv, "fee_log1p", "transfer_cycle").select("candidate", "fold", (F.col("gap") < 1e-7).alias("optimal"))
 
 
 @query(
     "M4_linear_and_ridge",
     f"""SELECT CASE WHEN alpha = 0 THEN 'linear' ELSE 'ridge(alpha=' || alpha || ')' END AS candidate, CAST(fold AS INT) AS fold,
-    count(*) AS rows, {R('avg(abs(fee_log1p - ' + FIT + '))', 6)} AS log_mae FROM folds JOIN fits ON f = fold
+    count(*) AS rows, {R('avg(abs(fee_log1p - ' + FIT + '))', 6)} AS log_mae FROM folds JOIN fits ON f = fold AND alpha IS NOT NULL
     JOIN design ON partition_ = 'train' AND transfer_cycle = val GROUP BY alpha, fold""",
 )
 def m4_linear(t):
@@ -1405,6 +1419,22 @@ def m5(t):
     )
 
 
+@query(
+    "M5_full_grid",
+    f"""SELECT family, candidate, k AS grid_order, {R('m', 4)} AS mean_log_mae, {R('s', 4)} AS std_log_mae, selected FROM finalists""",
+)
+def m5_full(t):
+    train, *_ = _flagged(t)
+    scores, _, _ = M.cross_validate(train, _HEADLINE, _FLAGS, n_folds=B.N_FOLDS)
+    done = land(M.summarise_cv(scores, ["grid_order", "candidate", "family"]), "cv")
+    keep = ["candidate", "grid_order", "mean_log_mae", "std_log_mae", "family"]
+    best = M.pick_best(done, keep, ["grid_order"], ["family"])
+    won = M.pick_best(done, ["grid_order"], ["grid_order"]).select("grid_order").scalar()
+    return best.select(
+        "family", "candidate", "grid_order", rnd(F.bround("mean_log_mae", 4), 4, "mean_log_mae"),
+        rnd(F.bround("std_log_mae", 4), 4, "std_log_mae"), (F.col("grid_order") == won).alias("selected"))
+
+
 def _coefficients() -> str:
     """OLS terms: per sd of a numeric input, and position columns that sum to zero (least norm)."""
     n, g = len(NUMBERS), len(GROUPS)
@@ -1531,45 +1561,50 @@ def m10(t):
 # ------------------------------------------------------- evaluation, resampling, intervals
 
 
+def _models(t):
+    """Grid scored, each family's best and the winner fitted on all training rows.
+
+    (train, test, all rows, study inputs, folds of the winner, winning family, log prediction per family)
+    """
+    train, test, feats, i = _flagged(t)
+    scores, cv, stats = M.cross_validate(train, _HEADLINE, _FLAGS, n_folds=B.N_FOLDS)
+    pick, grid = M.select_models(scores), M.linear_grid()
+    logs = {f: M.prediction(M.final_fit(stats, grid[k], M.NUMERIC, _FLAGS, "fee_log1p")) for f, k in pick.finalists.items()}
+    return train, test, feats, i, cv.only("headline", pick.grid_order), pick.selected, logs
+
+
 def _fitted(t):
-    """Landed features plus the headline fit (all inputs), its folds, and test rows with all predictions."""
-    train, test, _, i = _flagged(t)
-    stats = M.grouped_moments(train, [*M.NUMERIC, *_FLAGS], "fee_log1p", "transfer_cycle")
-    grid = [M.Candidate("linear")]
-    cv = M.fit_folds(stats, _HEADLINE, _FLAGS, "fee_log1p", B.N_FOLDS, grid)
-    log = M.prediction(M.final_fit(stats, grid[0], M.NUMERIC, _FLAGS, "fee_log1p"))
-    ridge = M.prediction(M.final_fit(stats, M.Candidate("ridge", 1.0), M.NUMERIC, _FLAGS, "fee_log1p"))
-    scored = E.with_baselines(test, train, "fee_eur", "position").withColumn("prediction_log", log)
-    scored = scored.withColumn("prediction", S.back_to_units("prediction_log")).withColumn(
-        "residual", F.col("fee_eur") - F.col("prediction")
-    ).withColumn("abs_error", F.abs("residual")).withColumn("ridge", S.back_to_units(ridge))
-    return land(scored, "scored"), train, cv, i, log
+    """Test rows with the predictions of the selected model, of each family's best and of the baselines.
+
+    (those rows, training rows, folds of the selected model, study inputs, its log prediction)
+    """
+    train, test, _, i, cv, selected, logs = _models(t)
+    scored = E.with_baselines(test, train, "fee_eur", "position")
+    scored = scored.withColumns({f"log__{f}": logs[f] for f in M.FAMILIES}).withColumns({f: S.back_to_units(f"log__{f}") for f in M.FAMILIES})
+    scored = scored.withColumns({"selected_family": F.lit(selected), "prediction_log": F.col(f"log__{selected}"), "prediction": F.col(selected)})
+    scored = scored.withColumn("residual", F.col("fee_eur") - F.col("prediction")).withColumn("abs_error", F.abs("residual"))
+    return land(scored, "scored"), train, cv, i, logs[selected]
 
 
 def _methods() -> dict[str, tuple[Column, Column]]:
     base = {m: (F.col(m), F.log1p(F.col(m))) for m in E.BASELINES}
-    return {"linear": (F.col("prediction"), F.col("prediction_log")), **base}
+    return {**{f: (F.col(f), F.col(f"log__{f}")) for f in M.FAMILIES}, **base}
 
 
-_LONG = """(SELECT transfer_id, player_id, fee_eur AS y, fee_log1p AS yl, unnest(
-    [{'m': 'linear', 'p': pred, 'g': pred_log}, {'m': 'train_median', 'p': p_median, 'g': ln(1 + p_median)},
-    {'m': 'train_mean', 'p': p_mean, 'g': ln(1 + p_mean)},
-    {'m': 'train_median_by_position', 'p': p_pos, 'g': ln(1 + p_pos)}], recursive := true) FROM scored)"""
+_PREDICTED = {**{f: (f"p_{f}", f"g_{f}") for f in M.FAMILIES}, "train_median": ("p_median", "ln(1 + p_median)"),
+              "train_mean": ("p_mean", "ln(1 + p_mean)"), "train_median_by_position": ("p_pos", "ln(1 + p_pos)")}
+_LONG = "(SELECT transfer_id, player_id, fee_eur AS y, fee_log1p AS yl, unnest([" + ", ".join(
+    f"{{'m': '{m}', 'p': {p}, 'g': {g}}}" for m, (p, g) in _PREDICTED.items()) + "], recursive := true) FROM scored)"
 
 
 @query(
     "M11_score_models",
-    f"SELECT transfer_id, {R('pred_log', 6)} AS prediction_log, {R('pred', 2)} AS prediction, "
-    f"{R('log_res', 6)} AS log_residual FROM scored UNION ALL SELECT transfer_id, "
-    f"{R('pred_log', 6)}, {R('greatest(exp(pred_log) - 1, 0)', 2)}, "
-    f"{R('fee_log1p - pred_log', 6)} FROM predicted WHERE partition_ = 'train'",
+    f"SELECT transfer_id, {R('pred_log', 6)} AS prediction_log, {R('greatest(exp(pred_log) - 1, 0)', 2)} AS prediction, "
+    f"{R('fee_log1p - pred_log', 6)} AS log_residual FROM predicted",
 )
 def m11(t):
-    train, _, feats, _ = _flagged(t)
-    stats = M.grouped_moments(train, [*M.NUMERIC, *_FLAGS], "fee_log1p", "transfer_cycle")
-    log = M.prediction(M.final_fit(stats, M.Candidate("linear"), M.NUMERIC, _FLAGS, "fee_log1p"))
-    out = feats.withColumn("prediction_log", log)
-    return out.select(
+    _, _, feats, _, _, selected, logs = _models(t)
+    return feats.withColumn("prediction_log", logs[selected]).select(
         "transfer_id", rnd("prediction_log", 6), rnd(S.back_to_units("prediction_log"), 2, "prediction"),
         rnd(F.col("fee_log1p") - F.col("prediction_log"), 6, "log_residual"),
     )
@@ -1590,64 +1625,76 @@ def e1(t):
     "E2_metrics",
     f"""SELECT m AS method, {R('avg(abs(y - p))', 3)} AS mae, {R('quantile_cont(abs(y - p), 0.5)', 3)} AS
     median_ae, {R('sqrt(avg((y - p) * (y - p)))', 3)} AS rmse, {R('avg(abs(yl - g))', 6)} AS log_mae,
-    {R('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))', 6)} AS r2, count(*) AS rows
-    FROM {_LONG} GROUP BY m""",
+    {R('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))', 6)} AS r2, count(*) AS rows,
+    m IN (SELECT family FROM finalists WHERE selected) AS selected FROM {_LONG} GROUP BY m""",
 )
 def e2(t):
     scored, *_ = _fitted(t)
-    out = E.metrics(E.long_errors(scored, ["transfer_id"], "fee_eur", _methods()))
+    out = E.metrics(E.long_errors(scored, ["transfer_id", "selected_family"], "fee_eur", _methods()), ["method", "selected_family"])
     return out.select(
         "method", rnd("mae", 3), rnd("median_ae", 3), rnd("rmse", 3), rnd("log_mae", 6), rnd("r2", 6),
-        "rows",
+        "rows", (F.col("method") == F.col("selected_family")).alias("selected"),
     )
 
 
 _REPS, _SEED = 5000, 42
 
 
-def _boot_oracle(methods: dict[str, str], reference: str, rows: str, model: str, other: str) -> str:
-    """Same md5 draws over clusters numbered in (md5, key) order."""
+def _hash_sql(rows: str, place: str, seed: int) -> str:
+    """Rows with h, the 32-bit hash of (rep, place, seed), step by step."""
+    def mixed(body: str, x: str, out: str) -> str:
+        body = f"SELECT *, {x} AS {out}_0 FROM ({body})"
+        for k in range(2):
+            body = f"SELECT *, (xor({out}_{k} >> 16, {out}_{k}) * {E.MIX}) & {E.LOW32} AS {out}_{k + 1} FROM ({body})"
+        return f"SELECT *, xor({out}_2 >> 16, {out}_2) AS {out} FROM ({body})"
+
+    own = mixed(rows, f"((rep + {seed * 65537}) & {E.LOW32})::BIGINT", "r")
+    return mixed(own, f"xor(r, (({place} + ({place} >> 32) * {E.MIX}) & {E.LOW32})::BIGINT)", "h")
+
+
+def _boot_oracle(methods: dict[str, str], reference: str, rows: str) -> str:
+    """Thinned Poisson counts over clusters numbered in (md5, key) order, then the missing draws one by one."""
     sums = ", ".join(f"sum(abs(fee_eur - {p})) AS e_{m}" for m, p in methods.items())
     others = [m for m in methods if m != reference]
-    return " UNION ALL ".join(
-        f"""SELECT '{m}' AS comparison, {R('o', 3)} AS observed_delta, {R('lo', 3)} AS ci_low,
-    {R('hi', 3)} AS ci_high, CASE WHEN hi < 0 THEN 'lower'
-    WHEN lo > 0 THEN 'higher'
-    ELSE 'unclear' END AS verdict, clusters FROM (
-    SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM (
-      SELECT (sum(e_{reference}) - sum(e_{m})) / sum(n) AS d FROM (
-        SELECT rep, ('0x' || substr(md5(rep || '|' || i || '|{_SEED}'), 1, 15))::BIGINT % clusters AS s
-        FROM range({_REPS}) r(rep) CROSS JOIN ({_idx(rows, sums)})) x
-      JOIN ({_idx(rows, sums)}) c ON c.i = x.s GROUP BY rep)) CROSS JOIN (
-    SELECT (sum(e_{reference}) - sum(e_{m})) / sum(n) AS o, count(*) AS clusters FROM ({_idx(rows, sums)}))"""
+    mean = f"greatest(0, 1 - {E.MARGIN!r} / sqrt(clusters))"
+    step = f"floor(4294967296 * list_sum(list_transform(range(0, k + 1), lambda j: exp(-lam) * pow(lam, j) / factorial(CAST(j AS INTEGER)))))"
+    weight = "list_sum(list_transform(steps, lambda c: (h >= c)::INT))"
+    every = ["n", *(f"e_{m}" for m in methods)]
+    counted = ", ".join(f"sum({weight} * {c}) AS {c}" for c in every)
+    return f"""SELECT * FROM (WITH idx AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY md5(CAST(player_id AS VARCHAR)), player_id) - 1)::BIGINT AS i,
+      count(*) OVER ()::BIGINT AS clusters FROM (SELECT player_id, count(*) AS n, {sums} FROM {rows} GROUP BY player_id)),
+    st AS MATERIALIZED (SELECT clusters, list_transform(range(0, 17), lambda k: {step}) AS steps FROM (SELECT clusters, {mean} AS lam FROM idx LIMIT 1)),
+    cnt AS MATERIALIZED (SELECT rep, sum({weight})::BIGINT AS draws, {counted}
+      FROM ({_hash_sql(f"SELECT x.rep::BIGINT AS rep, idx.*, steps FROM range({_REPS}) x(rep) CROSS JOIN idx CROSS JOIN st", "i", _SEED)}) GROUP BY rep),
+    one AS (SELECT rep, {', '.join(f'sum({c}) AS {c}' for c in every)} FROM (SELECT rep, ((h * total) >> 32)::BIGINT AS s
+        FROM ({_hash_sql("SELECT rep, total, unnest(range(1, total - draws + 1))::BIGINT AS j FROM (SELECT rep, draws, (SELECT clusters FROM st) AS total FROM cnt)", "j", _SEED + 1)})) JOIN idx ON i = s GROUP BY rep),
+    reps AS (SELECT rep, {', '.join(f'sum({c}) AS {c}' for c in every)} FROM (SELECT rep, {', '.join(every)} FROM cnt UNION ALL SELECT rep, {', '.join(every)} FROM one) GROUP BY rep)
+    """ + " UNION ALL ".join(
+        f"""SELECT '{m}' AS comparison, {R('o', 3)} AS observed_delta, {R('lo', 3)} AS ci_low, {R('hi', 3)} AS ci_high,
+    CASE WHEN hi < 0 THEN 'lower' WHEN lo > 0 THEN 'higher' ELSE 'unclear' END AS verdict, clusters FROM (
+      SELECT quantile_cont((e_{reference} - e_{m}) / n, 0.025) AS lo, quantile_cont((e_{reference} - e_{m}) / n, 0.975) AS hi FROM reps) CROSS JOIN (
+      SELECT (sum(e_{reference}) - sum(e_{m})) / sum(n) AS o, count(*) AS clusters FROM idx)"""
         for m in others
-    )
-
-
-def _idx(rows: str, sums: str) -> str:
-    return f"""SELECT *, row_number() OVER (ORDER BY md5(CAST(player_id AS VARCHAR)), player_id) - 1 AS i,
-    count(*) OVER () AS clusters FROM (SELECT player_id, count(*) AS n, {sums} FROM {rows}
-    GROUP BY player_id)"""
+    ) + ")"
 
 
 @query(
     "E3_cluster_bootstrap",
     _boot_oracle(
-        {"linear": "pred", "train_median": "p_median", "train_mean": "p_mean",
-         "train_median_by_position": "p_pos"}, "linear", "scored", "model", "baseline",
+        {"selected": "pred", "train_median": "p_median", "train_mean": "p_mean", "train_median_by_position": "p_pos"}, "selected", "scored",
     ),
 )
 def e3(t, weights="multinomial"):
     scored, *_ = _fitted(t)
-    errors = {m: F.abs(F.col("fee_eur") - p) for m, (p, _) in _methods().items()}
-    out = E.paired_cluster_bootstrap(scored, "player_id", errors, "linear", _REPS, _SEED, 0.95, weights)
+    errors = {m: F.abs(F.col("fee_eur") - F.col(p)) for m, p in {"selected": "prediction", **{m: m for m in E.BASELINES}}.items()}
+    out = E.paired_cluster_bootstrap(scored, "player_id", errors, "selected", _REPS, _SEED, 0.95, weights)
     return out.select(
         "comparison", rnd("observed_delta", 3), rnd("ci_low", 3), rnd("ci_high", 3), "verdict", "clusters"
     )
 
 
 _POISSON = " + ".join(f"(u >= {c!r})::INT" for c in E.poisson_steps())
-_ERRORS = {"linear": "pred", "train_median": "p_median", "train_mean": "p_mean", "train_median_by_position": "p_pos"}
+_ERRORS = {"selected": "pred", "train_median": "p_median", "train_mean": "p_mean", "train_median_by_position": "p_pos"}
 _SUMS = ", ".join(f"sum(abs(fee_eur - {p})) AS e_{m}" for m, p in _ERRORS.items())
 
 
@@ -1657,11 +1704,11 @@ _SUMS = ", ".join(f"sum(abs(fee_eur - {p})) AS e_{m}" for m, p in _ERRORS.items(
         f"""SELECT '{m}' AS comparison, {R('o', 3)} AS observed_delta, {R('lo', 3)} AS ci_low, {R('hi', 3)} AS ci_high,
     CASE WHEN hi < 0 THEN 'lower' WHEN lo > 0 THEN 'higher' ELSE 'unclear' END AS verdict, clusters FROM (
     SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM (
-      SELECT sum(w * (e_linear - e_{m})) / sum(w * n) AS d FROM (SELECT *, {_POISSON} AS w FROM (
+      SELECT sum(w * (e_selected - e_{m})) / sum(w * n) AS d FROM (SELECT *, {_POISSON} AS w FROM (
         SELECT rep, c.*, ('0x' || substr(md5(rep || '|' || player_id || '|{_SEED}'), 1, 13))::BIGINT / {float(16**13)!r} AS u
         FROM range({_REPS}) r(rep) CROSS JOIN (SELECT player_id, count(*) AS n, {_SUMS} FROM scored GROUP BY player_id) c))
       GROUP BY rep HAVING sum(w) > 0)) CROSS JOIN (
-    SELECT (sum(e_linear) - sum(e_{m})) / sum(n) AS o, count(*) AS clusters FROM (
+    SELECT (sum(e_selected) - sum(e_{m})) / sum(n) AS o, count(*) AS clusters FROM (
       SELECT player_id, count(*) AS n, {_SUMS} FROM scored GROUP BY player_id))"""
         for m in list(_ERRORS)[1:]),
 )
@@ -1706,15 +1753,14 @@ def e5_groups(t):
 
 @query(
     "E6_prediction_table",
-    f"""SELECT transfer_id, position, minutes, fee_eur, {R('pred', 2)} AS pred__linear,
-    {R('p_median', 2)} AS pred__train_median, {R('p_mean', 2)} AS pred__train_mean,
-    {R('p_pos', 2)} AS pred__train_median_by_position, {R('residual', 2)} AS residual,
+    f"""SELECT transfer_id, position, minutes, fee_eur, {', '.join(f"{R(p, 2)} AS pred__{m}" for m, (p, _) in _PREDICTED.items())}, {R('residual', 2)} AS residual,
     {R('abs_error', 2)} AS abs_error FROM scored""",
 )
 def e6(t):
     scored, *_ = _fitted(t)
     keep = ["transfer_id", "position", "minutes", "fee_eur"]
-    out = E.prediction_table(scored, keep, "fee_eur", _methods(), "linear")
+    methods = {**_methods(), "selected": (F.col("prediction"), F.col("prediction_log"))}
+    out = E.prediction_table(scored, keep, "fee_eur", methods, "selected")
     cols = [f"pred__{m}" for m in _methods()]
     return out.select(*keep, *(rnd(c, 2) for c in [*cols, "residual", "abs_error"]))
 
@@ -1772,13 +1818,13 @@ def e8(t):
     "E8_comparator_metrics",
     f"""SELECT m AS method, {R('avg(abs(fee_eur - p))', 3)} AS mae, {R('quantile_cont(abs(fee_eur - p), 0.5)', 3)}
     AS median_ae, {R('avg(abs(fee_log1p - ln(1 + p)))', 6)} AS log_mae, count(*) AS rows FROM (
-    SELECT fee_eur, fee_log1p, unnest([{{'m': 'linear', 'p': pred}}, {{'m': 'market_value', 'p': market_value_eur}},
+    SELECT fee_eur, fee_log1p, unnest([{{'m': 'selected', 'p': pred}}, {{'m': 'market_value', 'p': market_value_eur}},
     {{'m': 'train_median', 'p': p_median}}], recursive := true) FROM {_MV} WHERE status = 'matched') GROUP BY 1""",
 )
 def e8_metrics(t):
     rows = _valued(t).where("market_value_status = 'matched'")
     methods = {
-        "linear": (F.col("prediction"), F.log1p("prediction")),
+        "selected": (F.col("prediction"), F.log1p("prediction")),
         "market_value": (F.col("market_value_eur"), F.log1p("market_value_eur")),
         "train_median": (F.col("train_median"), F.log1p("train_median")),
     }
@@ -1789,16 +1835,15 @@ def e8_metrics(t):
 @query(
     "E8_comparator_bootstrap",
     _boot_oracle(
-        {"linear": "pred", "market_value": "market_value_eur"}, "linear",
-        f"(SELECT * FROM {_MV} WHERE status = 'matched')", "linear", "market value",
+        {"selected": "pred", "market_value": "market_value_eur"}, "selected", f"(SELECT * FROM {_MV} WHERE status = 'matched')",
     ),
 )
 def e8_boot(t):
     rows = _valued(t).where("market_value_status = 'matched'")
     errors = {c: F.abs(F.col("fee_eur") - F.col(p)) for c, p in
-              (("linear", "prediction"), ("market_value", "market_value_eur"))}
+              (("selected", "prediction"), ("market_value", "market_value_eur"))}
     out = E.paired_cluster_bootstrap(
-        rows, "player_id", errors, "linear", _REPS, _SEED, 0.95
+        rows, "player_id", errors, "selected", _REPS, _SEED, 0.95
     )
     return out.select(
         "comparison", rnd("observed_delta", 3), rnd("ci_low", 3), rnd("ci_high", 3), "verdict", "clusters"
@@ -2017,10 +2062,8 @@ def e18(t):
     {R('quantile_cont(fee_eur, 0.5)', 3)} AS median_label FROM predicted GROUP BY ALL""",
 )
 def e19(t):
-    train, _, feats, _ = _flagged(t)
-    stats = M.grouped_moments(train, [*M.NUMERIC, *_FLAGS], "fee_log1p", "transfer_cycle")
-    log = M.prediction(M.final_fit(stats, M.Candidate("linear"), M.NUMERIC, _FLAGS, "fee_log1p"))
-    out = E.drift_by_cycle(feats, "transfer_cycle", "fee_eur", F.col("fee_log1p") - log)
+    _, _, feats, _, _, selected, logs = _models(t)
+    out = E.drift_by_cycle(feats, "transfer_cycle", "fee_eur", F.col("fee_log1p") - logs[selected])
     return out.select(
         "transfer_cycle", "partition", "rows", rnd("mean_log_residual", 6), rnd("median_label", 3)
     )
@@ -2028,7 +2071,7 @@ def e19(t):
 
 @query(
     "E20_compare_worst",
-    f"""SELECT s.transfer_id, {R('pred', 2)} AS pred__linear, {R('p_ridge', 2)} AS pred__ridge, {R('p_median', 2)} AS pred__train_median,
+    f"""SELECT s.transfer_id, {', '.join(f"{R(f'p_{m}', 2)} AS pred__{m}" for m in M.FAMILIES)}, {R('p_median', 2)} AS pred__train_median,
     {R('p_pos', 2)} AS pred__by_position, europe_minutes, other_league_minutes,
     fee_eur >= greatest(exp(pred_log - q) - 1, 0) AND fee_eur <= exp(pred_log + q) - 1 AS covered
     FROM scored s JOIN ctx USING (transfer_id) CROSS JOIN q80 ORDER BY abs_error DESC, s.transfer_id LIMIT 5""",
@@ -2046,7 +2089,7 @@ def e20(t):
     ).select("transfer_id", "europe_minutes", "other_league_minutes")
     lo, hi = CF.interval(F.col("prediction_log"), F.col("_q"))
     models = scored.withColumn("_q", q).select(
-        "transfer_id", rnd("prediction", 2, "pred__linear"), rnd("ridge", 2, "pred__ridge"), rnd("train_median", 2, "pred__train_median"),
+        "transfer_id", *(rnd(m, 2, f"pred__{m}") for m in M.FAMILIES), rnd("train_median", 2, "pred__train_median"),
         rnd("train_median_by_position", 2, "pred__by_position"),
         ((F.col("fee_eur") >= lo) & (F.col("fee_eur") <= hi)).alias("covered"),
     )

@@ -156,6 +156,26 @@ def test_trailing_median_against_brute_force(spark, window):
             assert abs(got[t][0] - statistics.median(inside)) < 1e-9 and got[t][1] == len(inside)
 
 
+def test_trailing_median_of_values_that_lie_together(spark):
+    """All values within 0.01 % of each other share a bucket; the steps inside it tell them apart."""
+    import datetime as dt
+    import random
+    import statistics
+
+    rng = random.Random(6)
+    base = dt.date(2020, 1, 1)
+    ev = [(base + dt.timedelta(days=rng.randrange(500)), 3e6 * (1 + 1e-4 * rng.random())) for _ in range(3000)]
+    ats = [base + dt.timedelta(days=d) for d in range(0, 700, 31)]
+    out = A.trailing_median(spark.createDataFrame([(d,) for d in ats], "t date"), "t", spark.createDataFrame(ev, "d date, v double"), "d", "v", 365)
+    got = {r.t: r.median_value for r in out.collect()}
+    for t in ats[1:]:
+        inside = [v for d, v in ev if t - dt.timedelta(days=365) <= d < t]
+        assert t in got and got[t] == statistics.median(inside)
+    # no cutoff is spread over the days of its window: ranges start at a day of the events or a block of days
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence((t#" not in text and text.count("explode(sequence(_first") >= 3
+
+
 def test_context_equals_brute_force(spark, snap):
     study = spark.createDataFrame([("HOME",)], "competition_id string")
     others = A.other_leagues(snap.competitions, study)

@@ -61,6 +61,35 @@ def test_cluster_bootstrap(spark):
     assert (same.ci_low, same.ci_high, same.verdict) == (0.0, 0.0, "unclear")
 
 
+def test_bootstrap_draws_equal_plain_counting(spark):
+    """Every replicate draws as many clusters as there are; few of the draws are joined."""
+    def mixed(x):
+        for _ in range(2):
+            x = ((x >> 16 ^ x) * E.MIX) & E.LOW32
+        return x >> 16 ^ x
+
+    n, reps, seed = 400, 60, 7
+    df = spark.range(n).select(F.col("id").alias("k"), F.lit(1).alias("_rows"), (F.col("id") * 1.5).alias("e"))
+    place = {r.k: r.i for r in RK.dense_index(df, "k", "i", "n").collect()}
+    value = {i: 1.5 * k for k, i in place.items()}
+    steps = E.thinned_steps(n)
+    want, joined = {}, 0
+    for rep in range(reps):
+        counts = [sum(mixed(mixed(rep + seed * 65537) ^ i) >= s for s in steps) for i in range(n)]
+        left = n - sum(counts)
+        joined += left
+        for j in range(1, left + 1):
+            counts[mixed(mixed(rep + (seed + 1) * 65537) ^ j) * n >> 32] += 1
+        want[rep] = (n, sum(c * value[i] for i, c in enumerate(counts)))
+    got = {r["_rep"]: (r["_n"], r.e) for r in E._multinomial_sums(df, "k", ["e"], reps, seed).collect()}
+    assert set(got) == set(want) and all(got[r][0] == n and math.isclose(got[r][1], want[r][1]) for r in want)
+    assert joined / reps < (E.MARGIN + 3) * math.sqrt(n)
+    means = np.array([v[1] / n for v in want.values()])
+    spread = np.std([1.5 * k for k in range(n)]) / math.sqrt(n)
+    assert abs(means.mean() - 1.5 * (n - 1) / 2) < 5 * spread / math.sqrt(reps) and 0.7 < means.std() / spread < 1.35
+    assert E._multinomial_sums(df.limit(1), "k", ["e"], 3, 1).where("_n <> 1").isEmpty()
+
+
 def test_worst_k_ties(spark):
     df = spark.createDataFrame([("m", 3.0), ("q", 8.0), ("c", 8.0), ("z", 8.0), ("a", None)], "k string, e double")
     assert [r.k for r in E.worst_k(df, "e", "k", 2).collect()] == ["c", "q"]
@@ -170,6 +199,52 @@ def test_mllib_parity(spark):
         assert abs(ours.intercept - theirs.intercept) < 1e-6
 
 
+def test_moment_rows_keep_the_moments():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (50, 4)) @ rng.normal(0, 1, (4, 4))
+    x[:, 3] = x[:, 0] + x[:, 1]  # rank deficient
+    full = np.cov(x.T, bias=True)
+    rows = M.moment_rows(full[:3, :3], full[:3, 3], full[3, 3])
+    assert np.allclose(rows.T @ rows / len(rows), full) and np.allclose(rows.mean(axis=0), 0)
+
+
+def test_every_fit_is_optimal_on_the_rows(spark):
+    df, _ = _panel(spark)
+    flags = list(M.one_hot("position"))
+    scores, cv, _ = M.cross_validate(df, {"both": ["minutes", "goals"], "one": ["minutes"]}, flags, "label", "cycle", 2)
+    assert scores.where("not eligible").isEmpty()
+    gaps = M.optimality(df.repartition(3), cv, "label", "cycle").collect()
+    assert len(gaps) == 2 * 14 * 2 and max(r.gap for r in gaps) < 1e-7
+    nets = [f.coef for cand in cv.fits["both"] for f in cand if f.candidate.family == "elastic_net"]
+    assert any((w == 0).any() and (w != 0).any() for w in nets)
+    cv.fits["both"][5][0].coef[0] += 0.01  # a wrong fit is found
+    bad = M.optimality(df, cv, "label", "cycle").where("gap > 1e-4").collect()
+    assert [(r.variant, r.grid_order, r.fold) for r in bad] == [("both", 5, 0)]
+
+
+def test_a_penalty_can_win_and_is_what_is_selected(spark):
+    """Few rows and many idle inputs: the penalised fits predict later cycles better than least squares."""
+    rng = np.random.default_rng(12)
+    n, p = 120, 20
+    x = rng.normal(0, 1, (n, p))
+    y = 2.0 * x[:, 0] + rng.normal(0, 2.0, n)
+    names = [f"x{i}" for i in range(p)]
+    rows = [(*map(float, r), float(v), int(i * 4 // n)) for i, (r, v) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names) + ", label double, cycle int")
+    scores, cv, _ = M.cross_validate(df, {"v": names}, [], "label", "cycle", 3)
+    pick = M.select_models(scores)
+    table = {}
+    for r in scores.collect():
+        table.setdefault((r.family, r.grid_order), []).append(r.log_mae)
+    key = {k: (round(float(np.mean(v)), 4), round(float(np.std(v)), 4), k[1]) for k, v in table.items()}
+    assert pick.selected == "elastic_net" == min(key, key=key.get)[0]
+    assert pick.finalists == {f: min((k for k in key if k[0] == f), key=key.get)[1] for f in M.FAMILIES}
+    one = cv.only("v", pick.grid_order)
+    assert one.fits["v"][0][0].candidate == M.linear_grid()[pick.grid_order]
+    with pytest.raises(RuntimeError, match="ridge"):
+        M.select_models(scores.where("family <> 'ridge'"))
+
+
 def test_cross_validation_scores_match_numpy(spark):
     df, (x1, x2, pos, y, cyc) = _panel(spark)
     scores, cv, _ = M.cross_validate(
