@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -145,3 +145,54 @@ def count_differences(a: DataFrame, b: DataFrame, key: str, columns: dict[str, f
         F.count(F.when(F.col("_a").isNull(), 1)).alias("only_second"),
         *off,
     )
+
+
+def later_rows(cutoffs: DataFrame, entity: str, at: str, day: str, row: dict[str, Column]) -> DataFrame:
+    """History that no feature may see: per entity two rows, on the day of its last cutoff and on the day after.
+
+    ``row`` gives further columns of the history; it may use the columns of ``cutoffs`` (one row per entity,
+    its last cutoff and the least of every other column) and should be as loud as possible.
+    """
+    rest = [c for c in cutoffs.columns if c not in (entity, at)]
+    last = cutoffs.where(F.col(at).isNotNull()).groupBy(entity).agg(F.max(at).alias(at), *(F.min(c).alias(c) for c in rest))
+    days = F.explode(F.array(F.col(at), F.date_add(at, 1)))
+    return last.withColumn(day, days).select(entity, day, *(v.alias(c) for c, v in row.items()))
+
+
+def changed_rows(before: DataFrame, after: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(key, fewer, more): keys whose rows differ between two tables, with how many rows went and came.
+
+    Rows are compared by a hash of all columns that tells a null from any value and from a null elsewhere.
+    One exchange by key and hash; equal rows cancel before it.
+    """
+    cells = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*key, F.xxhash64(*cells).alias("_h"), F.lit(sign).alias("_s"))
+
+    sums = signed(before, -1).unionByName(signed(after, 1)).groupBy(*key, "_h").agg(F.sum("_s").alias("_s")).where("_s <> 0")
+    return sums.groupBy(*key).agg(F.sum(F.greatest(-F.col("_s"), F.lit(0))).alias("fewer"), F.sum(F.greatest("_s", F.lit(0))).alias("more"))
+
+
+def future_leaks(
+    build: Callable[[DataFrame], DataFrame], history: DataFrame, later: DataFrame, key: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """Keys whose features change once later rows are added to the history that ``build`` reads.
+
+    ``build`` maps a history to a feature table and may be any composition; a builder that looks only before
+    each cutoff gives no rows. ``later`` may lack columns of the history, which are then null.
+    """
+    return changed_rows(build(history), build(history.unionByName(later, allowMissingColumns=True)), key, columns)
+
+
+def leakage_audit(
+    features: DataFrame, leaks: DataFrame, key: str, at: str, last_seen: str, partition: str
+) -> DataFrame:
+    """(check_name, violations): history on or after the cutoff, keys in several partitions, rows changed by later history."""
+    sides = features.groupBy(key).agg((F.min(partition) < F.max(partition)).alias("_both"))
+    checks = {
+        "history_on_or_after_cutoff": features.agg(F.count(F.when(F.col(last_seen) >= F.col(at), 1)).alias("violations")),
+        "keys_on_both_sides": sides.agg(F.count(F.when(F.col("_both"), 1)).alias("violations")),
+        "changed_by_later_rows": leaks.agg(F.coalesce(F.sum("fewer"), F.lit(0)).alias("violations")),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("check_name"), "violations") for n, df in checks.items()])

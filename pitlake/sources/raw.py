@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,17 +133,46 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Bytes of a file that are held at once while it is hashed.
+CHUNK = 1 << 22
+
+
+def _opened(path: str):
+    """A stream over a file of any store that pyarrow reads (file, hdfs, viewfs, s3, gs, abfs)."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream(unquote(urlparse(path).path))
+    if path.startswith("viewfs:"):
+        return fs.HadoopFileSystem.from_uri(path).open_input_stream(urlparse(path).path)
+    store, inside = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inside)
+
+
 def file_hashes(spark: SparkSession, path_glob: str) -> DataFrame:
-    """(file, bytes, sha256) of raw files; hashing runs in the tasks that read them."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path_glob)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            F.col("length").alias("bytes"),
-            F.sha2("content", 256).alias("sha256"),
-        )
-    )
+    """(file, bytes, sha256) of raw files of any size.
+
+    Spark lists the files, without their content, and deals them to tasks; a task streams through a file in
+    pieces of CHUNK bytes, so neither a row nor a task ever holds one. A file that ends up with
+    other bytes than were listed fails the job.
+    """
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path, length in zip(batch["path"].to_pylist(), batch["length"].to_pylist(), strict=True):
+                digest, read = hashlib.sha256(), 0
+                with _opened(path) as stream:
+                    while part := stream.read(CHUNK):
+                        digest.update(part)
+                        read += len(part)
+                if read != length:
+                    raise OSError(f"{path}: listed with {length} bytes, read {read}")
+                digests.append(digest.hexdigest())
+            names = [p.rsplit("/", 1)[-1] for p in batch["path"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch["length"], pa.array(digests, pa.string())], names=["file", "bytes", "sha256"])
+
+    listed = spark.read.format("binaryFile").load(path_glob).select("path", "length")
+    return listed.repartition(max(1, listed.count())).mapInArrow(hashed, "file string, bytes bigint, sha256 string")
 
 
 def verify_hashes(actual: DataFrame, recorded: DataFrame) -> DataFrame:

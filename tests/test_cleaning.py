@@ -160,6 +160,54 @@ def test_hash_verification(spark, tmp_path):
     }
 
 
+def test_a_file_larger_than_a_row_is_hashed(spark, tmp_path):
+    """A row holds at most 2 GB; the file is sparse, so that it takes no room."""
+    import hashlib
+
+    size = 2**31 + 4096
+    with open(tmp_path / "large file.bin", "wb") as f:
+        f.write(b"head")
+        f.truncate(size)
+    want, zeros = hashlib.sha256(b"head"), bytes(1 << 22)
+    left = size - 4
+    while left:
+        want.update(zeros[: min(left, len(zeros))])
+        left -= min(left, len(zeros))
+    (r,) = RAW.file_hashes(spark, f"{tmp_path}/*.bin").collect()
+    assert (r.file, r.bytes, r.sha256) == ("large file.bin", size, want.hexdigest())
+
+
+def _history(spark):
+    import datetime as dt
+
+    day = dt.date(2020, 1, 10)
+    rows = [(p, day - dt.timedelta(days=k), float(k)) for p in ("a", "b", "c") for k in range(1, 6)]
+    cutoffs = spark.createDataFrame([(f"{p}{i}", p, day - dt.timedelta(days=2 * i)) for p in ("a", "b", "c") for i in range(2)],
+                                    "id string, player string, at date")
+    return spark.createDataFrame(rows, "player string, day date, v double"), cutoffs
+
+
+@pytest.mark.parametrize("condition,leaks", [("day < at", 0), ("day <= at", 3), ("day <= date_add(at, 1)", 3)])
+def test_a_planted_leak_is_caught(spark, condition, leaks):
+    history, cutoffs = _history(spark)
+
+    def build(rows):
+        j = cutoffs.join(rows, "player", "left").withColumn("v", F.when(F.expr(condition), F.col("v")))
+        return j.groupBy("id").agg(F.sum("v").alias("total"), F.max("v").alias("top"), F.min(F.when(F.col("v") < 0, 1)).alias("nothing"))
+
+    later = C.later_rows(cutoffs.select("player", "at"), "player", "at", "day", {"v": F.lit(1e6)})
+    assert later.count() == 6
+    found = C.future_leaks(build, history, later, ["id"], ["total", "top", "nothing"]).collect()
+    assert len(found) == leaks and all((r.fewer, r.more) == (1, 1) for r in found)
+
+
+def test_changed_rows_tell_nulls_apart(spark):
+    a = spark.createDataFrame([("k", None, 1), ("k", 2, None), ("m", 1, 1), ("m", 1, 1), (None, None, None)], "k string, x int, y int")
+    b = spark.createDataFrame([("k", 1, None), ("k", 2, None), ("m", 1, 1), (None, None, None)], "k string, x int, y int")
+    assert sorted(map(tuple, C.changed_rows(a, b, ["k"], ["x", "y"]).collect())) == [("k", 1, 1), ("m", 1, 0)]
+    assert C.changed_rows(a, a, ["k"], ["x", "y"]).isEmpty()
+
+
 def test_fingerprint_ignores_order_not_content(spark, snap):
     cols = [F.col("player_id"), F.col("name"), F.col("current_position")]
     a = RAW.fingerprint(snap.players, cols).first()
