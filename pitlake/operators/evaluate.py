@@ -89,9 +89,18 @@ def poisson_steps() -> list[float]:
     return out
 
 
+#: Cluster counts one task makes, about.
+COUNTS_PER_TASK = 1_000_000
+
+
+def _spread(sums: DataFrame, clusters: int, replicates: int) -> DataFrame:
+    """Cluster sums over as many tasks as their counts in all replicates need."""
+    return sums.repartition(max(1, min(clusters, -(-clusters * replicates // COUNTS_PER_TASK))))
+
+
 def _poisson_sums(sums: DataFrame, cluster: str, errors: list[str], replicates: int, seed: int) -> DataFrame:
     draw = hash_number("_rep", cluster, F.lit(seed), digits=13) / float(16**13)
-    rows = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")).withColumn("_u", draw)
+    rows = _spread(sums, sums.count(), replicates).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")).withColumn("_u", draw)
     weight = reduce(lambda x, y: x + y, [(F.col("_u") >= c).cast("int") for c in poisson_steps()])
     return rows.withColumn("_w", weight).where("_w > 0").groupBy("_rep").agg(
         F.sum(F.col("_w") * F.col("_rows")).alias("_n"), *(F.sum(F.col("_w") * F.col(m)).alias(m) for m in errors))
@@ -99,8 +108,6 @@ def _poisson_sums(sums: DataFrame, cluster: str, errors: list[str], replicates:
 
 # Multiplier and mask of the 32-bit mixing steps.
 MIX, LOW32 = 73244475, 0xFFFFFFFF
-#: Cluster counts one task makes, about.
-COUNTS_PER_TASK = 4_000_000
 #: Poisson counts leave about this many standard deviations of draws to be drawn one by one.
 MARGIN = 8.0
 
@@ -140,8 +147,7 @@ def _multinomial_sums(sums: DataFrame, cluster: str, errors: list[str], replicat
     indexed = land(dense_index(sums, cluster, "_slot", "_clusters").select("_slot", "_rows", *errors), "clusters")
     clusters = indexed.count()
     reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("_rep")
-    spread = indexed.repartition(max(1, min(clusters, -(-clusters * replicates // COUNTS_PER_TASK))))
-    rows = _drawn(spread.select("*", reps), seed, "_slot", "_h")
+    rows = _drawn(_spread(indexed, clusters, replicates).select("*", reps), seed, "_slot", "_h")
     weight = reduce(lambda x, y: x + y, [(F.col("_h") >= c).cast("int") for c in thinned_steps(clusters)])
     counted = rows.withColumn("_w", weight).groupBy("_rep").agg(
         F.sum("_w").alias("_draws"), F.sum(F.col("_w") * F.col("_rows")).alias("_n"), *(F.sum(F.col("_w") * F.col(m)).alias(m) for m in errors))
