@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.functions import scalar as S
+from pitlake.functions.landing import land
 from pitlake.operators import contracts as C
 
 TRANSFER_KEY = ["player_id", "transfer_date", "from_club_id", "to_club_id"]
@@ -169,3 +170,30 @@ def clean_valuations(raw: DataFrame) -> DataFrame:
         .na.drop()
         .where("market_value_eur > 0")
     )
+
+
+def ingest(raw: Mapping[str, DataFrame], competition_ids: Sequence[str]) -> dict[str, DataFrame]:
+    """Canonical games, players, moves, appearances and lineups; a broken contract fails the run.
+
+    raw holds `games`, `players`, `transfers` (with source_row), `appearances` and `game_lineups`. Each cleaned
+    table is landed once; its contracts and all later steps read that. The contracts, in this order: game ids are
+    unique; games of the competitions have a season and a date; player ids are there and unique; a
+    move's key has one fee and season; a (game, player) has one appearance and appearance ids are unique; a
+    (game, player) has one lineup label, a null beside a label being two.
+    """
+    ids = land(raw["games"].select(S.clean_id("game_id").alias("game_id")), "game-ids")
+    C.require_none(C.key_violations(ids, "game_id").where("problem = 'duplicate_key'"), "games.game_id is not unique")
+    games = land(clean_games(raw["games"], competition_ids), "games")
+    C.require_none(games.where("season_id is null or match_date is null"), "games of the competitions without season or date")
+    players = land(clean_players(raw["players"]), "players")
+    C.require_none(C.key_violations(players, "player_id"), "players.player_id is null or not unique")
+    typed = land(type_transfers(raw["transfers"]), "typed-moves")
+    C.require_none(transfer_conflicts(typed), "moves with one key and several fees or seasons")
+    moves = land(with_transfer_id(C.first_per_key(typed, [*TRANSFER_KEY, "raw_fee", "transfer_season"], "source_row")), "moves")
+    flagged = land(clean_appearances(raw["appearances"], games)[0], "appearances")
+    C.require_none(appearance_conflicts(flagged), "appearances of one game and player that differ")
+    C.require_none(appearance_id_violations(flagged), "appearances.appearance_id is null or not unique")
+    valid = flagged.where("not invalid").drop("invalid", "date_mismatch", "copies", "appearance_date")
+    lineups = land(clean_lineups(raw["game_lineups"], games), "lineups")
+    C.require_none(lineup_conflicts(lineups), "lineup labels of one game and player that differ")
+    return {"games": games, "players": players, "moves": moves, "appearances": valid, "lineups": lineups}

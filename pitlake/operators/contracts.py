@@ -121,6 +121,48 @@ def unpivot(one_row: DataFrame, name: str = "metric", value: str = "value") -> D
     return one_row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
+def capabilities(moves: DataFrame, players: DataFrame, history: DataFrame, seasons: DataFrame) -> DataFrame:
+    """(metric, value): what the cleaned tables can support, as shares, and 1 or 0 for yes or no.
+
+    ``history`` are appearances with their lineup label. One aggregate per table; uniqueness comes from counts per
+    key, combined before the exchange, so a repeated key is never gathered.
+    """
+    def share(part: str) -> Column:
+        return F.sum(part) / F.sum("n")
+
+    rows = F.count(F.lit(1))
+    per_move = moves.groupBy("transfer_id").agg(
+        rows.alias("n"), F.count("player_id").alias("p"), F.count("transfer_date").alias("d"),
+        F.count(F.when(F.col("fee_class") == "paid", 1)).alias("paid"))
+    per_player = players.groupBy("player_id").agg(rows.alias("n"), F.count("date_of_birth").alias("b"))
+    parts = [
+        per_move.agg(
+            share("p").alias("moves_with_player"), share("d").alias("moves_with_date"),
+            (F.sum("paid") > 0).cast("int").alias("any_paid"), (F.max("n") == 1).cast("int").alias("unique_move_keys")),
+        per_player.agg((F.max("n") == 1).cast("int").alias("unique_players"), share("b").alias("birth_date_share")),
+        history.agg(
+            (F.count("match_date") / rows).alias("appearances_dated"), (F.count("season_id") / rows).alias("appearances_in_season"),
+            rows.alias("appearance_rows"), (F.count("lineup_position") / rows).alias("lineup_share")),
+        seasons.agg(F.max(F.col("complete").cast("int")).alias("any_complete_season")),
+    ]
+    return reduce(DataFrame.unionByName, [unpivot(p) for p in parts])
+
+
+# Least values of the capabilities a study needs.
+REQUIRED = {
+    "moves_with_player": 1.0, "unique_players": 1.0, "moves_with_date": 0.99, "any_paid": 1.0, "appearances_dated": 1.0,
+    "appearances_in_season": 1.0, "appearance_rows": 1.0, "unique_move_keys": 1.0, "any_complete_season": 1.0, "birth_date_share": 0.95,
+}
+
+
+def missing_capabilities(found: DataFrame) -> DataFrame:
+    """(metric, value) of required capabilities that are not met; dates and births must exceed their share."""
+    least = F.create_map(*(F.lit(x) for kv in REQUIRED.items() for x in kv))[F.col("metric")]
+    strict = F.col("metric").isin("moves_with_date", "birth_date_share")
+    met = F.when(strict, F.col("value") > least).otherwise(F.col("value") >= least)
+    return found.where(least.isNotNull() & ~F.coalesce(met, F.lit(False)))
+
+
 def count_differences(a: DataFrame, b: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
     """Cross-run check: rows on one side only, and cells farther apart than their tolerance."""
     left = a.select(F.col(key), *(F.col(c).alias(f"a_{c}") for c in columns))

@@ -568,40 +568,9 @@ def q8(t):
 )
 def q9(t):
     games = B.league_games(t)
-
-    def share(c):
-        return F.count(c) / F.count(F.lit(1))
-
-    keys = B.moves(t).groupBy("transfer_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count("player_id").alias("p"),
-        F.count("transfer_date").alias("d"), F.count(F.when(F.col("fee_class") == "paid", 1)).alias("paid"),
-    )
-    m = keys.agg(
-        (F.sum("p") / F.sum("n")).alias("moves_with_player"),
-        (F.sum("d") / F.sum("n")).alias("moves_with_date"),
-        (F.sum("paid") > 0).cast("int").alias("any_paid"),
-        (F.max("n") == 1).cast("int").alias("unique_move_keys"),
-    )
-    per_player = B.players(t).groupBy("player_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count("date_of_birth").alias("b")
-    )
-    p = per_player.agg(
-        (F.max("n") == 1).cast("int").alias("unique_players"),
-        (F.sum("b") / F.sum("n")).alias("birth_date_share"),
-    )
-    h = A.enrich_history(B.appearances(t), B.clean_lineup_rows(t)).agg(
-        share("match_date").alias("appearances_dated"),
-        share("season_id").alias("appearances_in_season"),
-        F.count(F.lit(1)).alias("appearance_rows"), share("lineup_position").alias("lineup_share"),
-    )
-    s = T.season_table(games, B.expected_games(games)).agg(
-        F.max(F.col("complete").cast("int")).alias("any_complete_season")
-    )
-    parts = [C.unpivot(x) for x in (m, p, h, s)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.withColumn("value", rnd("value", 6))
+    history = A.enrich_history(B.appearances(t), B.clean_lineup_rows(t))
+    found = C.capabilities(B.moves(t), B.players(t), history, T.season_table(games, B.expected_games(games)))
+    return found.withColumn("value", rnd("value", 6))
 
 
 @query(

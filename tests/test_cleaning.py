@@ -113,6 +113,42 @@ def test_appearance_conflicts_and_source_order(spark, snap):
     assert K.lineup_conflicts(snap.lineups).count() == 0
 
 
+def _raw(snap):
+    return {"games": snap.raw_games, "players": snap.raw_players, "transfers": snap.raw_moves, "appearances": snap.raw_apps,
+            "game_lineups": snap.raw_lineups}
+
+
+def test_ingest_gives_the_cleaned_tables(snap):
+    got = K.ingest(_raw(snap), ["HOME"])
+    for name, want in (("games", snap.games), ("players", snap.players), ("appearances", snap.appearances), ("lineups", snap.lineups)):
+        assert got[name].count() == want.count() and C.changed_rows(got[name], want, [want.columns[0]], want.columns).isEmpty(), name
+    assert sorted(r.transfer_id for r in got["moves"].collect()) == sorted(r.transfer_id for r in snap.moves.collect())
+
+
+@pytest.mark.parametrize("table,change,message", [
+    ("games", {"date": "x"}, "game_id is not unique"),
+    ("players", {"name": "Another"}, "player_id"),
+    ("transfers", {"transfer_fee": "77"}, "several fees"),
+    ("appearances", {"goals": "99"}, "appearances of one game"),
+    ("game_lineups", {"position": None}, "lineup labels"),
+])
+def test_ingest_fails_on_a_broken_contract(snap, table, change, message):
+    raw = _raw(snap)
+    row = raw[table].where("competition_id = 'HOME'").limit(1) if "competition_id" in raw[table].columns else raw[table].limit(1)
+    if table == "game_lineups":
+        row = raw[table].join(snap.games.select("game_id"), "game_id").where("position is not null").select(raw[table].columns).limit(1)
+    again = row.withColumns({c: F.lit(v).cast(raw[table].schema[c].dataType) for c, v in change.items()})
+    with pytest.raises(C.ContractError, match=message):
+        K.ingest({**raw, table: raw[table].unionByName(again)}, ["HOME"])
+
+
+def test_capabilities_that_are_missing(spark):
+    rows = [(k, v) for k, v in C.REQUIRED.items() if k not in ("moves_with_date", "birth_date_share", "any_paid")]
+    rows += [("moves_with_date", 0.99), ("birth_date_share", 0.96), ("any_paid", None), ("lineup_share", 0.0)]
+    found = C.missing_capabilities(spark.createDataFrame(rows, "metric string, value double")).collect()
+    assert sorted(r.metric for r in found) == ["any_paid", "moves_with_date"]
+
+
 def test_competition_identity(spark, snap):
     good = snap.competitions.where("competition_id = 'HOME'")
     bad = spark.createDataFrame(
