@@ -22,17 +22,18 @@ from pyspark.sql import functions as F
 
 from pitlake.llm.toxicity import thinned
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*))>"
-    r"|</?[a-zA-Z][^>]*>|(?P<text>[^<]+|<)", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 # Elements of the HTML standard, by how they are read.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template noscript iframe object svg math canvas audio video textarea title head".split())
+_RAW = frozenset("script style template textarea title".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby "
-    "s samp small span strike strong sub sup time tt u var wbr".split())
+    "s samp small span strike strong sub sup time tt u var wbr object canvas audio video noscript "
+    "math semantics annotation mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mtable mtr mtd".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"},
               "th": {"td", "th", "tr", "tbody"}, "option": {"option", "optgroup"}}
 # Words in class names, ids and roles, by the part of a page they speak of.
@@ -51,66 +52,147 @@ _KINDS = {
 _KIND = {w: k for k, words in _KINDS.items() for w in words.split()}
 
 
-def blocks(page: str | None) -> list[tuple[str, list[str]]]:
+class _Reader:
+    """Pieces of markup, found forwards only: what one search has passed over is not searched again."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted, self.missing = page, True, set()
+        self.last = {mark: page.rfind(mark) for mark in (">", '"', "'")}
+
+    def _find(self, mark: str, at: int) -> int:
+        """The next place of the mark, or -1; a mark that is not there is looked for once."""
+        if mark in self.missing:
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.missing.add(mark)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """The > that ends a tag, outside quotes that are closed; where none does, quotes count no more."""
+        place = at
+        while self.quoted:
+            m = _STOP.search(self.page, place)
+            if m is None:
+                self.quoted = False
+            elif m.group() == ">":
+                return m.start()
+            else:
+                place = m.end()
+                if place <= self.last[m.group()]:
+                    place = self.page.find(m.group(), place) + 1
+        return self._find(">", at)
+
+    def __iter__(self):
+        """(kind, value, attributes): text, cdata, start and end; comments and declarations are passed over."""
+        page, at = self.page, 0
+        while at < len(page):
+            if page[at] != "<":
+                end = page.find("<", at)
+                end = len(page) if end < 0 else end
+                yield "text", page[at:end], ""
+                at = end
+                continue
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = len(page) if end < 0 else end + 3
+                continue
+            if page.startswith("<![CDATA[", at) and (end := self._find("]]>", at + 9)) >= 0:
+                yield "cdata", page[at + 9 : end], ""
+                at = end + 3
+                continue
+            if page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at)
+                at = len(page) if end < 0 else end + 1
+                continue
+            m = _NAME.match(page, at) if at < self.last[">"] else None
+            end = self._tag_end(m.end()) if m else -1
+            if end < 0:
+                yield "text", "<", ""
+                at += 1
+                continue
+            tag, closing = m.group(1).lower(), page[at + 1] == "/"
+            yield "end" if closing else "start", tag, page[m.end() : end]
+            at = end + 1
+            if tag in _RAW and not closing and tag not in self.missing:
+                found = _RAW_END[tag].search(page, at)
+                if found:
+                    at = found.end()
+                elif tag == "template":
+                    self.missing.add(tag)
+                else:
+                    at = len(page)
+
+
+class _Open:
+    """Open elements, and how often each of their features is there."""
+
+    def __init__(self, known):
+        self.known, self.tags, self.own, self.solid = known, [], [], []
+        self.places: dict[str, list[int]] = {}
+        self.features: dict[str, int] = {}
+
+    def push(self, tag: str, features: tuple[str, ...]) -> None:
+        if self.known is not None:
+            features = tuple(f for f in features if f in self.known)
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag not in _INLINE:
+            self.solid.append(len(self.tags))
+        self.tags.append(tag)
+        self.own.append(features)
+        for f in features:
+            self.features[f] = self.features.get(f, 0) + 1
+
+    def close(self, depth: int) -> None:
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if self.solid and self.solid[-1] == len(self.tags):
+                self.solid.pop()
+            for f in self.own.pop():
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+
+
+def blocks(page: str | None, known=None) -> list[tuple[str, list[str]]]:
     """(text, features) of every leaf block with text, in page order.
 
-    Scripts, styles and other raw elements have no text. Character references are decoded; white space
-    becomes one space. Text outside any element is a block too.
+    Scripts, styles, templates, text areas and titles have no text. Character references are decoded; white
+    space becomes one space. Text outside any element is a block too. `known`, if given, holds the features
+    of ancestors that are wanted. Time grows with the page's length, however broken its markup.
     """
-    out, stack, text, linked = [], [], [], 0
-    path: list[tuple[str, ...]] = []
+    out, text, linked = [], [], 0
+    there = _Open(known)
 
     def flush():
         nonlocal text, linked
         joined = " ".join("".join(text).split())
         if joined:
-            out.append((joined, [f for own in path for f in own], linked, stack[-1] if stack else ""))
+            out.append((joined, list(there.features), linked, there.tags[-1] if there.tags else ""))
         text, linked = [], 0
 
-    def close(depth: int):
-        del stack[depth:], path[depth:]
-
-    page, at = page or "", 0
-    while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        if m.group("text") is not None or m.group("cdata") is not None:
-            piece = html.unescape(m.group("text")) if m.group("text") is not None else m.group("cdata")
+    for kind, value, attributes in _Reader(page or ""):
+        if kind in ("text", "cdata"):
+            piece = html.unescape(value) if kind == "text" else value
             text.append(piece)
-            if "a" in stack:
+            if there.places.get("a"):
                 linked += len(piece.strip())
-            continue
-        if not m.group("tag"):
-            continue
-        tag = m.group("tag").lower()
-        if m.group("end"):
-            if tag not in _INLINE:
+        elif kind == "end":
+            if value not in _INLINE:
                 flush()
-            if tag in stack:
-                close(len(stack) - 1 - stack[::-1].index(tag))
-            continue
-        if tag == "br" or tag == "hr":
+            if there.places.get(value):
+                there.close(there.places[value][-1])
+        elif value in ("br", "hr") or value in _RAW:
             text.append(" ")
-            continue
-        if tag in _RAW and tag != "head":
-            if tag not in ("noscript", "svg", "math"):
-                text.append(" ")
-            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = found.end() if found else (len(page) if tag in ("script", "style", "title", "textarea") else at)
-            continue
-        if tag in _VOID:
-            continue
-        if tag not in _INLINE:
-            flush()
-            for k in range(len(stack) - 1, -1, -1):
-                ends = _CLOSED_BY.get(stack[k], ())
-                if ends is None or tag in ends:
-                    close(k)
-                    break
-                if stack[k] not in _INLINE:
-                    break
-        stack.append(tag)
-        path.append(_ancestor(tag, m.group("attr") or ""))
+        elif value not in _VOID:
+            if value not in _INLINE:
+                flush()
+                nearest = there.solid[-1] if there.solid else None
+                ends = _CLOSED_BY.get(there.tags[nearest], ()) if nearest is not None else ()
+                if ends is None or value in ends:
+                    there.close(nearest)
+            there.push(value, _ancestor(value, attributes))
     flush()
     return [(t, _described(t, own, a, last, i, len(out))) for i, (t, own, a, last) in enumerate(out)]
 
@@ -167,7 +249,7 @@ class Chain:
         return out[::-1]
 
     def text(self, page: str | None) -> str:
-        found = blocks(page)
+        found = blocks(page, self.weights)
         return " ".join(t for (t, _), y in zip(found, self.viterbi([f for _, f in found]), strict=True) if y)
 
 
@@ -221,17 +303,18 @@ _YES, _NO = "\x01", "\x02"  # marks of labelled block texts, taken off after par
 def labelled_pages(samples: list[str], count: int = 800, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
     """Pages laid out from known parts, parsed like any other: features and labels of their blocks."""
     rng = random.Random(seed)
-    long = [t for t in samples if len(t.split()) > 12]
+    split = [t.split() for t in samples]
+    long = [own for own in split if len(own) > 12]
 
     def words(a, b):
-        if samples and rng.random() < 0.7:
-            own = rng.choice(samples).split()
+        if split and rng.random() < 0.7:
+            own = rng.choice(split)
             at = rng.randrange(len(own))
             return " ".join(own[at : at + rng.randint(a, b)])
         return " ".join("".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(a, b)))
 
     def passage():
-        return " ".join(rng.choice(long).split()[:150]) if long and rng.random() < 0.6 else words(8, 60).capitalize() + rng.choice(".!?.. ")
+        return " ".join(rng.choice(long)[:150]) if long and rng.random() < 0.6 else words(8, 60).capitalize() + rng.choice(".!?.. ")
 
     def put(text, good):
         return html.escape((_YES if good else _NO) + text, quote=False)
@@ -300,12 +383,20 @@ def labelled_pages(samples: list[str], count: int = 800, seed: int = 5) -> list[
 
 
 def train(pages: DataFrame, key: str = "page_id", page: str = "html", max_pages: int = 40) -> Chain:
-    """Chain trained on layouts filled with the block texts of at most max_pages pages, by hash of the key."""
+    """Chain trained on layouts filled with the block texts of at most max_pages pages, by hash of the key.
+
+    The sampled pages are read whole, in a task; their distinct block texts come to the driver.
+    """
     there = pages.where(F.col(page).isNotNull())
     h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    some = thinned(there, key, max_pages, there.count()).select(h.alias("h"), F.substring(page, 1, 50_000).alias("p")).orderBy("h", "p").limit(max_pages).collect()
-    texts = sorted({t for r in some for t, _ in blocks(r.p)})
-    return fit(labelled_pages(texts))
+    some = thinned(there, key, max_pages, there.count()).select(h.alias("h"), F.col(page).cast("string").alias("p")).orderBy("h", "p").limit(max_pages)
+
+    def texts(batches):
+        for batch in batches:
+            found = {t for p in batch.column(1).to_pylist() for t, _ in blocks(p)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["t"])
+
+    return fit(labelled_pages(sorted({r.t for r in some.mapInArrow(texts, "t string").collect()})))
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", max_pages: int = 40) -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,37 @@ def test_broken_markup_is_read(chain, page):
     assert isinstance(chain.text(page), str)
 
 
+@pytest.mark.parametrize("unit", [
+    "<a ", '<p a="', "<p a='\"", "<math>", "<template>", "<svg><title>", "<![CDATA[", "<!-", "<b>x", "<b><hr>", "</x>", "<i></b>", "<div>x", "<p \">\" '", "<a href=x>y",
+    "<p>x<b>y", "< ", "<li>x", "&", "<div class='c1 c2'>x</p>", "</script ", "<a class=", "<td><p><b>"])
+def test_long_broken_markup_takes_time_in_proportion(chain, unit):
+    page = unit * (300_000 // len(unit))
+    for end in ("", ">", "'", "\">z"):
+        start = time.perf_counter()
+        chain.text(page + end)
+        assert time.perf_counter() - start < 4
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>The energy is <math><mi>E</mi><mo>=</mo><mn>4</mn></math> as known to all readers of this.</p></article>",
+     "The energy is E=4 as known to all readers of this."),
+    ("<article><p>Some prose stands here, before the <object>fallback of an object</object> and <noscript>plain words</noscript> end.</p></article>",
+     "Some prose stands here, before the fallback of an object and plain words end."),
+    ("<article><p>One sentence stands here, with \"quotes\" and 'more' of it.</p><p title='a > b' class=x>Another sentence <img alt=\"1 > 0\"> follows, of some words.</p></article>",
+     "One sentence stands here, with \"quotes\" and 'more' of it. Another sentence follows, of some words."),
+])
+def test_only_listed_elements_are_left_out(chain, page, text):
+    assert chain.text(page) == text
+
+
+def test_features_of_open_elements():
+    found = dict(H.blocks("<div class='main'><p>a<b>b</b><p>c</div><ul><li>d<li>e</ul>f"))
+    assert list(found) == ["ab", "c", "d", "e", "f"]
+    assert {"tag=div", "is=main", "tag=p"} <= set(found["c"]) and not {"tag=div", "tag=p"} & set(found["d"])
+    assert found["d"].count("tag=li") == 1 and "tag=ul" in found["e"] and not any(f.startswith("tag=") for f in found["f"])
+    assert "tag=div" not in dict(H.blocks("<div><p>a", {"tag=p"}))["a"]
+
+
 def test_table(spark):
     body = "<article><p>" + "word " * 200_000 + "</p></article>"
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<article><p>Some text stands here, and more.</p></article>"), (3, "w", body), (3, "w", body)]
