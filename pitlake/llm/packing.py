@@ -185,14 +185,16 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
     """
     spark = docs.sparkSession
     salt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = land(pieces(docs, path, key, text, size).withColumn("_salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(salt))), "pieces")
+    # A piece's place in the landed table, not its content, says where it is numbered: copies spread like others.
+    cut = land(pieces(docs, path, key, text, size).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    cut = cut.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salt)))
     parts = cut.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     parts = land(parts, "lengths")
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     slots = spark.createDataFrame(plan(counts, size), "length long, lo long, hi long, seq long, per long, at long")
     before = parts.withColumn("before", F.expr("sum(n) over (partition by length order by _salt) - n")).drop("n")
     ranked = cut.join(before, ["length", "_salt"]).withColumn(
-        "rank", F.expr(f"before + row_number() over (partition by length, _salt order by `{key}`, piece, ids_crc32) - 1"))
+        "rank", F.expr(f"before + row_number() over (partition by length, _salt order by _row) - 1"))
     inside = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     step = F.col("rank") - F.col("lo")
     return ranked.join(F.broadcast(slots), ["length"]).where(inside).select(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from pitlake.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
 #: Folder of public tokenizer files, the same on every machine.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+TOKENIZERS = str(Path(public_tokenizers.path("word_bpe_49k.json")).parent)
 
 
 def query(f):

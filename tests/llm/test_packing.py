@@ -45,6 +45,25 @@ def test_pieces_and_places(spark):
     assert packing.pack(df.limit(0), PATH).collect() == []
 
 
+def test_copies_of_one_row_are_numbered_in_many_tasks(spark, monkeypatch):
+    landed = {}
+
+    def keep(df, name):
+        landed[name] = land(df, name)
+        return landed[name]
+
+    land = packing.land
+    monkeypatch.setattr(packing, "land", keep)
+    n, salt = 100_000, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(n).selectExpr("7L as doc_id", "'one line of text' as text")
+    rows = packing.pack(df, PATH)
+    groups = [r.n for r in landed["lengths"].collect()]
+    assert len(groups) == salt and max(groups) < 1.1 * n / salt
+    length = rows.first().length
+    assert rows.groupBy("sequence_id").agg({"*": "count"}).count() == -(-n // (2048 // length))
+    assert rows.select("sequence_id", "offset").distinct().count() == n
+
+
 def simple_best_fit(lengths, size):
     room = []
     for length in sorted(lengths, reverse=True):
