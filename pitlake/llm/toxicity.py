@@ -106,7 +106,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 180, rate:
         size = [len(bags[i][1]) for i in rows]
         return np.concatenate([bags[i][1] for i in rows]), np.concatenate([bags[i][2] for i in rows]), np.repeat(np.arange(len(rows)), size)
 
-    batch = min(512, max(32, len(train) // 12))
+    batch = min(512, max(32, len(train) // 12), len(train))
     for _ in range(-(-steps * batch // len(train))):
         shuffled = rng.permutation(train)
         for k in range(0, len(train), batch):
@@ -176,13 +176,13 @@ def sample(known: DataFrame, most: int, counts) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def per_key(rows: DataFrame, keys: list[str], digest: str, values: list[str]) -> DataFrame:
-    """(keys, values) of at most TEXTS different texts of each key, by the text's hash.
+def per_key(rows: DataFrame, keys: list[str], digest: str, values: list[str], most: int = TEXTS) -> DataFrame:
+    """(keys, values) of at most `most` different texts of each key, by the text's hash.
 
     An aggregate, so copies and the many texts of one key are reduced in the tasks that read them.
     """
     least = F.min(F.struct(digest, *values)).alias("_least")
-    return rows.groupBy(*keys, F.pmod(digest, F.lit(TEXTS)).alias("_slot")).agg(least).select(*keys, *(f"_least.{v}" for v in values))
+    return rows.groupBy(*keys, F.pmod(digest, F.lit(most)).alias("_slot")).agg(least).select(*keys, *(f"_least.{v}" for v in values))
 
 
 class Model:
@@ -207,9 +207,10 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          folds: int = 3, fold: int = 1, max_rows: int = 1500) -> Model:
-    """Fit on at most max_rows labelled keys of class 1 and 3 * max_rows of class 0, each with at most TEXTS different
-    texts, by hash; copies count once. One class alone gives a model that scores 0."""
+          folds: int = 3, fold: int = 1, max_rows: int = 1500, max_texts: int = TEXTS) -> Model:
+    """Fit on at most max_rows labelled keys of class 1 and 3 * max_rows of class 0, each with at most max_texts
+    different texts, by hash; copies count once. However few rows of the two classes there are, they are fitted. One
+    class alone, or no labelled document, gives a model that scores 0, so that nothing is rejected."""
     known = known_labels(labels, label, key, folds, fold)
     counts = label_counts(known)
     wanted = sample(known, max_rows, counts)  # at most 4 * max_rows rows, so broadcast
@@ -217,14 +218,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     kind = docs.schema[key].dataType.simpleString()
     bags = seen.select("_label", "_text", "_doc", F.xxhash64("_text").alias("_hash")).mapInArrow(
         _bags, f"label int, ids binary, counts binary, _doc {kind}, _hash long")
-    bags = per_key(bags, ["_doc", "label"], "_hash", ["ids", "counts"]).select("label", "ids", "counts")
+    bags = per_key(bags, ["_doc", "label"], "_hash", ["ids", "counts"], max_texts).select("label", "ids", "counts")
     ratio = counts.zeros / max(1, counts.ones)
 
     def run(batches):
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         rows = [(y, np.frombuffer(i, np.uint32), np.frombuffer(n, np.float32)) for y, i, n in sorted(rows)]
         ones = sum(y for y, _, _ in rows)
-        if len(rows) >= 10 and 0 < ones < len(rows):
+        if 0 < ones < len(rows):
             margin, bias = fit(rows, clean_weight=max(1.0, ratio * ones / (len(rows) - ones)))
             yield pa.RecordBatch.from_arrays([pa.array([margin.tobytes()], pa.binary()), pa.array([bias])], names=["margin", "bias"])
 

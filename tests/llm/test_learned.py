@@ -70,6 +70,18 @@ def test_edges(spark, run, label):
     assert run(df, labels.limit(0)).count() == len(docs) and run(df.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("each", [1, 3])
+def test_a_few_labelled_rows_are_fitted(spark, each):
+    bad, good = "you rotten stinking scum", "the weather was mild today"
+    learn = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][: 2 * each]
+    docs = [(i, bad if k % 2 else good) for k, i in enumerate(learn)] + [(1000, bad), (1001, good)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(learn)], "doc_id long, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(df, labels).collect()}
+    assert got[1000] == 1 and got[1001] == 0
+    assert {r.text for r in toxicity.clean(df, labels).collect()} == {good}
+
+
 def test_clean_keeps_columns(spark):
     df = spark.createDataFrame([(1, "x", 2), (2, None, None)], "doc_id long, text string, _text int")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
