@@ -4,9 +4,11 @@ Sets are hashed word shingles. Each set looks only at its rarest shingles (a pre
 frequency): two sets of similarity s share at least c of the first n - ceil(s n) + c. Small ("light")
 sets enumerate the c = 2 subsets of that prefix and meet by equal subset; large ("heavy") sets put
 single shingles into inverted lists. The size at which enumeration becomes dearer than scanning is
-chosen from summed costs. Lists only say which sets have to be looked at together: their connected
-groups are cut into blocks, and a task scans a pair of blocks by inverted lists, which gives the exact
-overlap of all its pairs. Pairs stay inside the task; it emits link counts and a spanning forest.
+chosen from summed costs. Lists only say which sets have to be looked at together: small connected groups
+share a task, a large group is sorted so that sets that meet stand near each other and cut into blocks, and
+two of its blocks are looked at together only where some key has sets in both. A task scans its sets by
+inverted lists, which gives the exact overlap of all its pairs. Pairs stay inside the task; it emits link
+counts and a spanning forest.
 
 Exact frequencies cost one packed shuffle: hashes travel as sorted binary blobs per hash bucket, and
 only shingles that at least two sets have come back. A set with no such shingle in its prefix can have
@@ -293,6 +295,39 @@ def _verify(percent: int):
     return run
 
 
+def _cut(most: int):
+    """Rows in order of group -> (doc, block): at most `most` sets of one group, named by the first of them."""
+
+    def run(batches):
+        group, block, size = None, None, 0
+        for batch in batches:
+            docs, blocks = batch.column("doc").to_pylist(), []
+            for g, doc in zip(batch.column("component").to_pylist(), docs, strict=True):
+                if g != group or size == most:
+                    group, block, size = g, doc, 0
+                size += 1
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blocks, pa.int64())], names=["doc", "block"])
+
+    return run
+
+
+def _block_pairs(lists: DataFrame, heads: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large groups -> (doc, block) and (i, j), the pairs of blocks, i <= j, where some key has sets in both.
+
+    Sets are sorted by the smallest set they share a key with, so the sets of a list mostly stand together
+    and a long chain of sets meets few of its blocks. Blocks are cut where a sorted partition ends too.
+    """
+    near = lists.join(heads, "key").groupBy("doc").agg(F.min("head").alias("near"))
+    placed = large.select(F.col("node").alias("doc"), "component").join(near, "doc")
+    order = ["component", "near", "doc"]
+    blocks = land(
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut(BLOCK), "doc long, block long"), "shingle-blocks")
+    on = lists.join(heads.select("key"), "key").join(blocks, "doc").select("key", "block").distinct()
+    met = on.withColumnRenamed("block", "i").join(on.withColumnRenamed("block", "j"), "key").where("i <= j")
+    return blocks, met.select("i", "j").distinct()
+
+
 def _boundary(sets: DataFrame) -> int:
     """Size class up to which enumerating subsets costs less than scanning lists; at most ~70 rows come here."""
     cost = sets.mapInArrow(_costs, "size long, light long, heavy long").groupBy("size").agg(
@@ -338,22 +373,19 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     lists = narrow.mapInArrow(_keys(_boundary(narrow), percent), "key long, doc long")
     heads = lists.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head < tail")
     groups = components(lists.join(heads, "key").select(F.col("doc").alias("a"), F.col("head").alias("b")))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    # Small groups share a task; a large one is dealt into blocks, and each pair of its blocks is a task.
+    groups = land(groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component"), "shingle-groups")
+    small = groups.where(F.col("size") <= 2 * BLOCK)
     bins = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(2 * BLOCK)))
-    n_bins = int(groups.select(bins).first()[0])
-    dealt = (
-        nodes.select("doc", "n", "shared", "members").join(groups.withColumnRenamed("node", "doc"), "doc").join(sizes, "component")
-        .withColumn("blocks", F.when(F.col("size") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-        .withColumn("task", F.when(F.col("blocks") == 1, F.array(F.struct(
-            F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("component"), F.lit(n_bins)).cast("int").alias("i"), F.lit(0).alias("j"))))
-            .otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
-                F.col("component").alias("g"), F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))))
-        .withColumn("task", F.explode("task"))
-        .withColumn("side", (F.col("task.i") != F.col("task.j")) & (F.col("own") == F.col("task.j")) & (F.col("blocks") > 1))
-        .select("task", "doc", "n", "members", "side", "shared")
-    )
+    n_bins = int(small.select(bins).first()[0])
+    blocks, pairs = _block_pairs(lists, heads, groups.where(F.col("size") > 2 * BLOCK))
+    ends = pairs.select(F.col("i").alias("block"), "i", "j").unionByName(
+        pairs.where("i < j").select(F.col("j").alias("block"), "i", "j"))
+    tasks = small.select(
+        F.col("node").alias("doc"), F.pmod(F.xxhash64("component"), F.lit(n_bins)).alias("i"),
+        F.lit(None).cast("long").alias("j"), F.lit(False).alias("side"),
+    ).unionByName(blocks.join(ends, "block").select("doc", "i", "j", (F.col("block") != F.col("i")).alias("side")))
+    dealt = nodes.select("doc", "n", "shared", "members").join(tasks, "doc").select(
+        F.struct("i", "j").alias("task"), "doc", "n", "members", "side", "shared")
     found = land(dealt.groupBy("task").applyInArrow(lambda t: _verify(percent)(t), "a long, b long, n_links long"), "shingle-links")
     # A key that repeats with other texts ties the classes of its rows together.
     repeated = sets.where("doc is not null").join(classes, mark).groupBy("doc").agg(

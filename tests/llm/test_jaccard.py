@@ -79,6 +79,28 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.jaccard_join(df).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_long_chain_meets_few_blocks(spark, monkeypatch, mixed):
+    """A chain of linked sets is one group; only blocks that share a key are scanned together."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    met = []
+    plain = jaccard._block_pairs
+    monkeypatch.setattr(jaccard, "_block_pairs", lambda *a: met.append(plain(*a)) or met[-1])
+    n, at = 400, list(range(400))
+    if mixed:
+        random.Random(6).shuffle(at)
+    rows = [(at[i], " ".join(f"c{j}" for j in range(3 * i, 3 * i + 44))) for i in range(n)]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert {r.component_id for r in got} == {0}
+    blocks, pairs = met[0]
+    k = blocks.select("block").distinct().count()
+    assert k >= n / 8
+    assert blocks.groupBy("block").count().agg({"count": "max"}).first()[0] <= 8
+    if not mixed:
+        assert pairs.count() < 5 * k < k * (k + 1) / 2
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, component_id string, n long, _gone int, key int"
     rows = [
