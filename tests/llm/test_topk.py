@@ -35,8 +35,39 @@ def test_bounds_hold():
     q, x = rng.integers(-900, 900, (20, 64)), rng.integers(-900, 900, (50, 64))
     exact = q @ x.T
     before = None
-    for n in topk.LEVELS:
-        top = topk._bound(topk._stats(q, n), topk._stats(x, n))
-        assert (top >= exact).all()
-        assert before is None or top.mean() < before
-        before = top.mean()
+    turn = topk._axes(x)
+    assert np.allclose(turn.T @ turn, np.eye(64))
+    for a, b in ((q, x), (q @ turn, x @ turn)):
+        before = None
+        for n in topk.LEVELS:
+            top = topk._bound(topk._stats(a, n), topk._stats(b, n))
+            assert (top >= exact - 1e-6).all()
+            assert before is None or top.mean() < before
+            before = top.mean()
+
+
+def test_bounds_prune_clustered_vectors():
+    """Vectors around centres in a few directions, mixed over all components: few pairs reach the exact product."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    mixed = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    centres = rng.normal(size=(40, 64)) * (np.arange(64) < 6) @ mixed * 900
+    x = np.floor(centres[rng.integers(40, size=4000)] + rng.normal(size=(4000, 64)) * 20).astype(np.int64)
+    ids, kept = np.arange(4000), []
+    i, j, score = topk.search_block(x[:40], x, ids[:40], ids, 10, kept)
+    exact = x[:40] @ x.T
+    exact[np.arange(40), np.arange(40)] = -(2**62)
+    for r in range(40):
+        want = sorted((-exact[r, c], c) for c in range(4000))[:10]
+        assert [(-s, c) for s, c in zip(score[i == r], j[i == r], strict=True)] == want
+    assert kept[0] == 40 * 3999 and kept == sorted(kept, reverse=True)
+    assert kept[-1] < kept[0] / 10
+
+
+def test_huge_components_fail(spark):
+    import pytest
+
+    df = spark.createDataFrame([(100, [1e12, 0.0]), (1, [1e12, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        topk.top_k(df).collect()
