@@ -5,7 +5,7 @@ frequency): two sets of similarity s share at least c of the first n - ceil(s n)
 sets enumerate the c = 2 subsets of that prefix and meet by equal subset; large ("heavy") sets put
 single shingles into inverted lists. The size at which enumeration becomes dearer than scanning is
 chosen from summed costs. Lists only say which sets have to be looked at together: small connected groups
-share a task, a large group is sorted so that sets that meet stand near each other and cut into blocks, and
+share a task, a large group is dealt into blocks so that sets that meet mostly stand together, and
 two of its blocks are looked at together only where some key has sets in both. A task scans its sets by
 inverted lists, which gives the exact overlap of all its pairs. Pairs stay inside the task; it emits link
 counts and a spanning forest.
@@ -295,34 +295,22 @@ def _verify(percent: int):
     return run
 
 
-def _cut(most: int):
-    """Rows in order of group -> (doc, block): at most `most` sets of one group, named by the first of them."""
-
-    def run(batches):
-        group, block, size = None, None, 0
-        for batch in batches:
-            docs, blocks = batch.column("doc").to_pylist(), []
-            for g, doc in zip(batch.column("component").to_pylist(), docs, strict=True):
-                if g != group or size == most:
-                    group, block, size = g, doc, 0
-                size += 1
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blocks, pa.int64())], names=["doc", "block"])
-
-    return run
-
-
 def _block_pairs(lists: DataFrame, heads: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Large groups -> (doc, block) and (i, j), the pairs of blocks, i <= j, where some key has sets in both.
 
-    Sets are sorted by the smallest set they share a key with, so the sets of a list mostly stand together
-    and a long chain of sets meets few of its blocks. Blocks are cut where a sorted partition ends too.
+    A group's sets are dealt by the smallest set they share a key with, in equal ranges of it, so the sets of
+    a list mostly stand together and a long chain of sets meets few blocks. A range that holds more than a
+    block is split by a hash. A group of n sets has at most about 2 n / BLOCK blocks.
     """
     near = lists.join(heads, "key").groupBy("doc").agg(F.min("head").alias("near"))
-    placed = large.select(F.col("node").alias("doc"), "component").join(near, "doc")
-    order = ["component", "near", "doc"]
-    blocks = land(
-        placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut(BLOCK), "doc long, block long"), "shingle-blocks")
+    placed = large.select(F.col("node").alias("doc"), "component", "size").join(near, "doc")
+    ends = placed.groupBy("component").agg(F.min("near").cast("double").alias("lo"), F.max("near").cast("double").alias("hi"))
+    share = (F.col("near").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
+    placed = land(placed.join(ends, "component").select(
+        "doc", "component", F.floor(share * F.ceil(F.col("size") / BLOCK)).alias("range")), "shingle-ranges")
+    held = placed.groupBy("component", "range").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    blocks = land(placed.join(held, ["component", "range"]).select(
+        "doc", F.xxhash64("component", "range", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block")), "shingle-blocks")
     on = lists.join(heads.select("key"), "key").join(blocks, "doc").select("key", "block").distinct()
     met = on.withColumnRenamed("block", "i").join(on.withColumnRenamed("block", "j"), "key").where("i <= j")
     return blocks, met.select("i", "j").distinct()

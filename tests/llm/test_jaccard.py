@@ -95,8 +95,7 @@ def test_long_chain_meets_few_blocks(spark, monkeypatch, mixed):
     assert {r.component_id for r in got} == {0}
     blocks, pairs = met[0]
     k = blocks.select("block").distinct().count()
-    assert k >= n / 8
-    assert blocks.groupBy("block").count().agg({"count": "max"}).first()[0] <= 8
+    assert n / 16 <= k <= n / 4
     if not mixed:
         assert pairs.count() < 5 * k < k * (k + 1) / 2
 
