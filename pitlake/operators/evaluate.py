@@ -155,11 +155,13 @@ def _multinomial_sums(sums: DataFrame, cluster: str, errors: list[str], replicat
     counted = land(counted, "counted")  # one row per replicate
     left = F.lit(clusters) - F.col("_draws")
     left = F.when(left >= 0, left).otherwise(F.raise_error(F.lit("more draws than clusters")).cast("long"))
-    singles = counted.select("_rep", left.alias("_left")).where("_left > 0").select("_rep", F.explode(F.sequence(F.lit(1).cast("long"), "_left")).alias("_draw"))
+    tasks = -(-replicates * int(MARGIN * math.sqrt(clusters) + 1) // COUNTS_PER_TASK)
+    singles = counted.select("_rep", left.alias("_left")).repartition(max(1, min(replicates, tasks))).where("_left > 0").select("_rep", F.explode(F.sequence(F.lit(1).cast("long"), "_left")).alias("_draw"))
     # Never null, so that no filter on the whole chain of steps is derived from the join.
     slot = F.coalesce(F.shiftright(F.col("_h") * clusters, 32), F.lit(-1))
     singles = _drawn(singles, seed + 1, "_draw", "_h").select("_rep", slot.alias("_slot"))
-    single = singles.join(indexed, "_slot").groupBy("_rep").agg(F.sum("_rows").alias("_n"), *(F.sum(m).alias(m) for m in errors))
+    # Spark takes the draws for as few rows as there are replicates and would broadcast them.
+    single = singles.hint("merge").join(indexed, "_slot").groupBy("_rep").agg(F.sum("_rows").alias("_n"), *(F.sum(m).alias(m) for m in errors))
     return counted.drop("_draws").unionByName(single).groupBy("_rep").agg(F.sum("_n").alias("_n"), *(F.sum(m).alias(m) for m in errors))
 
 

@@ -90,6 +90,22 @@ def test_bootstrap_draws_equal_plain_counting(spark):
     assert E._multinomial_sums(df.limit(1), "k", ["e"], 3, 1).where("_n <> 1").isEmpty()
 
 
+def test_bootstrap_draws_are_not_broadcast(spark):
+    """Draws grow with replicates and clusters, though Spark takes them for a row per replicate."""
+    df = spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("_rows"), F.col("id").alias("e"))
+    found = E._multinomial_sums(df, "k", ["e"], 20, 1)
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_poisson_counts_equal_the_steps(spark):
+    df = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("u"))
+    df = df.unionByName(spark.createDataFrame([("0" * 32,), ("f" * 32,)], "u string"))
+    rows = df.withColumn("w", E.poisson_count(F.col("u"))).collect()
+    assert all(r.w == sum(int(r.u[:13], 16) / float(16**13) >= c for c in E.poisson_steps()) for r in rows)
+    assert {0, 1, 2, 3, 4, 5} <= {r.w for r in rows}
+
+
 def test_worst_k_ties(spark):
     df = spark.createDataFrame([("m", 3.0), ("q", 8.0), ("c", 8.0), ("z", 8.0), ("a", None)], "k string, e double")
     assert [r.k for r in E.worst_k(df, "e", "k", 2).collect()] == ["c", "q"]
