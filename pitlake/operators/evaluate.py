@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from pitlake.functions.landing import land
 from pitlake.functions.ranks import dense_index, exact_median, exact_quantiles
-from pitlake.functions.scalar import hash_number
 
 BASELINES = ("train_median", "train_mean", "train_median_by_position")
 
@@ -98,10 +97,21 @@ def _spread(sums: DataFrame, clusters: int, replicates: int) -> DataFrame:
     return sums.repartition(max(1, min(clusters, -(-clusters * replicates // COUNTS_PER_TASK))))
 
 
+def poisson_count(digest: Column) -> Column:
+    """Poisson(1) number of an md5 text: the steps that its first 13 hex digits, as a share of 16^13, have reached.
+
+    Hex digits of one length sort like their numbers, so the text is compared as it is; most counts are 0 or 1 and
+    need a comparison or two.
+    """
+    steps = [format(math.ceil(c * 16**13), "013x") for c in poisson_steps() if c < 1]
+    return reduce(lambda later, k: F.when(digest < steps[k], k).otherwise(later), reversed(range(len(steps))), F.lit(len(steps)))
+
+
 def _poisson_sums(sums: DataFrame, cluster: str, errors: list[str], replicates: int, seed: int) -> DataFrame:
-    draw = hash_number("_rep", cluster, F.lit(seed), digits=13) / float(16**13)
-    rows = _spread(sums, sums.count(), replicates).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")).withColumn("_u", draw)
-    weight = reduce(lambda x, y: x + y, [(F.col("_u") >= c).cast("int") for c in poisson_steps()])
+    draw = F.md5(F.concat_ws("|", F.col("_rep").cast("string"), "_key", F.lit(str(seed))))
+    keyed = _spread(sums.withColumn("_key", F.col(cluster).cast("string")), sums.count(), replicates)
+    rows = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")).withColumn("_u", draw)
+    weight = poisson_count(F.col("_u"))
     # Rows of weight 0 stay: a filter on the weight would hash once per step of it, below the projection.
     return rows.withColumn("_w", weight).groupBy("_rep").agg(
         F.sum(F.col("_w") * F.col("_rows")).alias("_n"), *(F.sum(F.col("_w") * F.col(m)).alias(m) for m in errors)).where("_n > 0")
