@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from urllib.parse import unquote, urlparse
@@ -150,12 +151,19 @@ def _opened(path: str):
 
 
 def file_hashes(spark: SparkSession, path_glob: str) -> DataFrame:
-    """(file, bytes, sha256) of raw files of any size.
+    """(file, bytes, sha256) of raw files of any size; `file` is the path from the folder of the glob's last part.
+
+    A folder that the glob names gives its files, each as folder/name, so equal names in two folders stay apart.
 
     Spark lists the files, without their content, and deals them to tasks; a task streams through a file in
     pieces of CHUNK bytes, so neither a row nor a task ever holds one. A file that ends up with
     other bytes than were listed fails the job.
     """
+    def parts(path: str) -> list[str]:
+        return re.sub(r"^\w+:(//[^/]*)?", "", path).rstrip("/").split("/")
+
+    above = len(parts(path_glob)) - 1
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = []
@@ -168,13 +176,23 @@ def file_hashes(spark: SparkSession, path_glob: str) -> DataFrame:
                 if read != length:
                     raise OSError(f"{path}: listed with {length} bytes, read {read}")
                 digests.append(digest.hexdigest())
-            names = [p.rsplit("/", 1)[-1] for p in batch["path"].to_pylist()]
+            names = ["/".join(parts(p)[above:]) for p in batch["path"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch["length"], pa.array(digests, pa.string())], names=["file", "bytes", "sha256"])
 
     listed = spark.read.format("binaryFile").load(path_glob).select("path", "length")
     return listed.repartition(max(1, listed.count())).mapInArrow(hashed, "file string, bytes bigint, sha256 string")
 
 
+def table_hashes(files: DataFrame) -> DataFrame:
+    """(file, bytes, sha256) per table: a plain file as it is; a folder of part files by their names and digests."""
+    part = F.instr("file", "/") > 0
+    digests = F.sort_array(F.collect_list(F.concat_ws(" ", "sha256", "file")))  # one short text per file of a table
+    return files.groupBy(F.substring_index("file", "/", 1).alias("table")).agg(
+        F.sum("bytes").alias("bytes"),
+        F.when(F.max(part), F.sha2(F.array_join(digests, "\n"), 256)).otherwise(F.min("sha256")).alias("sha256"),
+    ).withColumnRenamed("table", "file")
+
+
 def verify_hashes(actual: DataFrame, recorded: DataFrame) -> DataFrame:
     """Rows that break the record: a file missing, not recorded, or with other bytes."""
     a, r = actual.alias("a"), recorded.alias("r")

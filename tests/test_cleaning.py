@@ -196,6 +196,20 @@ def test_hash_verification(spark, tmp_path):
     }
 
 
+def test_part_files_of_equal_names_in_two_tables(spark, tmp_path):
+    for table, name, body in (("a.bin", "part-0", b"1"), ("b.bin", "part-0", b"2"), ("b.bin", "part-1", b"3")):
+        (tmp_path / table).mkdir(exist_ok=True)
+        (tmp_path / table / name).write_bytes(body)
+    (tmp_path / "c.bin").write_bytes(b"4")
+    files = RAW.file_hashes(spark, f"{tmp_path}/*.bin")
+    assert {r.file for r in files.collect()} == {"a.bin/part-0", "b.bin/part-0", "b.bin/part-1", "c.bin"}
+    assert RAW.verify_hashes(files, files).isEmpty()
+    tables = {r.file: r for r in RAW.table_hashes(files).collect()}
+    assert {f: r.bytes for f, r in tables.items()} == {"a.bin": 1, "b.bin": 2, "c.bin": 1}
+    (tmp_path / "b.bin" / "part-1").write_bytes(b"5")
+    assert [tuple(r) for r in RAW.verify_hashes(RAW.table_hashes(files), spark.createDataFrame(list(tables.values()))).collect()] == [("b.bin", "differs")]
+
+
 def test_a_file_larger_than_a_row_is_hashed(spark, tmp_path):
     """A row holds at most 2 GB; the file is sparse, so that it takes no room."""
     import hashlib
