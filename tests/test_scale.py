@@ -79,3 +79,23 @@ def test_copies_collapse_before_the_shuffle(spark):
 def test_lookback_calendar_has_one_row_per_day(spark, snap):
     cal = T.lookback_calendar(snap.seasons, list(SEASONS))
     assert cal.groupBy("cutoff").count().where("count > 1").count() == 0
+
+
+def test_partitions_grow_with_the_input(spark):
+    """Rows of the study tables shrink far in a shuffle, so tasks are planned by few bytes and by order lines."""
+    from pitlake import bindings as B
+
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        B.Tables(spark, "/root/testdata/sf0.01").read("lineitem")
+        few = int(spark.conf.get(names[2]))
+        B.plan_partitions(spark, 36_000_000)
+        assert few == int(spark.conf.get("spark.sql.shuffle.partitions")) and int(spark.conf.get(names[2])) == 720
+        assert B._bytes(spark.conf.get(names[0])) <= 4 << 20 and B._bytes(spark.conf.get(names[1])) <= 32 << 20
+        spark.conf.set(names[0], "1m")
+        B.plan_partitions(spark, 1)
+        assert B._bytes(spark.conf.get(names[0])) == 1 << 20
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
