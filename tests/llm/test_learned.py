@@ -128,3 +128,26 @@ def test_copies_of_documents_do_not_move_scores(spark, run, label):
     plain, many = (spark.createDataFrame(d, "doc_id long, text string").repartition(3) for d in (docs, docs + [docs[one]] * 3000))
     scores = [{r.doc_id: r.score for r in run(d, labels).collect()} for d in (plain, many)]
     assert scores[0] == pytest.approx(scores[1], abs=0.01) and len({round(v, 3) for v in scores[0].values()}) > 1
+
+
+@pytest.mark.parametrize("every", [3, 500])
+def test_quality_learns_from_all_rows(spark, every):
+    """Mean, weights, cut and slope are those of all labelled rows, in several blocks, also where one class is rare."""
+    rng = np.random.default_rng(5)
+    y = np.array([int(i % every == 0) for i in range(9000)])
+    x = rng.normal(0, 1, (9000, len(quality.NAMES))).astype(np.float32)
+    x[:, 0] += y
+    rows = spark.createDataFrame([(int(a), int(h), b.tolist()) for a, h, b in zip(y, rng.integers(0, 1 << 60, 9000), x, strict=True)],
+                                 "_label int, _hash long, x array<float>").repartition(5)
+    model = quality.fit(rows)
+    assert np.allclose(model.mean, x.astype(float).mean(0), atol=1e-6) and np.allclose(model.scale, x.astype(float).std(0), atol=1e-6)
+    s = np.sort(model.strength(x.astype(float)))
+    zeros = int((y == 0).sum())
+    assert np.isclose(model.cut, (s[zeros - 1] + s[zeros]) / 2)
+    assert every > 3 or np.argmax(np.abs(model.weight)) == 0  # a few rows of a class may favour other inputs by chance
+    d = model.strength(x.astype(float)) - model.cut
+
+    def slope(k):
+        return (d * (1 / (1 + np.exp(-np.clip(k * d, -30, 30))) - y)).sum() + 1e-3 * k
+
+    assert model.slope == pytest.approx(0.05) or slope(model.slope * 0.99) < 0 < slope(model.slope * 1.01)
