@@ -1,19 +1,20 @@
 """Boosted trees: staged cross-validation over a grid, and an exact audit of monotone signs.
 
-Trees are MLlib's. A fit with the most rounds of its shape answers every smaller number of rounds too, since
-round k does not know how many follow; so the grid costs one fit per (depth, leaf size, fold). Fits are
-independent and run side by side on the cluster. Each is landed when it is done, its trees and its
-scores, so a run that is lost goes on from there.
+Trees are MLlib's, grown for many models at once: MLlib takes some three Spark jobs a round and model, here they are three
+a round for all. A fit with the most rounds of its shape answers every smaller number of rounds too, since
+round k does not know how many follow; so the grid costs one fit per (depth, leaf size, fold). The trees and scores of
+each are landed, and fits that are there are not repeated.
 """
 
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,12 @@ SIGNS = {
     "age": -1,
 }
 
+#: Bins an input gets, rows its thresholds are taken from, bin of a node without a split (MLlib's values, but the last).
+BINS, SAMPLED, NO_SPLIT = 32, 10_000, 255
+#: Rows of a cached block, rounds between kept predictions, and kept predictions between cuts of their lineage.
+BLOCK_ROWS, KEPT_EVERY, CUT_EVERY = 50_000, 4, 10
+
+NODES = "tree int, weight double, node int, feature int, threshold double, value double"
 SCORES = "grid_order int, candidate string, fold int, rows bigint, log_mae double, eligible boolean"
 
 
@@ -65,23 +72,219 @@ def assembled(df: DataFrame, columns: Sequence[str], label: str, keep: Sequence[
     return VectorAssembler(inputCols=list(columns), outputCol="x").transform(rows).select(*keep, "x", "y")
 
 
-def fit(rows: DataFrame, depth: int, leaf: int, rounds: int, seed: int = 42):
-    """MLlib boosted trees on assembled rows. Lineage is cut every ten rounds in the shared folder."""
-    from pyspark.ml.regression import GBTRegressor
+def _bin_edges(values: np.ndarray) -> np.ndarray:
+    """Thresholds of one input, by MLlib's rule: all midpoints if they are few, else boundaries nearest to equal counts."""
+    found, counts = np.unique(values, return_counts=True)
+    middle = (found[:-1] + found[1:]) / 2
+    wanted = min(BINS, len(values)) - 1
+    if len(middle) <= wanted:
+        return middle
+    upto, stride, out = np.cumsum(counts), len(values) / (wanted + 1), []
+    for i in range(1, len(found)):
+        target = stride * (len(out) + 1)
+        if abs(upto[i - 1] - target) < abs(upto[i] - target):
+            out.append(middle[i - 1])
+    return np.array(out)
+
+
+def bin_edges(rows: DataFrame, seed: int) -> list[np.ndarray]:
+    """Thresholds per input. Like MLlib's, those of more than SAMPLED rows come from about so many of them; every row is
+    learned from."""
+    from pyspark.ml.functions import vector_to_array
+
+    n = rows.count()
+    if not n:
+        raise ValueError("no rows to fit trees on")
+    taken = rows if n <= SAMPLED else rows.sample(SAMPLED / n, seed)
+    return [_bin_edges(c) for c in np.array([r[0] for r in taken.select(vector_to_array("x")).collect()]).T]
+
+
+def _tree(depth: int) -> tuple:
+    """Input and bin per node of a complete tree, and its leaves. A node whose bin is NO_SPLIT sends every row left."""
+    return np.zeros(2**depth - 1, int), np.full(2**depth - 1, NO_SPLIT, np.uint8), np.zeros(2**depth)
+
+
+def _places(bins: np.ndarray, tree: tuple, levels: int) -> np.ndarray:
+    """Place of every row among the nodes below that many levels."""
+    at = np.zeros(bins.shape[1], np.uint8)
+    for level in range(levels):
+        right = np.zeros(len(at), bool)
+        for j in range(2**level):
+            k = 2**level - 1 + j
+            if tree[1][k] != NO_SPLIT:
+                right |= (at == j) & (bins[tree[0][k]] > tree[1][k])
+        at = at * np.uint8(2) + right
+    return at
+
+
+def _moved(block: tuple, grown: list) -> list:
+    """Predictions of a block after further rounds, each a step and a tree per model (None where it has all its own)."""
+    _, bins, own = block
+    out = [f.copy() for f in own] if grown else own
+    for step, trees in grown:
+        for f, tree, (fold, _) in zip(out, trees, block[0][1], strict=True):
+            if tree is not None:
+                f += step * tree[2][_places(bins[fold], tree, len(tree[2]).bit_length() - 1)]
+    return out
+
+
+def _sums(block: tuple, grown: list, trees: list, level: int) -> list:
+    """Rows and summed targets per (node, input, bin) of the trees' nodes at one level, a pair per model."""
+    y, models = block[0]
+    found = []
+    for f, tree, (fold, depth) in zip(_moved(block, grown), trees, models, strict=True):
+        if tree is None or level >= depth:
+            found.append(None)
+            continue
+        bins, size = block[1][fold], 2**level * BINS
+        target = y[: len(f)] if trees.first else 2 * (y[: len(f)] - f)
+        base = _places(bins, tree, level).astype(np.intp) * BINS
+        cells = [base + b for b in bins]
+        found.append(np.array([[np.bincount(c, minlength=size), np.bincount(c, target, size)] for c in cells]).reshape(len(bins), 2, -1, BINS))
+    return found
+
+
+class _Growing(list):
+    """Trees of one round, a tree or None per model; the first round's targets are the labels."""
+
+    first = False
+
+
+def _split(tree: tuple, sums: np.ndarray, level: int, leaf: int, edges: list[np.ndarray]) -> None:
+    """Split the nodes of a level where that lowers the squared error most; leaves below get their means."""
+    depth = len(tree[2]).bit_length() - 1
+    n, s = np.cumsum(sums[:, 0], axis=-1), np.cumsum(sums[:, 1], axis=-1)  # input, node, bin
+    usable = np.arange(BINS)[None, :] < np.array([len(e) for e in edges])[:, None]
+    for j in range(2**level):
+        left, total, sl, st = n[:, j], n[0, j, -1], s[:, j], s[0, j, -1]
+        if not total:
+            continue
+        right, sr = total - left, st - sl
+        fits = usable & (left >= leaf) & (right >= leaf)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(fits, sl * sl / left + sr * sr / right - st * st / total, -1.0)
+        f, b = np.unravel_index(int(gain.argmax()), gain.shape)
+        span = 2 ** (depth - level)
+        tree[2][j * span] = st / total
+        if gain[f, b] > 0:
+            k = 2**level - 1 + j
+            tree[0][k], tree[1][k] = f, b
+            tree[2][j * span] = sl[f, b] / left[f, b]
+            tree[2][j * span + span // 2] = sr[f, b] / right[f, b]
+
+
+def _blocks(rows: DataFrame, folds: list[tuple], edges: list[list[np.ndarray]], models: list[tuple[int, int]]):
+    """Cached blocks ((labels, models), bins per fold, predictions per model). Rows are in order of their cycle, so a fold is a prefix."""
+    from pyspark.ml.functions import vector_to_array
+
+    by = next((c for c, _ in folds if c), None)
+    table = rows.select(vector_to_array("x").alias("x"), F.col("y"), (F.col(by) if by else F.lit(0)).cast("double").alias("c"))
+
+    def block(batches: list[pa.RecordBatch]) -> bytes:
+        t = pa.Table.from_batches(batches)
+        order = np.argsort(t["c"].to_numpy(), kind="stable")
+        c, y = t["c"].to_numpy()[order], t["y"].to_numpy()[order]
+        x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)[order]
+        sizes = [len(y) if limit is None else int(np.searchsorted(c, float(limit))) for _, limit in folds]
+        bins = [np.array([np.searchsorted(e, x[:k, j]) for j, e in enumerate(own)], np.uint8).reshape(len(own), k) for own, k in zip(edges, sizes, strict=True)]
+        return pickle.dumps(((y, models), bins, [np.zeros(sizes[fold]) for fold, _ in models]), 5)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if held and (batch is None or sum(b.num_rows for b in held) + batch.num_rows > BLOCK_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([block(held)], pa.binary())], names=["block"])
+                held = []
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+
+    context = rows.sparkSession.sparkContext
+    tasks = max(1, min(context.defaultParallelism, -(-table.count() // BLOCK_ROWS)))
+    return table.repartition(tasks).mapInArrow(packed, "block binary").rdd.map(lambda r: pickle.loads(r.block))
+
 
+def fit(rows: DataFrame, depth, leaf, rounds, seed: int = 42, before: Sequence[tuple] | None = None):
+    """Boosted trees on assembled rows: MLlib's learner (squared error, 32 bins, first tree whole, then steps), many models at once.
+
+    `depth`, `leaf` and `rounds` are numbers, or one number per model; a list of models then comes back, the i-th
+    fitted on the rows whose `before[i][0]` (the same column for all) is below `before[i][1]`. A round costs one job per
+    level for all models together: tasks send sums per node, input and bin, whose size does not depend on the rows. Predictions
+    are kept every few rounds as cached blocks, whose lineage is cut in the shared folder.
+    """
+    from pyspark import StorageLevel
+
+    many = not isinstance(depth, int)
+    shapes = list(zip(depth, leaf, rounds, strict=True)) if many else [(depth, leaf, rounds)]
+    before = list(before or [(None, None)] * len(shapes))
+    folds = list(dict.fromkeys(before))
+    edges = [bin_edges(rows if c is None else rows.where(F.col(c) < limit), seed) for c, limit in folds]
+    models = [(folds.index(b), d) for b, (d, _, _) in zip(before, shapes, strict=True)]
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(rows.sparkSession))
-    return GBTRegressor(
-        featuresCol="x", labelCol="y", maxDepth=depth, minInstancesPerNode=leaf, maxIter=rounds, stepSize=STEP,
-        seed=seed, checkpointInterval=10,
-    ).fit(rows)
-
+    state, stale, grown, done = _blocks(rows, folds, edges, models).persist(StorageLevel.MEMORY_AND_DISK), None, [], []
+
+    def merged(found: Iterator[list]) -> list:
+        total: list = []
+        for part in found:
+            total = [a if b is None else b if a is None else a + b for a, b in itertools.zip_longest(total, part)]
+        return total
+
+    for m in range(max(r for _, _, r in shapes)):
+        if len(grown) == KEPT_EVERY:
+            moves, stale = grown, state
+            state = state.map(lambda b, moves=moves: (b[0], b[1], _moved(b, moves))).persist(StorageLevel.MEMORY_AND_DISK)
+            if m % (CUT_EVERY * KEPT_EVERY) == 0:
+                state.checkpoint()
+            grown = []
+        trees = _Growing(_tree(d) if m < r else None for d, _, r in shapes)
+        trees.first = m == 0
+        for level in range(max(d for (d, _, r) in shapes if m < r)):
+            def job(blocks, grown=grown, trees=trees, level=level):
+                yield merged(_sums(b, grown, trees, level) for b in blocks)
+
+            parts = state.mapPartitions(job)
+            sums = merged(parts.collect()) if parts.getNumPartitions() <= 32 else parts.treeReduce(lambda a, b: merged([a, b]))
+            for tree, s, (_, min_leaf, _), (fold, _) in zip(trees, sums, shapes, models, strict=True):
+                if s is not None:
+                    _split(tree, s, level, min_leaf, edges[fold])
+            if stale is not None:
+                stale.unpersist()
+                stale = None
+        grown = [*grown, (STEP if m else 1.0, list(trees))]
+        done.append(trees)
+    state.unpersist()
+    fitted = [_ensemble([t[i] for t in done if t[i] is not None], edges[fold]) for i, (fold, _) in enumerate(models)]
+    return fitted if many else fitted[0]
+
+
+def staged_errors(models: Sequence[Ensemble], rows: DataFrame, fold: Sequence[int], stages: Sequence[Sequence[int]]) -> list[list[float]]:
+    """Mean absolute error of each model after each of its numbers of rounds, in one pass over rows with a column `_fold`."""
+    from pyspark.ml.functions import vector_to_array
 
-def staged_errors(model, rows: DataFrame, rounds: Sequence[int]) -> list[float]:
-    """Mean absolute error after each of the given numbers of rounds, in one pass over the rows."""
-    after = model.evaluateEachIteration(rows, "absolute")
-    return [float(after[k - 1]) for k in rounds]
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x, y, own = (part.column(i) for i in range(3))
+                x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                y, own = y.to_numpy(), own.to_numpy()
+                for i, model in enumerate(models):
+                    mine, start, sofar = own == fold[i], 0, 0.0
+                    for k in sorted(set(stages[i])):
+                        sofar = sofar + Ensemble(model.trees[start:k], model.weights[start:k], {}).predict(x[mine])
+                        cell, start = total.setdefault((i, k), [0.0, 0]), k
+                        cell[0] += float(np.abs(y[mine] - sofar).sum())
+                        cell[1] += int(mine.sum())
+        keys = list(total)
+        columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+                   pa.array([total[k][0] for k in keys], pa.float64()), pa.array([total[k][1] for k in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["i", "k", "e", "n"])
+
+    found = rows.select(vector_to_array("x").alias("x"), "y", "_fold").mapInArrow(errors, "i int, k int, e double, n bigint")
+    mean = {(r.i, r.k): r.e for r in found.groupBy("i", "k").agg((F.sum("e") / F.sum("n")).alias("e")).collect()}
+    return [[mean.get((i, k), float("nan")) for k in own] for i, own in enumerate(stages)]
 
 
 def _landed_scores(spark: SparkSession, path: str) -> DataFrame | None:
@@ -95,7 +298,7 @@ def _landed_scores(spark: SparkSession, path: str) -> DataFrame | None:
 
 def cross_validate(
     train: DataFrame, columns: Sequence[str], label: str, cycle: str, n_folds: int, shapes: Sequence[Shape] | None = None,
-    folder: str | None = None, side_by_side: int = 8, seed: int = 42,
+    folder: str | None = None, seed: int = 42,
 ) -> DataFrame:
     """(grid_order, candidate, fold, rows, log_mae, eligible) for every shape and expanding fold.
 
@@ -112,22 +315,21 @@ def cross_validate(
     by_fit: dict[tuple[int, int], list[Shape]] = {}
     for s in shapes:
         by_fit.setdefault((s.depth, s.leaf), []).append(s)
-
-    def one(job: tuple) -> str:
-        (depth, leaf), stages, fold, (validation, size) = job
-        path = f"{folder}/depth={depth}-leaf={leaf}-cycle={validation}"
-        if _landed_scores(spark, f"{path}/scores") is None:
-            model = fit(rows.where(F.col(cycle) < validation), depth, leaf, max(s.rounds for s in stages), seed)
+    jobs = [(k, v, f, s) for (k, v), (f, s) in itertools.product(by_fit.items(), enumerate(sizes[-n_folds:]))]
+    paths = [f"{folder}/depth={depth}-leaf={leaf}-cycle={validation}" for (depth, leaf), _, _, (validation, _) in jobs]
+    open_ = [(j, p) for j, p in zip(jobs, paths, strict=True) if _landed_scores(spark, f"{p}/scores") is None]
+    if open_:
+        todo = [j for j, _ in open_]
+        models = fit(
+            rows, [k[0] for k, *_ in todo], [k[1] for k, *_ in todo], [max(s.rounds for s in v) for _, v, *_ in todo], seed,
+            before=[(cycle, c) for *_, (c, _) in todo])
+        tested = rows.join(F.broadcast(spark.createDataFrame([(c, f) for f, (c, _) in enumerate(sizes[-n_folds:])], [cycle, "_fold"])), cycle)
+        errors = staged_errors(models, tested, [f for *_, f, _ in todo], [[s.rounds for s in v] for _, v, *_ in todo])
+        for ((_, stages, fold, (_, size)), path), model, found in zip(open_, models, errors, strict=True):
             model.write().overwrite().save(f"{path}/trees")
-            errors = staged_errors(model, rows.where(F.col(cycle) == validation), [s.rounds for s in stages])
-            cells = [(s.order, s.name, fold, size, e, bool(np.isfinite(e))) for s, e in zip(stages, errors, strict=True)]
+            cells = [(s.order, s.name, fold, size, e, bool(np.isfinite(e))) for s, e in zip(stages, found, strict=True)]
             spark.createDataFrame(cells, SCORES).coalesce(1).write.mode("overwrite").parquet(f"{path}/scores")
-        return f"{path}/scores"
-
-    jobs = [(k, v, f, s) for (k, v), (f, s) in itertools.product(by_fit.items(), enumerate(sizes[-n_folds:]))]
-    with ThreadPoolExecutor(side_by_side) as pool:  # threads wait for Spark jobs, the work is on the executors
-        paths = list(pool.map(one, jobs))
-    return spark.read.schema(SCORES).parquet(*paths)
+    return spark.read.schema(SCORES).parquet(*(f"{p}/scores" for p in paths))
 
 
 @dataclass(frozen=True)
@@ -154,25 +356,82 @@ class Ensemble:
             total += weight * walk(tree)
         return total[:, 0] if sweep is None else total
 
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Assembled rows with a column `prediction`."""
+        from pyspark.ml.functions import vector_to_array
+
+        def predicted(x: pd.Series) -> pd.Series:
+            return pd.Series(self.predict(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
+
+        return rows.withColumn("prediction", F.pandas_udf(predicted, "double")(vector_to_array("x")))
+
+    def write(self) -> _Writer:
+        return _Writer(self)
+
+
+@dataclass(frozen=True)
+class _Writer:
+    """Saves a model's node table, as MLlib's writers do."""
+
+    model: Ensemble
+    mode: str = "error"
+
+    def overwrite(self) -> _Writer:
+        return _Writer(self.model, "overwrite")
+
+    def save(self, path: str) -> None:
+        def nodes(tree: int, weight: float, node, i: int) -> Iterator[tuple]:
+            if not isinstance(node, tuple):
+                yield tree, weight, i, None, None, node
+                return
+            yield tree, weight, i, node[0], node[1], None
+            yield from nodes(tree, weight, node[2], 2 * i + 1)
+            yield from nodes(tree, weight, node[3], 2 * i + 2)
+
+        found = [r for k, (t, w) in enumerate(zip(self.model.trees, self.model.weights, strict=True)) for r in nodes(k, w, t, 0)]
+        SparkSession.active().createDataFrame(found, NODES).coalesce(1).write.mode(self.mode).parquet(path)
+
+
+def _thresholds(trees: list) -> dict[int, np.ndarray]:
+    cuts: dict[int, set] = {}
+
+    def visit(node) -> None:
+        if isinstance(node, tuple):
+            cuts.setdefault(node[0], set()).add(node[1])
+            visit(node[2])
+            visit(node[3])
+
+    for t in trees:
+        visit(t)
+    return {f: np.array(sorted(v)) for f, v in cuts.items()}
+
+
+def _ensemble(grown: list[tuple], edges: list[np.ndarray]) -> Ensemble:
+    """Nested trees of a model's binned ones."""
+
+    def build(tree: tuple, level: int, j: int):
+        k, span = 2**level - 1 + j, len(tree[2]) >> level
+        if span == 1 or tree[1][k] == NO_SPLIT:
+            return float(tree[2][j * span])
+        f = int(tree[0][k])
+        return f, float(edges[f][tree[1][k]]), build(tree, level + 1, 2 * j), build(tree, level + 1, 2 * j + 1)
+
+    trees = [build(t, 0, 0) for t in grown]
+    return Ensemble(trees, [STEP if i else 1.0 for i in range(len(trees))], _thresholds(trees))
+
 
 def ensemble(spark: SparkSession, path: str) -> Ensemble:
     """The trees of a saved model, read from its node table: at most rounds x 2^(depth + 1) rows."""
     nodes: dict[int, dict] = {}
-    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
-        nodes.setdefault(r.treeID, {})[r.id] = r
-    weights = {tree: weight for tree, _, weight in spark.read.parquet(f"{path}/treesMetadata").collect()}  # tree, parameters, weight
-    cuts: dict[int, set] = {}
+    for r in spark.read.schema(NODES).parquet(path).collect():
+        nodes.setdefault(r.tree, {})[r.node] = r
 
     def build(own: dict, i: int):
         n = own[i]
-        if n.leftChild < 0:
-            return float(n.prediction)
-        feature, threshold = n.split.featureIndex, float(n.split.leftCategoriesOrThreshold[0])
-        cuts.setdefault(feature, set()).add(threshold)
-        return feature, threshold, build(own, n.leftChild), build(own, n.rightChild)
+        return n.value if n.feature is None else (n.feature, n.threshold, build(own, 2 * i + 1), build(own, 2 * i + 2))
 
     trees = [build(nodes[t], 0) for t in sorted(nodes)]
-    return Ensemble(trees, [weights[t] for t in sorted(nodes)], {f: np.array(sorted(v)) for f, v in cuts.items()})
+    return Ensemble(trees, [nodes[t][0].weight for t in sorted(nodes)], _thresholds(trees))
 
 
 def monotonicity_audit(rows: DataFrame, trees: Ensemble, columns: Sequence[str], signs: dict[str, int] = SIGNS, slack: float = 1e-12) -> DataFrame:

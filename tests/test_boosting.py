@@ -81,3 +81,35 @@ def test_audit_equals_brute_force(spark, panel, tmp_path):
         assert (r.sign, r.thresholds, r.rows, r.moves, r.violations, r.violating_rows) == (sign, len(cuts), len(x), moves, violations, hit)
         assert abs(r.largest - (largest if violations else 0)) < 1e-12
     assert GB.monotonicity_audit(rows.limit(0), trees, COLUMNS).where("violations > 0").isEmpty()
+
+
+def test_models_grow_together_and_equal_mllib(spark, panel):
+    """Several models cost the jobs of one, and each is the one that MLlib fits."""
+    from pyspark.ml.regression import GBTRegressor
+
+    df, *_ = panel
+    rows = GB.assembled(df, COLUMNS, "label", ["cycle"]).cache()
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextJobId()
+    shapes = [(2, 10, 11, 2), (3, 20, 9, 2), (2, 10, 11, 4), (3, 20, 11, 3)]
+    models = GB.fit(rows, *([s[k] for s in shapes] for k in range(3)), before=[("cycle", s[3]) for s in shapes])
+    assert scheduler.nextJobId() - before <= 11 * 3 + 20
+    for (depth, leaf, rounds, limit), model in zip(shapes, models, strict=True):
+        own = rows.where(f"cycle < {limit}")
+        alone = GBTRegressor(featuresCol="x", labelCol="y", maxDepth=depth, minInstancesPerNode=leaf, maxIter=rounds, stepSize=GB.STEP, seed=42).fit(own)
+        want = np.array([r[0] for r in alone.transform(rows).select("prediction").collect()])
+        got = np.array([r[0] for r in model.transform(rows).select("prediction").collect()])
+        assert len(model.trees) == rounds and np.abs(want - got).max() < 1e-9
+    with pytest.raises(ValueError):
+        GB.fit(rows.limit(0), 2, 10, 2)
+
+
+def test_blocks_and_partitions_do_not_matter(spark, panel, monkeypatch):
+    df, *_ = panel
+    rows = GB.assembled(df, COLUMNS, "label")
+    one = GB.fit(rows, 3, 10, 9)
+    monkeypatch.setattr(GB, "BLOCK_ROWS", 70)  # several tasks, and lineage is cut within the run
+    monkeypatch.setattr(GB, "CUT_EVERY", 1)
+    many = GB.fit(rows.repartition(5), 3, 10, 9)
+    x = np.array([r[0].toArray() for r in rows.select("x").collect()])
+    assert np.allclose(one.predict(x), many.predict(x), atol=1e-9)
