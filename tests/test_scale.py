@@ -99,3 +99,18 @@ def test_partitions_grow_with_the_input(spark):
     finally:
         for name, value in zip(names, before, strict=True):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_splits_of_a_file_are_small(spark):
+    """A task of orders sorts all rows of its split, so splits stay small whatever the table's size."""
+    from pitlake import bindings as B
+
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        spark.conf.set(names[1], "128m")
+        B.plan_partitions(spark, 1)
+        assert B._bytes(spark.conf.get(names[1])) <= 4 << 20
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
