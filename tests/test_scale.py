@@ -114,3 +114,21 @@ def test_splits_of_a_file_are_small(spark):
     finally:
         for name, value in zip(names, before, strict=True):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_leak_check_takes_the_table_that_is_there(spark):
+    """The features of the unchanged history are not built a second time where they are landed."""
+    rows = spark.createDataFrame([(1, 1, 5.0), (1, 2, 7.0), (2, 1, 3.0)], "k int, d int, v double")
+    later = spark.createDataFrame([(1, 9, 99.0)], "k int, d int, v double")
+    calls = []
+
+    def build(history):
+        calls.append(history)
+        return history.groupBy("k").agg(F.sum(F.when(F.col("d") < 2, F.col("v"))).alias("early"), F.max("v").alias("most"))
+
+    built = build(rows)
+    for columns, leaking in ((["early"], []), (["early", "most"], [1])):
+        calls.clear()
+        leaks = C.future_leaks(build, rows, later, ["k"], columns, built)
+        assert len(calls) == 1 and [r.k for r in leaks.collect()] == leaking
+        assert [r.k for r in C.future_leaks(build, rows, later, ["k"], columns).collect()] == leaking
