@@ -356,6 +356,11 @@ class Ensemble:
             total += weight * walk(tree)
         return total[:, 0] if sweep is None else total
 
+    def using(self, feature: int) -> Ensemble:
+        """The trees that split on an input: no other moves with it."""
+        kept = [(t, w) for t, w in zip(self.trees, self.weights, strict=True) if feature in _thresholds([t])]
+        return Ensemble([t for t, _ in kept], [w for _, w in kept], self.thresholds)
+
     def transform(self, rows: DataFrame) -> DataFrame:
         """Assembled rows with a column `prediction`."""
         from pyspark.ml.functions import vector_to_array
@@ -444,6 +449,7 @@ def monotonicity_audit(rows: DataFrame, trees: Ensemble, columns: Sequence[str],
     exchanged but a few sums per task.
     """
     swept = [(j, c, signs[c]) for j, c in enumerate(columns) if signs.get(c, 0)]
+    moving = {j: trees.using(j) for j, _, _ in swept}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {c: [0, 0, 0, 0, 0.0] for _, c, _ in swept}
@@ -455,7 +461,7 @@ def monotonicity_audit(rows: DataFrame, trees: Ensemble, columns: Sequence[str],
                     own = total[c]
                     own[0] += len(x)
                     if j in trees.thresholds:
-                        step = sign * np.diff(trees.predict(x, j, np.append(trees.thresholds[j], np.inf)), axis=1)
+                        step = sign * np.diff(moving[j].predict(x, j, np.append(trees.thresholds[j], np.inf)), axis=1)
                         wrong = step < -slack
                         own[1] += int((np.abs(step) > slack).sum())
                         own[2] += int(wrong.sum())

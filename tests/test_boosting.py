@@ -113,3 +113,13 @@ def test_blocks_and_partitions_do_not_matter(spark, panel, monkeypatch):
     many = GB.fit(rows.repartition(5), 3, 10, 9)
     x = np.array([r[0].toArray() for r in rows.select("x").collect()])
     assert np.allclose(one.predict(x), many.predict(x), atol=1e-9)
+
+
+def test_audit_reads_only_trees_that_split_on_the_input(panel):
+    _, x, *_ = panel
+    trees = [(0, 3.0, 1.0, (2, 20.0, 0.5, 2.0)), (1, 40.0, 0.0, 1.0), (2, 25.0, 4.0, (0, 5.0, 1.0, 3.0))]
+    model = GB.Ensemble(trees, [1.0, 0.05, 0.05], {0: np.array([3.0, 5.0]), 1: np.array([40.0]), 2: np.array([20.0, 25.0])})
+    for j, many in ((0, 2), (1, 1), (2, 2)):
+        points = np.append(model.thresholds[j], np.inf)
+        assert len(model.using(j).trees) == many
+        assert np.allclose(np.diff(model.predict(x, j, points)), np.diff(model.using(j).predict(x, j, points)), atol=1e-12)
