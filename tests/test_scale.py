@@ -132,3 +132,27 @@ def test_leak_check_takes_the_table_that_is_there(spark):
         leaks = C.future_leaks(build, rows, later, ["k"], columns, built)
         assert len(calls) == 1 and [r.k for r in leaks.collect()] == leaking
         assert [r.k for r in C.future_leaks(build, rows, later, ["k"], columns).collect()] == leaking
+
+
+def test_values_of_one_bucket_do_not_meet_in_one_task(spark):
+    """Values packed into one bucket: no shuffle joins by bucket, cells are dealt out before they are copied, the median is exact."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 40).cast("int"))
+    events = spark.range(4000).select(day.alias("d"), (1000.0 + F.col("id") * 37 % 4001 / 1000).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = A.trailing_median(events.select("d"), "d", events, "d", "v", 30)
+        text = plan(found)
+        assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+        assert text.count("REPARTITION_BY_NUM") >= 2
+        got = {str(r.d): (r.median_value, r.n_events) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = [(r.d, r.v) for r in events.collect()]
+    for d in sorted({d for d, _ in rows}):
+        past = sorted(v for e, v in rows if 0 < (d - e).days <= 30)
+        if past:
+            want = (past[(len(past) - 1) // 2] + past[len(past) // 2]) / 2
+            assert got[str(d)][1] == len(past) and abs(got[str(d)][0] - want) < 1e-9
+        else:
+            assert str(d) not in got
