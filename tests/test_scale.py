@@ -156,3 +156,18 @@ def test_values_of_one_bucket_do_not_meet_in_one_task(spark):
             assert got[str(d)][1] == len(past) and abs(got[str(d)][0] - want) < 1e-9
         else:
             assert str(d) not in got
+
+
+def test_a_row_group_of_orders_is_dealt_over_tasks(spark):
+    """The orders of a file lie in one row group, which one task reads; collapsing the copies of moves is spread all the same."""
+    from pitlake import bindings as B
+
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        moves = B.raw_moves(B.Tables(spark, "/root/testdata/sf0.01"))
+        rows = [r["count"] for r in moves.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(rows) > 15_000 and max(rows) < 0.7 * sum(rows)
+    finally:
+        spark.conf.set(name, before)
