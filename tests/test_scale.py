@@ -171,3 +171,13 @@ def test_a_row_group_of_orders_is_dealt_over_tasks(spark):
         assert sum(rows) > 15_000 and max(rows) < 0.7 * sum(rows)
     finally:
         spark.conf.set(name, before)
+
+
+def test_scoring_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """Customers lie in one row group of one file; the rows to be scored are spread before their seasons are listed."""
+    from pitlake import bindings as B
+
+    monkeypatch.setattr(B, "LINES_PER_PARTITION", 200)
+    t = B.Tables(spark, "/root/testdata/sf0.01")
+    rows = [r["count"] for r in B.scoring_rows(t).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(rows) == t.read("customer").count() and len(rows) > 4 and max(rows) < 400
