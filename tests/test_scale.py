@@ -181,3 +181,50 @@ def test_scoring_rows_are_dealt_over_tasks(spark, monkeypatch):
     t = B.Tables(spark, "/root/testdata/sf0.01")
     rows = [r["count"] for r in B.scoring_rows(t).groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(rows) == t.read("customer").count() and len(rows) > 4 and max(rows) < 400
+
+
+def test_lineups_are_shuffled_once(spark):
+    """Their copies and their join with appearances need one shuffle, and no task of a file collapses its lines."""
+    from pitlake import bindings as B
+
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+             "spark.sql.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(n, None) for n in names]
+    spark.conf.set(names[3], "-1")
+    try:
+        t = B.Tables(spark, "/root/testdata/sf0.001")
+        rows = B.clean_lineup_rows(t)
+        # Lines, orders, appearances by game and player, lineups.
+        assert plan(A.enrich_history(B.appearances(t), rows)).count("Exchange ") == 4
+        assert rows.count() == B.lineups(t).toPandas().drop_duplicates().shape[0]
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_a_fee_is_parsed_once(spark):
+    """Class and amount of a fee name its text and number a dozen times; the plan trims and casts it once."""
+    from pitlake.operators import cleaning as K
+
+    names = ["player_id", "transfer_date", "transfer_season", "from_club_id", "to_club_id", "from_club_name", "to_club_name", "transfer_fee"]
+    fees = ["5", " 7.5 ", "-", "", None, "inf", "-5", "abc", "0.0", "1d"]
+    raw = spark.createDataFrame([(i, *("x" for _ in names[:-1]), f) for i, f in enumerate(fees)], "source_row long, " + ", ".join(f"{n} string" for n in names))
+    typed = K.type_transfers(raw)
+    text = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("trim(transfer_fee") == 1 and text.count("as double") == 1
+    paid = [(r.fee_class, r.fee_eur) for r in typed.orderBy("source_row").collect()]
+    assert paid == [("paid", 5.0), ("paid", 7.5), *[("undisclosed", None)] * 3, *[("malformed", None)] * 3, ("zero_fee", None), ("malformed", None)]
+
+
+def test_moves_outside_the_window_are_not_deduplicated(spark):
+    """Player and day are keys of the deduplication: rows that cannot be labels are dropped below it, and the labels are the same."""
+    from pitlake import bindings as B
+
+    start, end = (F.lit(d).cast("date") for d in ("1996-01-01", "1997-07-01"))
+    moves = B.moves(B.Tables(spark, "/root/testdata/sf0.001"))
+    found = L.labels(L.with_label_reason(L.in_window(moves, start, end), start, end))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Aggregate"):]
+    assert "1996-01-01" in below and "1997-07-01" in below
+    want = L.labels(L.with_label_reason(moves, start, end))
+    assert 0 < found.count() < moves.count() and found.exceptAll(want).count() == want.exceptAll(found).count() == 0
