@@ -38,7 +38,10 @@ SIGNS = {
 
 #: Bins an input gets, rows its thresholds are taken from, bin of a node without a split (MLlib's values, but the last).
 BINS, SAMPLED, NO_SPLIT = 32, 10_000, 255
-#: Rows of a cached block, rounds between kept predictions, and kept predictions between cuts of their lineage.
+#: Bits of a bin, and bins packed into a long.
+BITS = (BINS - 1).bit_length()
+PACKED = 63 // BITS
+#: Cells of a cached block, rounds between kept predictions, and kept predictions between cuts of their lineage.
 BLOCK_ROWS, KEPT_EVERY, CUT_EVERY = 50_000, 4, 10
 
 NODES = "tree int, weight double, node int, feature int, threshold double, value double"
@@ -119,28 +122,27 @@ def _places(bins: np.ndarray, tree: tuple, levels: int) -> np.ndarray:
 
 def _moved(block: tuple, grown: list) -> list:
     """Predictions of a block after further rounds, each a step and a tree per model (None where it has all its own)."""
-    _, bins, own = block
+    (models, _, _, bins), own = block
     out = [f.copy() for f in own] if grown else own
     for step, trees in grown:
-        for f, tree, (fold, _) in zip(out, trees, block[0][1], strict=True):
-            if tree is not None:
-                f += step * tree[2][_places(bins[fold], tree, len(tree[2]).bit_length() - 1)]
+        for f, (i, _) in zip(out, models, strict=True):
+            if trees[i] is not None:
+                f += step * trees[i][2][_places(bins, trees[i], len(trees[i][2]).bit_length() - 1)]
     return out
 
 
-def _sums(block: tuple, grown: list, trees: list, level: int) -> list:
+def _sums(block: tuple, grown: list, trees: list, level: int) -> dict:
     """Rows and summed targets per (node, input, bin) of the trees' nodes at one level, a pair per model."""
-    y, models = block[0]
-    found = []
-    for f, tree, (fold, depth) in zip(_moved(block, grown), trees, models, strict=True):
-        if tree is None or level >= depth:
-            found.append(None)
+    models, rows, labels, bins = block[0]
+    found, wide = {}, [b.astype(np.intp) for b in bins]
+    for f, (i, depth) in zip(_moved(block, grown), models, strict=True):
+        if trees[i] is None or level >= depth:
             continue
-        bins, size = block[1][fold], 2**level * BINS
-        target = y[: len(f)] if trees.first else 2 * (y[: len(f)] - f)
-        base = _places(bins, tree, level).astype(np.intp) * BINS
-        cells = [base + b for b in bins]
-        found.append(np.array([[np.bincount(c, minlength=size), np.bincount(c, target, size)] for c in cells]).reshape(len(bins), 2, -1, BINS))
+        size = 2**level * BINS
+        target = labels if trees.first else 2 * (labels - rows * f)
+        base = _places(bins, trees[i], level).astype(np.intp) * BINS if level else None
+        cells = [b if base is None else base + b for b in wide]
+        found[i] = np.array([[np.bincount(c, rows, size), np.bincount(c, target, size)] for c in cells]).reshape(len(bins), 2, -1, BINS)
     return found
 
 
@@ -173,43 +175,71 @@ def _split(tree: tuple, sums: np.ndarray, level: int, leaf: int, edges: list[np.
             tree[2][j * span + span // 2] = sr[f, b] / right[f, b]
 
 
-def _blocks(rows: DataFrame, folds: list[tuple], edges: list[list[np.ndarray]], models: list[tuple[int, int]]):
-    """Cached blocks ((labels, models), bins per fold, predictions per model). Rows are in order of their cycle, so a fold is a prefix."""
+def _cells(rows: DataFrame, folds: list[tuple], edges: list[list[np.ndarray]]) -> DataFrame:
+    """(fold, keys, rows, label): the rows of each fold that share all bins, with how many they are and the sum of their labels.
+
+    A tree sees a row by its bins alone, so rows of one cell always have one prediction, and the sums per bin of a cell
+    are those of its rows. Bins are packed into longs, the keys; copies of a cell are summed up before the shuffle.
+    """
     from pyspark.ml.functions import vector_to_array
 
-    by = next((c for c, _ in folds if c), None)
+    by, many = next((c for c, _ in folds if c), None), len(edges[0])
     table = rows.select(vector_to_array("x").alias("x"), F.col("y"), (F.col(by) if by else F.lit(0)).cast("double").alias("c"))
+    names = [f"_k{i}" for i in range(-(-many // PACKED))]
 
-    def block(batches: list[pa.RecordBatch]) -> bytes:
-        t = pa.Table.from_batches(batches)
-        order = np.argsort(t["c"].to_numpy(), kind="stable")
-        c, y = t["c"].to_numpy()[order], t["y"].to_numpy()[order]
-        x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)[order]
-        sizes = [len(y) if limit is None else int(np.searchsorted(c, float(limit))) for _, limit in folds]
-        bins = [np.array([np.searchsorted(e, x[:k, j]) for j, e in enumerate(own)], np.uint8).reshape(len(own), k) for own, k in zip(edges, sizes, strict=True)]
-        return pickle.dumps(((y, models), bins, [np.zeros(sizes[fold]) for fold, _ in models]), 5)
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, c = (batch.column(i) for i in range(3))
+            x, y, c = x.flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1), y.to_numpy(), c.to_numpy()
+            for fold, (_, limit) in enumerate(folds):
+                mine = np.ones(len(y), bool) if limit is None else c < float(limit)
+                keys = np.zeros((len(names), int(mine.sum())), np.int64)
+                for j, e in enumerate(edges[fold]):
+                    keys[j // PACKED] |= np.searchsorted(e, x[mine, j]) << BITS * (j % PACKED)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(keys.shape[1], fold, np.int32)), *map(pa.array, keys), pa.array(y[mine])], names=["fold", *names, "y"])
+
+    every = table.mapInArrow(binned, f"fold int, {', '.join(f'{n} bigint' for n in names)}, y double")
+    return every.groupBy("fold", *names).agg(F.count(F.lit(1)).cast("double").alias("rows"), F.sum("y").alias("label"))
+
+
+def _blocks(cells: DataFrame, models: list[tuple[int, int]], many: int):
+    """Cached blocks ((models of the fold, rows and labels per cell, bins), predictions per model), each of cells of one fold."""
+    names = [c for c in cells.columns if c.startswith("_k")]
+
+    def block(fold: int, t: pa.Table) -> bytes:
+        mine = [(i, depth) for i, (own, depth) in enumerate(models) if own == fold]
+        bins = [(t[names[j // PACKED]].to_numpy() >> BITS * (j % PACKED) & (BINS - 1)).astype(np.uint8) for j in range(many)]
+        return pickle.dumps(((mine, t["rows"].to_numpy(), t["label"].to_numpy(), np.array(bins)), [np.zeros(len(t)) for _ in mine]), 5)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in itertools.chain(batches, [None]):
             if held and (batch is None or sum(b.num_rows for b in held) + batch.num_rows > BLOCK_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([block(held)], pa.binary())], names=["block"])
+                t = pa.Table.from_batches(held)
+                own = t["fold"].to_numpy()
+                found = [block(int(fold), t.filter(pa.array(own == fold))) for fold in np.unique(own)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["block"])
                 held = []
             if batch is not None and batch.num_rows:
                 held.append(batch)
 
-    context = rows.sparkSession.sparkContext
-    tasks = max(1, min(context.defaultParallelism, -(-table.count() // BLOCK_ROWS)))
-    return table.repartition(tasks).mapInArrow(packed, "block binary").rdd.map(lambda r: pickle.loads(r.block))
+    context = cells.sparkSession.sparkContext
+    tasks = max(1, min(context.defaultParallelism, -(-cells.count() // BLOCK_ROWS)))
+    # In order, so that sums over a block do not depend on how its cells came to it.
+    return cells.repartition(tasks, *names).sortWithinPartitions("fold", *names).mapInArrow(packed, "block binary").rdd.map(lambda r: pickle.loads(r.block))
 
 
 def fit(rows: DataFrame, depth, leaf, rounds, seed: int = 42, before: Sequence[tuple] | None = None):
     """Boosted trees on assembled rows: MLlib's learner (squared error, 32 bins, first tree whole, then steps), many models at once.
 
     `depth`, `leaf` and `rounds` are numbers, or one number per model; a list of models then comes back, the i-th
-    fitted on the rows whose `before[i][0]` (the same column for all) is below `before[i][1]`. A round costs one job per
-    level for all models together: tasks send sums per node, input and bin, whose size does not depend on the rows. Predictions
-    are kept every few rounds as cached blocks, whose lineage is cut in the shared folder.
+    fitted on the rows whose `before[i][0]` (the same column for all) is below `before[i][1]`. Rows that share all bins are
+    one cell from the start, which loses nothing. A round costs one job per level for all models together: tasks send sums per
+    node, input and bin, whose size does not depend on the rows. Predictions are kept every few rounds as cached blocks, whose
+    lineage is cut in the shared folder.
     """
     from pyspark import StorageLevel
 
@@ -222,18 +252,20 @@ def fit(rows: DataFrame, depth, leaf, rounds, seed: int = 42, before: Sequence[t
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(rows.sparkSession))
-    state, stale, grown, done = _blocks(rows, folds, edges, models).persist(StorageLevel.MEMORY_AND_DISK), None, [], []
+    cells = land(_cells(rows, folds, edges), "boosting-cells")
+    state, stale, grown, done = _blocks(cells, models, len(edges[0])).persist(StorageLevel.MEMORY_AND_DISK), None, [], []
 
-    def merged(found: Iterator[list]) -> list:
-        total: list = []
+    def merged(found: Iterator[dict]) -> dict:
+        total: dict = {}
         for part in found:
-            total = [a if b is None else b if a is None else a + b for a, b in itertools.zip_longest(total, part)]
+            for i, s in part.items():
+                total[i] = total[i] + s if i in total else s
         return total
 
     for m in range(max(r for _, _, r in shapes)):
         if len(grown) == KEPT_EVERY:
             moves, stale = grown, state
-            state = state.map(lambda b, moves=moves: (b[0], b[1], _moved(b, moves))).persist(StorageLevel.MEMORY_AND_DISK)
+            state = state.map(lambda b, moves=moves: (b[0], _moved(b, moves))).persist(StorageLevel.MEMORY_AND_DISK)
             if m % (CUT_EVERY * KEPT_EVERY) == 0:
                 state.checkpoint()
             grown = []
@@ -245,9 +277,8 @@ def fit(rows: DataFrame, depth, leaf, rounds, seed: int = 42, before: Sequence[t
 
             parts = state.mapPartitions(job)
             sums = merged(parts.collect()) if parts.getNumPartitions() <= 32 else parts.treeReduce(lambda a, b: merged([a, b]))
-            for tree, s, (_, min_leaf, _), (fold, _) in zip(trees, sums, shapes, models, strict=True):
-                if s is not None:
-                    _split(tree, s, level, min_leaf, edges[fold])
+            for i, s in sums.items():
+                _split(trees[i], s, level, shapes[i][1], edges[models[i][0]])
             if stale is not None:
                 stale.unpersist()
                 stale = None
