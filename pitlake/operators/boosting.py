@@ -142,7 +142,9 @@ def _sums(block: tuple, grown: list, trees: list, level: int) -> dict:
         target = labels if trees.first else 2 * (labels - rows * f)
         base = _places(bins, trees[i], level).astype(np.intp) * BINS if level else None
         cells = [b if base is None else base + b for b in wide]
-        found[i] = np.array([[np.bincount(c, rows, size), np.bincount(c, target, size)] for c in cells]).reshape(len(bins), 2, -1, BINS)
+        # The rows of a root's bins are the same in every round.
+        counts = [np.bincount(c, rows, size) if level or trees.first else np.zeros(size) for c in cells]
+        found[i] = np.array([[n, np.bincount(c, target, size)] for n, c in zip(counts, cells, strict=True)]).reshape(len(bins), 2, -1, BINS)
     return found
 
 
@@ -252,6 +254,7 @@ def fit(rows: DataFrame, depth, leaf, rounds, seed: int = 42, before: Sequence[t
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(rows.sparkSession))
+    roots: dict[int, np.ndarray] = {}
     cells = land(_cells(rows, folds, edges), "boosting-cells")
     state, stale, grown, done = _blocks(cells, models, len(edges[0])).persist(StorageLevel.MEMORY_AND_DISK), None, [], []
 
@@ -278,6 +281,8 @@ def fit(rows: DataFrame, depth, leaf, rounds, seed: int = 42, before: Sequence[t
             parts = state.mapPartitions(job)
             sums = merged(parts.collect()) if parts.getNumPartitions() <= 32 else parts.treeReduce(lambda a, b: merged([a, b]))
             for i, s in sums.items():
+                if level == 0:
+                    s[:, 0] = roots.setdefault(i, s[:, 0].copy())
                 _split(trees[i], s, level, shapes[i][1], edges[models[i][0]])
             if stale is not None:
                 stale.unpersist()
@@ -296,15 +301,16 @@ def staged_errors(models: Sequence[Ensemble], rows: DataFrame, fold: Sequence[in
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
                 x, y, own = (part.column(i) for i in range(3))
                 x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
                 y, own = y.to_numpy(), own.to_numpy()
                 for i, model in enumerate(models):
                     mine, start, sofar = own == fold[i], 0, 0.0
+                    inputs = x[mine]
                     for k in sorted(set(stages[i])):
-                        sofar = sofar + Ensemble(model.trees[start:k], model.weights[start:k], {}).predict(x[mine])
+                        sofar = sofar + Ensemble(model.trees[start:k], model.weights[start:k], {}).predict(inputs)
                         cell, start = total.setdefault((i, k), [0.0, 0]), k
                         cell[0] += float(np.abs(y[mine] - sofar).sum())
                         cell[1] += int(mine.sum())
@@ -374,18 +380,20 @@ class Ensemble:
     def predict(self, x: np.ndarray, feature: int | None = None, values: np.ndarray | None = None) -> np.ndarray:
         """Predictions of the rows of x, or of every row with every one of `values` in the feature's place."""
         sweep = None if feature is None else values[None, :]
+        inputs = np.ascontiguousarray(x.T)
+        inputs = list(inputs) if sweep is None else [c[:, None] for c in inputs]
 
         def walk(node):
             if not isinstance(node, tuple):
                 return node
             f, threshold, left, right = node
-            at = sweep if f == feature else x[:, f : f + 1]
+            at = sweep if f == feature else inputs[f]
             return np.where(at <= threshold, walk(left), walk(right))
 
-        total = np.zeros((len(x), 1 if sweep is None else len(values)))
+        total = np.zeros(len(x) if sweep is None else (len(x), len(values)))
         for tree, weight in zip(self.trees, self.weights, strict=True):
             total += weight * walk(tree)
-        return total[:, 0] if sweep is None else total
+        return total
 
     def using(self, feature: int) -> Ensemble:
         """The trees that split on an input: no other moves with it."""
