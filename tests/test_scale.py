@@ -214,3 +214,29 @@ def test_a_fee_is_parsed_once(spark):
     assert text.count("trim(transfer_fee") == 1 and text.count("as double") == 1
     paid = [(r.fee_class, r.fee_eur) for r in typed.orderBy("source_row").collect()]
     assert paid == [("paid", 5.0), ("paid", 7.5), *[("undisclosed", None)] * 3, *[("malformed", None)] * 3, ("zero_fee", None), ("malformed", None)]
+
+
+def test_products_are_summed_as_matrices(spark):
+    """Hundreds of sums per cycle are too many for compiled code; tasks add up matrices, and null groups stay apart."""
+    from pitlake.operators import learn as M
+
+    rows = [(1 if k % 3 else 2, float(k % 7), float(k % 5) + 1e6, 0.5 * k) for k in range(500)] + [(None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "cycle int, a double, b double, y double").repartition(5)
+    found = M.grouped_moments(df, ["a", "b"], "y", "cycle")
+    assert set(found.by_group) == {1, 2, None} and M.grouped_moments(df.limit(0), ["a"], "y", "cycle").by_group == {}
+    for g, m in found.by_group.items():
+        own = [[x - found.centre[c] for x, c in zip(r[1:], ("a", "b", "y"), strict=True)] for r in rows if r[0] == g]
+        assert m.n == len(own) and m.columns == ["a", "b"]
+        for i in range(3):
+            assert abs(m.total[i] - sum(r[i] for r in own)) < 1e-6
+            for j in range(3):
+                want = sum(r[i] * r[j] for r in own)
+                assert abs(m.cross[i, j] - want) <= 1e-9 * max(1.0, abs(want))
+    plans = []
+    original = type(df).mapInArrow
+    try:
+        type(df).mapInArrow = lambda self, *a, **k: plans.append(1) or original(self, *a, **k)
+        M.grouped_moments(df, ["a", "b"], "y", "cycle")
+    finally:
+        type(df).mapInArrow = original
+    assert plans
